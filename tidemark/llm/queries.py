@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import licences, reshard, simhash, urlrules
+from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +27,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: ``doc_id, fingerprint, component_id``."""
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, now held by source, over 40 shards of near-equal bytes at the fewest bytes moved."""
+    rows = reshard.by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "old_shard")
+    rows = reshard.reshard(stored(rows, "sized"), 40)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
+
+
+# The url rules of query op4.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+@_query
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule and the verdict for every url of ``pages``."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op4_url_rules"] = """
+WITH rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                               ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+rest AS (SELECT page_id, row_number() OVER () AS n,
+                CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+hosts AS (SELECT *, regexp_extract(r, '^[^/?#]*') AS raw FROM rest),
+split AS (SELECT page_id, n, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+best AS (SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+         FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (n)
+"""
+
+
+@_query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every text of ``documents``."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
