@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, reshard, simhash, urlrules
+from . import licences, ppm, reshard, simhash, urlrules
 from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+@_query
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every text of ``documents`` under a byte trie of the training rows, with the word base."""
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents``, now held by source, over 40 shards of near-equal bytes at the fewest bytes moved."""

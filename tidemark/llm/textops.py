@@ -45,6 +45,7 @@ class Words:
     """Words of consecutive texts: lower-cased bytes, spans, and each text's range of words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.raw = data
         self.data = LOWER[data]
         self.offsets = offsets
         solid = ~SPACE[data]
@@ -92,6 +93,43 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
         i = j
 
 
+class Lookup:
+    """Positions of 64-bit keys in a fixed key set, found through their mixed values' top bits."""
+
+    def __init__(self, keys: np.ndarray):
+        mixed = mix(keys.astype(np.uint64))
+        self.order = np.argsort(mixed, kind="stable").astype(np.int32)
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.sorted = np.append(mixed[self.order], ~np.uint64(0))
+        self.starts = np.searchsorted(self.sorted[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key in the set, or -1."""
+        mixed = mix(keys)
+        at = self.starts[mixed >> self.shift].astype(np.int64)
+        wait = np.flatnonzero(self.sorted[at] < mixed)
+        while len(wait):
+            at[wait] += 1
+            wait = wait[self.sorted[at[wait]] < mixed[wait]]
+        hit = self.sorted[at] == mixed
+        hit &= at < len(self.order)
+        found = np.full(len(keys), -1, dtype=np.int64)
+        found[hit] = self.order[at[hit]]
+        return found
+
+
+def tallied(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key over parts of ``(keys, counts)``."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def signed(h: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as the bit-equal signed ones Spark holds."""
     return pa.array(h.view(np.int64))
