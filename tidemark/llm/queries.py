@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, ppm, reshard, simhash, urlrules
+from . import decontaminate, licences, ppm, reshard, simhash, urlrules
 from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates in every text of ``documents``."""
     return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the ``benchmark`` passages it holds."""
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -17,6 +17,9 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_WORD = np.zeros(256, dtype=bool)  # all of ASCII but digits and letters
+NO_WORD[:0x80] = True
+NO_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -44,11 +47,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive texts: lower-cased bytes, spans, and each text's range of words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         self.raw = data
         self.data = LOWER[data]
         self.offsets = offsets
-        solid = ~SPACE[data]
+        solid = ~gaps[data]
         first = np.zeros(len(data) + 1, dtype=bool)
         first[offsets] = True
         start = solid.copy()
@@ -73,8 +76,8 @@ class Words:
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
-    """Words of a batch in pieces of about ``CHUNK_BYTES``, a longer text alone, with the index of the first text."""
+def chunks(texts: pa.Array, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, Words]]:
+    """Words (between bytes of ``gaps``) of a batch in pieces of about ``CHUNK_BYTES``, a longer text alone, with the index of the first text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary())
@@ -89,7 +92,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
         j = min(j, len(texts))
-        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], gaps)
         i = j
 
 
