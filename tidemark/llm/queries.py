@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, ppm, reshard, simhash, urlrules
+from . import decontaminate, licences, mixture, ppm, quality, reshard, simhash, urlrules
 from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,24 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 """
 
 
+# Target shares of tokens by language for query op6 and the pipeline.
+WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def language_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixture.Domains:
+    """Domains told by the languages of those documents that ``labels`` covers."""
+    covered = _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return mixture.fit_domains(docs.join(covered, "doc_id", "left_semi").withColumn("domain", F.col("lang")))
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each row of ``documents`` is to be taken for its languages to have their target shares."""
+    docs = _table(spark, sf_dir, "documents")
+    rated = mixture.mixed(docs.select("doc_id", "text"), language_domains(spark, docs, sf_dir), WEIGHTS)
+    return rated.select("doc_id", "tokens", "domains", "rate", "copies")
+
+
 @_query
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates in every text of ``documents``."""
@@ -86,3 +104,11 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with the ``benchmark`` passages it holds."""
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every row of ``documents`` by text, by metadata and by both, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
