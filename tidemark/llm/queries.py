@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, mixture, ppm, quality, reshard, simhash, urlrules
+from . import decontaminate, licences, mixture, ppm, quality, reshard, simhash, toxicity, urlrules
 from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 """
 
 
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learnt from the labels of rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 # Target shares of tokens by language for query op6 and the pipeline.
 WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
