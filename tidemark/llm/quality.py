@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import fit_softmax, sampled, sparse_logits, sparse_rows, views
+from .textmodel import BUCKETS, LAYOUT, fit_softmax, sampled, sparse_logits, sparse_rows, views
 
 MAX_LABELLED = 4000
 MAX_POOL = 3000
@@ -38,6 +38,11 @@ class CoTrained:
 
     def __init__(self, labelled: dict, pool: dict):
         y = np.array(labelled["quality"], dtype=np.int64)
+        if len(set(y.tolist())) < 2:  # nothing to tell apart: every document is kept
+            self.mean, self.std = np.zeros(LAYOUT + KINDS + 1), np.ones(LAYOUT + KINDS + 1)
+            self.text, self.meta = (np.zeros((BUCKETS, 2)), np.zeros(2)), (np.zeros((LAYOUT + KINDS + 1, 2)), np.zeros(2))
+            self.mix, self.bias, self.each = np.zeros(2), 0.0, [(1.0, 0.0)] * 2
+            return
         fold = np.arange(len(y)) % 4 == 3  # kept aside for calibration
         rows, aside = np.flatnonzero(~fold), np.flatnonzero(fold)
         own = [metadata(s["layout"], s["lang"], s["source"], s["n_chars"]) for s in (labelled, pool)]

@@ -125,8 +125,8 @@ def reshard(rows: DataFrame, shards: int, weights: list[float] | None = None) ->
     """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard) to ``rows(size, old_shard, ...)``.
 
     Capacities are in proportion to ``weights``, equal by default. Shards come as near to them as blocks allow: within a
-    hundredth or so, or the largest document. Null sizes count as 0, null old shards as shard 0. ``rows`` must be a stored
-    table, so that a row is met alike by each pass. Repeated rows are rows of their own; an empty table gives an empty result.
+    hundredth or so, or the largest document. Null sizes count as 0, null old shards as shard 0. The rows are
+    stored once with their blocks, so that each pass meets them alike. Repeated rows are rows of their own; an empty table gives an empty result.
     """
     rows = rows.withColumns({"size": F.coalesce("size", F.lit(0)).cast("long"), "old_shard": F.coalesce("old_shard", F.lit(0)).cast("int")})
     number, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()

@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ("doc_
             fps = np.fromiter((fingerprint(t, width) for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    picked = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    picked = docs.select(*keep, F.col("text").cast("binary").alias("_in_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[: len(keep)]), "fp long"])
     return picked.mapInArrow(run, schema)
 
@@ -174,6 +174,15 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return cells.groupBy("shard").applyInArrow(lambda t: _shard_edges(t, bits), "u long, v long")
 
 
+def _labels(marked: DataFrame, bits: int) -> DataFrame:
+    """``fp, root, component_id`` for each different ``fp`` of ``marked(doc_id, fp)``; ``root`` names its group."""
+    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fps")
+    group = stored(components(links(fps, bits)), "fp_groups")
+    all_fps = fps.join(group, fps.fp == group.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    first = all_fps.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return all_fps.join(first, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: ``doc_id, fp, component_id``.
 
@@ -183,13 +192,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> Da
     rows are returned as often as they occur; an empty table gives an empty result; other columns are ignored.
     """
     marked = stored(fingerprints(docs, width), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fps")
-    group = stored(components(links(fps, bits)), "fp_groups")
-    member = group.join(fps, group.node == fps.fp).select("fp", "root", "first_id")
-    first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = member.join(first, "root").select("fp", "component_id")
-    label = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_labels(marked, bits).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def without_copies(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` with one row left of each group of near-duplicates, the one with the smallest ``doc_id``.
+
+    Groups are those of ``near_duplicates``. Of repeated rows one stays; ids sort before a null one; all columns are returned.
+    """
+    columns = docs.columns
+    if "fp" in columns:
+        raise ValueError("docs must not have a column named fp")
+    marked = stored(fingerprints(docs, width, tuple(columns)), "marked")
+    groups = marked.select("doc_id", "fp").join(_labels(marked, bits).drop("component_id"), "fp").groupBy("root")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
+    first = first.withColumnsRenamed({"doc_id": "first_id", "fp": "first_fp"})
+    kept = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "fp"]).select(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
