@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, mixture, ppm, quality, reshard, simhash, toxicity, urlrules
+from . import decontaminate, licences, mixture, ppm, quality, reshard, search, simhash, toxicity, urlrules
 from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+@_query
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of ``documents`` for every row whose id is divisible by 20, by BM25 on that row's terms of highest weight."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = stored(search.build_index(docs), "index")
+    return search.search(index, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
