@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import technicals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "purged_har_walkforward"
