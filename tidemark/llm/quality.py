@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import BUCKETS, LAYOUT, fit_softmax, sampled, sparse_logits, sparse_rows, views
+from .textmodel import BUCKETS, LAYOUT, fit_softmax, sampled, some_ids, sparse_logits, sparse_rows, views
 
 MAX_LABELLED = 4000
 MAX_POOL = 3000
@@ -109,10 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     Labels other than 0 and 1 and rows without an id are ignored; of several labels for one id the lowest holds.
     """
     keep = ("doc_id", "lang", "source", "n_chars")
-    base = docs.select(*keep, "text").where("doc_id IS NOT NULL")
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    labelled = sampled(base.join(known, "doc_id"), MAX_LABELLED, (*keep, "quality"))
-    pool = sampled(base.join(known, "doc_id", "left_anti"), MAX_POOL, keep)
+    ids = docs.select("doc_id")
+    base = docs.select(*keep, "text")
+    labelled = sampled(base.join(some_ids(ids.join(known, "doc_id"), MAX_LABELLED), "doc_id"), MAX_LABELLED, (*keep, "quality"))
+    pool = sampled(base.join(some_ids(ids.join(known, "doc_id", "left_anti"), MAX_POOL), "doc_id"), MAX_POOL, keep)
     return CoTrained(labelled, pool)
 
 

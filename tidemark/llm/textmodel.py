@@ -82,6 +82,12 @@ def views(texts: pa.Array):
         yield *trigrams(words), layout(words, lines)
 
 
+def some_ids(ids: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` of the different ids in ``ids(doc_id, ...)``, those least by a hash; small enough to be sent to every task."""
+    ids = ids.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+
+
 def sampled(docs: DataFrame, limit: int, keep: tuple[str, ...]) -> dict:
     """Features of at most ``limit`` rows, those least by a hash of all of ``keep``: ``buckets, counts, offsets, layout`` and ``keep``."""
 
