@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, licences, mixture, ppm, quality, reshard, search, simhash, toxicity, urlrules
 from .store import stored
+from .textmodel import some_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,8 +90,9 @@ WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
 def language_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixture.Domains:
     """Domains told by the languages of those documents that ``labels`` covers."""
-    covered = _table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return mixture.fit_domains(docs.join(covered, "doc_id", "left_semi").withColumn("domain", F.col("lang")))
+    covered = docs.where("lang IS NOT NULL").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    chosen = some_ids(covered, mixture.MAX_LABELLED)
+    return mixture.fit_domains(docs.join(chosen, "doc_id", "left_semi").withColumn("domain", F.col("lang")))
 
 
 @_query

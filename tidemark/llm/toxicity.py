@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textmodel import some_ids
 from .textops import NO_WORD, Words, chunks, mix
 
 WINDOW, STRIDE = 16, 8
@@ -272,8 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     scale of scores. Labels other than 0 and 1 are ignored; of several labels of an id the highest holds.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = rows.where(F.octet_length("text") <= MAX_BYTES).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_LABELLED)
+    short = docs.where(~held_out(F.col("doc_id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES))
+    chosen = some_ids(short.select("doc_id").join(known, "doc_id"), MAX_LABELLED)
+    rows = short.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_LABELLED)
     table = rows.select("text", "toxic").toArrow()
     texts, y = [bytes(t) for t in table.column("text").to_pylist()], table.column("toxic").to_numpy().astype(np.int64)
     odds = Odds()
