@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Probability of ``k`` or more successes of ``n`` at ``p``, summed from the tail; null where an argument is null."""
 
@@ -29,7 +30,7 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(k, n, p, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Probability of a standard normal value above ``z``."""
     return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2))).astype("float64")

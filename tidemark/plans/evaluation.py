@@ -14,7 +14,6 @@ from ..operators.asof import asof_join
 from ..operators.bars import BARS_SQL, daily_bars, frames, numbered, table
 from .registry import query
 
-C = F.col("close")
 STEPS, MIN_TRAIN, EVERY = 5, 100, 5
 COST, SIZE = 100.0, 10.0  # of a trade; units of a contract
 
@@ -30,6 +29,7 @@ fits AS (SELECT series_id, d, rv5, rv22, target, n_train, exp(base + slope * ln(
 
 def har_rows(spark, sf_dir):
     """Realised volatility over 5, 22 and 66 bars, and ``target``, that of the five bars to come; ``i`` numbers usable rows."""
+    C = F.col("close")
     bars = daily_bars(spark, sf_dir).withColumn("lr", S.log_return(C))
     lr, ahead = F.col("lr"), S.ordered().rowsBetween(1, STEPS)
     rows = bars.select(
@@ -118,6 +118,7 @@ MODELS = ("naive", "drift", "price_5d_ago", "challenger")
 
 def walk(spark, sf_dir):
     """Decision rows with the price ``STEPS`` bars on and the forecasts of four simple models on observed prices."""
+    C = F.col("close")
     bars = numbered(daily_bars(spark, sf_dir)).withColumn("diff", C - S.lagged(C, 1))
     before = S.ordered().rowsBetween(Window.unboundedPreceding, -1)
     rows = bars.select(
@@ -143,6 +144,7 @@ m AS (SELECT series_id, model, count(*) AS n, avg(abs(actual - pred)) AS mae, sq
 
 def metrics(spark, sf_dir):
     """Error metrics of each model; a direction is right if the signs are equal, zero included."""
+    C = F.col("close")
     y, p = F.col("actual"), F.col("pred")
     return by_model(spark, sf_dir).groupBy("series_id", "model").agg(
         F.count("*").alias("n"), F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
@@ -201,6 +203,7 @@ peaks AS (SELECT *, max(total) OVER (PARTITION BY series_id ORDER BY d ROWS UNBO
 
 def trades(spark, sf_dir):
     """A trade for each decision row on the challenger's side, net of cost; none where it sees no change."""
+    C = F.col("close")
     side = S.sign(F.col("challenger") - C)
     rows = walk(spark, sf_dir).withColumn("dir", side).where("dir <> 0")
     rows = rows.select("series_id", "d", "dir", F.round(F.col("dir") * (F.col("actual") - C) * SIZE - COST, 2).alias("pnl"))
@@ -266,8 +269,8 @@ def pnl_by_year(spark, sf_dir):
 
 @query(
     "kelly_sizing",
-    f"""WITH {PNL_SQL}, k AS (SELECT series_id, win_rate / 100 AS p, gains / nullif(losses, 0) AS pf, mean_loss FROM p), b AS (SELECT *, pf * (1 - p) / nullif(p, 0) AS b FROM k)
-    SELECT series_id, round(b, 6) AS payoff, round(p - (1 - p) / nullif(b, 0), 6) AS kelly_fraction, round(mean_loss, 2) AS mean_loss, CAST(ceil(mean_loss / 0.02 / 5000) * 5000 AS BIGINT) AS account_per_contract FROM b""",
+    f"""WITH {PNL_SQL}, k AS (SELECT series_id, win_rate / 100 AS p, gains / nullif(losses, 0) AS pf, mean_loss FROM p), kb AS (SELECT *, pf * (1 - p) / nullif(p, 0) AS b FROM k)
+    SELECT series_id, round(b, 6) AS payoff, round(p - (1 - p) / nullif(b, 0), 6) AS kelly_fraction, round(mean_loss, 2) AS mean_loss, CAST(ceil(mean_loss / 0.02 / 5000) * 5000 AS BIGINT) AS account_per_contract FROM kb""",
 )
 def kelly_sizing(spark, sf_dir):
     """Kelly fraction from win rate and profit factor, and an account that risks 2 % on a mean loss, in steps of 5,000."""

@@ -11,7 +11,6 @@ from ..operators.asof import asof_join
 from ..operators.bars import BARS_SQL, HOURLY_SQL, daily_bars, frames, hourly_bars, table
 from .registry import query
 
-C = F.col("close")
 #: The panel's series: front, next and context prices stand in for the market's own.
 NAMES = {"1-URGENT": "front", "2-HIGH": "next", "3-MEDIUM": "dollar", "4-NOT SPECIFIED": "vol", "5-LOW": "equity"}
 LAG_DAYS = 5
@@ -80,6 +79,7 @@ def forward_asof_tolerance(spark, sf_dir):
 )
 def nearest_price_24h(spark, sf_dir):
     """The price nearest to 24 hours before each hourly bar, before or after that time, and how near it is."""
+    C = F.col("close")
     hours = hourly_bars(spark, sf_dir).select("series_id", "h", "close")
     asked = hours.withColumn("wanted", F.col("h") - F.expr("INTERVAL 24 HOURS"))
     for side, direction in (("before", "backward"), ("after", "forward")):
@@ -113,6 +113,7 @@ def lagged_context_join(spark, sf_dir):
 )
 def rolling_corr(spark, sf_dir):
     """Correlation of each series' returns with the front's over the last 20 days both have."""
+    C = F.col("close")
     bars = daily_bars(spark, sf_dir).select("series_id", "d", S.pct_change(C, 1).alias("r")).where("r IS NOT NULL")
     front = bars.where("series_id = '1-URGENT'").select("d", F.col("r").alias("x"))
     pairs = bars.where("series_id <> '1-URGENT'").join(front, "d").withColumnRenamed("r", "y")

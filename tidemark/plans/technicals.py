@@ -10,11 +10,11 @@ from ..functions.series import clip, past, r2, r6, ratio
 from ..operators.bars import BARS_SQL, HOURLY_SQL, daily_bars, frames, hourly_bars, numbered
 from .registry import query
 
-C, H, L, O, V = (F.col(c) for c in ("close", "high", "low", "open", "volume"))  # noqa: E741
 TR_SQL = "greatest(high - low, abs(high - pc), abs(low - pc))"
 
 
 def _true_range():
+    C, H, L = F.col("close"), F.col("high"), F.col("low")  # noqa: E741
     return F.greatest(H - L, F.abs(H - S.lagged(C, 1)), F.abs(L - S.lagged(C, 1)))
 
 
@@ -35,6 +35,7 @@ def ohlc_bars_hourly(spark, sf_dir):
     round(lr, 6) AS log_return, round(lead(close, 21) OVER o / close - 1, 6) AS forward_21 FROM r {frames()}""",
 )
 def returns_and_diffs(spark, sf_dir):
+    C = F.col("close")
     return daily_bars(spark, sf_dir).select(
         "series_id", "d",
         *(r6(S.pct_change(C, n)).alias(f"return_{n}") for n in (1, 5, 20)),
@@ -54,6 +55,7 @@ def returns_and_diffs(spark, sf_dir):
     FROM n {frames(10, 20, 60)}""",
 )
 def rolling_mean_std_zscore(spark, sf_dir):
+    C = F.col("close")
     return daily_bars(spark, sf_dir).select(
         "series_id", "d",
         F.round(S.full(C, F.avg(C), 20), 4).alias("mean_20"),
@@ -71,6 +73,7 @@ def rolling_mean_std_zscore(spark, sf_dir):
     + f" FROM n {frames(5, 20, 60)}",
 )
 def trend_slope(spark, sf_dir):
+    C = F.col("close")
     bars = numbered(daily_bars(spark, sf_dir))
     return bars.select("series_id", "d", *(r6(S.log_slope(C, n, F.col("rn"))).alias(f"trend_slope_{n}") for n in (5, 20, 60)))
 
@@ -83,6 +86,7 @@ def trend_slope(spark, sf_dir):
     FROM r {frames(5, 10, 22, 66)}, f5 AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)""",
 )
 def realized_vol_har_features(spark, sf_dir):
+    C = F.col("close")
     bars = daily_bars(spark, sf_dir).withColumn("lr", S.log_return(C))
     lr, ahead = F.col("lr"), S.ordered().rowsBetween(1, 5)
     root = F.sqrt(F.lit(252.0))
@@ -106,6 +110,7 @@ def realized_vol_har_features(spark, sf_dir):
     + frames(5, 14, 20, 60),
 )
 def atr_drawdown_position(spark, sf_dir):
+    C = F.col("close")
     bars = numbered(daily_bars(spark, sf_dir)).withColumn("tr", _true_range())
     tr = F.col("tr")
     top, low = F.max(C).over(past(20)), F.min(C).over(past(20))
@@ -129,6 +134,7 @@ def atr_drawdown_position(spark, sf_dir):
     round(max(abs(lr)) OVER w5, 6) AS jump_abs_return_5, round(max(abs(lr)) OVER w20, 6) AS jump_abs_return_20 FROM r {frames(5, 20)}""",
 )
 def skew_semivol_jump(spark, sf_dir):
+    C = F.col("close")
     bars = daily_bars(spark, sf_dir).withColumns({"r": S.pct_change(C, 1), "lr": S.log_return(C)})
     lr = F.col("lr")
     return bars.select(
@@ -152,6 +158,7 @@ def skew_semivol_jump(spark, sf_dir):
     round(close * volume, 2) AS dollar_volume FROM o63""",
 )
 def obv_and_hit_rate(spark, sf_dir):
+    C, V = F.col("close"), F.col("volume")
     bars = daily_bars(spark, sf_dir).withColumn("pc", S.lagged(C, 1))
     up = F.when(F.col("pc").isNotNull(), (C > F.col("pc")).cast("double"))
     bars = bars.withColumn("sv", S.sign(F.coalesce(C - F.col("pc"), F.lit(0.0))) * V)
@@ -177,6 +184,7 @@ def obv_and_hit_rate(spark, sf_dir):
     round(high / low, 6) AS high_low_ratio, round(coalesce((open - pc) / pc, 0) - (close - open) / open, 6) AS gap_reversal_pressure FROM t""",
 )
 def candle_features(spark, sf_dir):
+    C, H, L, O = F.col("close"), F.col("high"), F.col("low"), F.col("open")  # noqa: E741
     bars = daily_bars(spark, sf_dir).withColumn("tr", _true_range())
     tr, pc = F.col("tr"), S.lagged(C, 1)
     gap, intraday = ratio(O - pc, pc), ratio(C - O, O)
@@ -212,6 +220,7 @@ def calendar_features(spark, sf_dir):
     CASE WHEN rn < 20 THEN 'NORMAL' WHEN atr > 1.5 OR 400 * s / m > 5 THEN 'HIGH' WHEN atr < 0.8 AND 400 * s / m < 2 THEN 'LOW' ELSE 'NORMAL' END AS regime FROM b""",
 )
 def bollinger_regime(spark, sf_dir):
+    C = F.col("close")
     bars = numbered(daily_bars(spark, sf_dir)).withColumn("tr", _true_range())
     mean, std, k = F.avg(C).over(past(20)), F.stddev_samp(C).over(past(20)), F.count("*").over(past(20))
     atr, width = 100 * F.avg("tr").over(past(14)) / C, 400 * std / mean
@@ -276,6 +285,7 @@ def wilder_rsi(spark, sf_dir):
     + 0.2 * coalesce(close / lag(close, 5) OVER o - 1, 0) / 5))), 6) AS baseline_return_5 FROM r {frames(15, 40)}""",
 )
 def baseline_return(spark, sf_dir):
+    C = F.col("close")
     bars = daily_bars(spark, sf_dir).withColumn("r", S.pct_change(C, 1))
     mean = lambda n: F.coalesce(F.avg("r").over(past(n)), F.lit(0.0))
     steps = 5
