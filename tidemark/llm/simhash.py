@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ("doc_
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            fps = np.fromiter((fingerprint(t, width) for t in texts), dtype=np.uint64, count=len(texts))
+            texts = (t.as_py() for t in batch.column(batch.num_columns - 1))
+            fps = np.fromiter((fingerprint(t, width) for t in texts), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
     picked = docs.select(*keep, F.col("text").cast("binary").alias("_in_text"))

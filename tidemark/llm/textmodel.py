@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,10 +106,13 @@ def sampled(docs: DataFrame, limit: int, keep: tuple[str, ...]) -> dict:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]), "buckets array<int>, counts array<int>, layout array<double>"])
     table = picked.mapInArrow(run, schema).toArrow().combine_chunks()
     out = {c: table.column(c).to_pylist() for c in keep}
-    lists = {c: table.column(c).to_pylist() for c in ("buckets", "counts", "layout")}
-    out["offsets"] = np.concatenate(([0], np.cumsum([len(x) for x in lists["buckets"]]))).astype(np.int64)
-    flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in lists[c]] or [np.zeros(0, t)])
-    return out | {"buckets": flat("buckets", np.int64), "counts": flat("counts", np.float64), "layout": np.array(lists["layout"]).reshape(-1, LAYOUT)}
+    flat = {}
+    for c in ("buckets", "counts", "layout"):
+        column = table.column(c).combine_chunks()
+        flat[c] = column.flatten().to_numpy()
+        if c == "buckets":
+            out["offsets"] = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return out | {"buckets": flat["buckets"], "counts": flat["counts"].astype(np.float64), "layout": flat["layout"].reshape(-1, LAYOUT)}
 
 
 def shares(sample: dict) -> np.ndarray:
