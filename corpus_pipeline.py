@@ -16,10 +16,15 @@ from tidemark.llm.store import stored
 SHARDS = 40
 
 
+def _packed(docs: DataFrame, *more: str) -> DataFrame:
+    """All columns in one, so that no name among them can clash, beside those an operator reads."""
+    return docs.select(F.struct(*docs.columns).alias("packed"), "doc_id", "text", *more)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("kept").select(*docs.columns)
+    return quality.score(_packed(docs, "lang", "source", "n_chars"), model).where("kept").select("packed.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +42,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the languages have their target shares of tokens; none is left out."""
-    rated = mixture.mixed(docs, language_domains(spark, docs, sf_dir), WEIGHTS, whole=True)
-    return rated.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    rated = mixture.mixed(_packed(docs), language_domains(spark, docs, sf_dir), WEIGHTS, whole=True)
+    return rated.select("packed", F.explode(F.sequence(F.lit(1), "copies"))).select("packed.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,8 +80,10 @@ def fit_rates(rows: DataFrame, targets: list[float], base: float) -> list[np.nda
     """Gradients that lead to rates whose domain totals over ``rows(tokens, domains)`` are ``targets`` (tokens), starting at ``base``."""
     k = len(targets)
     goal = np.array(targets)
-    total = max(1.0, float(rows.agg(F.sum("tokens")).first()[0] or 0))
+    total = float(rows.agg(F.sum("tokens")).first()[0] or 0)
     history: list[np.ndarray] = []
+    if not total:
+        return history
 
     def totals(past):
         def run(batches):

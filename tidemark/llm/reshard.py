@@ -128,7 +128,7 @@ def reshard(rows: DataFrame, shards: int, weights: list[float] | None = None) ->
     hundredth or so, or the largest document. Null sizes count as 0, null old shards as shard 0. The rows are
     stored once with their blocks, so that each pass meets them alike. Repeated rows are rows of their own; an empty table gives an empty result.
     """
-    rows = rows.withColumns({"size": F.coalesce("size", F.lit(0)).cast("long"), "old_shard": F.coalesce("old_shard", F.lit(0)).cast("int")})
+    rows = rows.drop("shard", "slot").withColumns({"size": F.coalesce("size", F.lit(0)).cast("long"), "old_shard": F.coalesce("old_shard", F.lit(0)).cast("int")})
     number, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     large = max(1, total // (shards * BLOCKS))
     chunks = max(1, number // CHUNK_ROWS)

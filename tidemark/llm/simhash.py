@@ -200,15 +200,13 @@ def without_copies(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> Dat
 
     Groups are those of ``near_duplicates``. Of repeated rows one stays; ids sort before a null one; all columns are returned.
     """
-    columns = docs.columns
-    if "fp" in columns:
-        raise ValueError("docs must not have a column named fp")
-    marked = stored(fingerprints(docs, width, tuple(columns)), "marked")
+    packed = docs.select(F.struct(*docs.columns).alias("packed"), "doc_id", "text")
+    marked = stored(fingerprints(packed, width, ("packed", "doc_id")), "marked")
     groups = marked.select("doc_id", "fp").join(_labels(marked, bits).drop("component_id"), "fp").groupBy("root")
     first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
     first = first.withColumnsRenamed({"doc_id": "first_id", "fp": "first_fp"})
     kept = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "fp"]).select(*columns)
+    return kept.dropDuplicates(["doc_id", "fp"]).select("packed.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ class Network:
         }
         for k in "fb":
             self.p |= {f"w{k}": small(INPUTS, 3 * HIDDEN), f"b{k}": np.zeros(3 * HIDDEN, np.float32), f"u{k}": small(HIDDEN, 3 * HIDDEN)}
-        self.scale = np.array([1.0, 0.0, 0.0])  # of the largest logit, of the mean, and a constant
+        self.scale = np.array([0.0, 0.0, -2.0])  # of the largest logit, of the mean, and a constant; untrained, all texts score alike
 
     def inputs(self, v: Vocabulary, rows: np.ndarray | None = None):
         """Input vectors of words and what the gradient of their embeddings needs."""
@@ -288,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     train, aside = rest[rest % 10 < 7], rest[rest % 10 >= 7]
     if len(train) and 0 < y[train].sum() < len(train):
         network.train(_joined([texts[k] for k in train]), y[train])
+        network.scale = np.array([1.0, 0.0, 0.0])
     if len(aside) and 0 < y[aside].sum() < len(aside):
         network.scale = _logistic(network.evidence(_joined([texts[k] for k in aside])), y[aside])
     return network
