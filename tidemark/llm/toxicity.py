@@ -26,6 +26,7 @@ INPUTS = FIXED + 2 * EMBED
 MAX_LABELLED = 8000
 MAX_BYTES = 200_000  # longer texts aren't taken for training; all are scored
 EPOCHS = 8
+LEAST_STEPS = 800
 BLOCK = 4096
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -228,9 +229,10 @@ class Network:
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
         moments = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()}
         rng, step = np.random.default_rng(11), 0
+        passes = max(3, -(-LEAST_STEPS // (EPOCHS * -(-len(y) // 128))))
         for _ in range(EPOCHS):
             best = self.most(self.logits(self.projected(v), tokens, inside), text)[1]
-            for _ in range(3):
+            for _ in range(passes):
                 order = rng.permutation(len(y))
                 for a in range(0, len(y), 128):
                     own = order[a : a + 128]
