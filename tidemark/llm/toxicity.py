@@ -25,8 +25,8 @@ FIXED = 3
 INPUTS = FIXED + 2 * EMBED
 MAX_LABELLED = 8000
 MAX_BYTES = 200_000  # longer texts aren't taken for training; all are scored
-EPOCHS = 8
-LEAST_STEPS = 800
+EPOCHS = 10
+DROPPED = 0.5  # share of words without their embeddings in a training step
 BLOCK = 4096
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,12 +177,14 @@ class Network:
         x, _ = self.inputs(v)
         return {k: x @ self.p[f"w{k}"] + self.p[f"b{k}"] for k in "fb"} if len(x) else {k: np.zeros((1, 3 * HIDDEN), np.float32) for k in "fb"}
 
-    def gradients(self, v: Vocabulary, tokens: np.ndarray, inside: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-        """Gradients of the weighted logistic loss over one window for each row."""
+    def gradients(self, v: Vocabulary, tokens: np.ndarray, inside: np.ndarray, y: np.ndarray, weight: np.ndarray, rng=None) -> dict:
+        """Gradients of the weighted logistic loss over one window for each row; with ``rng`` some words go without embeddings."""
         p, n = self.p, len(tokens)
         rows, back = np.unique(tokens, return_inverse=True)
         back = back.reshape(tokens.shape)
         x, (word, char, owner, count) = self.inputs(v, rows)
+        on = np.ones(len(rows), np.float32) if rng is None else (rng.random(len(rows)) >= DROPPED).astype(np.float32)
+        x[:, FIXED:] *= on[:, None]
         states, kept = np.zeros((WINDOW, n, 2 * HIDDEN), dtype=np.float32), {}
         for d, (k, order) in enumerate((("f", range(WINDOW)), ("b", reversed(range(WINDOW))))):
             xp, h = x @ p[f"w{k}"] + p[f"b{k}"], np.zeros((n, HIDDEN), dtype=np.float32)
@@ -217,31 +219,41 @@ class Network:
                 dh = np.where(m, own * zt + hidden @ p[f"u{k}"].T, dh)
             g[f"w{k}"], g[f"b{k}"] = x.T @ dxp, dxp.sum(axis=0)
             dx += dxp @ p[f"w{k}"].T
+        dx[:, FIXED:] *= on[:, None]
         np.add.at(g["word"], word, dx[:, FIXED : FIXED + EMBED])
         np.add.at(g["char"], char, (dx[:, FIXED + EMBED :] / count[:, None])[owner])
         return g
 
-    def train(self, words: Words, y: np.ndarray) -> None:
-        """Adam over the most toxic window of each row, chosen anew in every epoch; toxic rows weigh as much as the others together."""
+    def train(self, words: Words, y: np.ndarray, aside: Words | None = None, aside_y: np.ndarray | None = None) -> None:
+        """Adam over the most toxic window of each row, chosen anew in every epoch; toxic rows weigh as much as the others together.
+
+        The weights of the epoch that ranks the rows aside best are kept.
+        """
+        best_auc, best_p = -1.0, self.p
         v = Vocabulary(words)
         at, inside, text = windows(words)
         tokens = v.tokens[at] if len(v.tokens) else at
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
         moments = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()}
         rng, step = np.random.default_rng(11), 0
-        passes = max(3, -(-LEAST_STEPS // (EPOCHS * -(-len(y) // 128))))
         for _ in range(EPOCHS):
             best = self.most(self.logits(self.projected(v), tokens, inside), text)[1]
-            for _ in range(passes):
+            for _ in range(3):
                 order = rng.permutation(len(y))
                 for a in range(0, len(y), 128):
                     own = order[a : a + 128]
                     step += 1
-                    for k, d in self.gradients(v, tokens[best[own]], inside[best[own]], y[own], weight[own]).items():
+                    for k, d in self.gradients(v, tokens[best[own]], inside[best[own]], y[own], weight[own], rng).items():
                         m, s = moments[k]
                         m += 0.1 * (d + 1e-4 * self.p[k] - m)
                         s += 0.01 * (d * d - s)
                         self.p[k] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            if aside is not None and 0 < aside_y.sum() < len(aside_y):
+                auc = _auc(self.evidence(aside)[:, 1], aside_y)
+                if auc > best_auc:
+                    best_auc, best_p = auc, {k: a.copy() for k, a in self.p.items()}
+        if best_auc >= 0:
+            self.p = best_p
 
     @staticmethod
     def most(z: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +275,12 @@ class Network:
         return self.evidence(words) @ self.scale
 
 
+def _auc(score: np.ndarray, y: np.ndarray) -> float:
+    rank = np.empty(len(score))
+    rank[np.argsort(score, kind="stable")] = np.arange(len(score))
+    return (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
 def _joined(texts: list[bytes]) -> Words:
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     return Words(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, NO_WORD)
@@ -289,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     rest = np.arange(len(texts) // 2, len(texts))
     train, aside = rest[rest % 10 < 7], rest[rest % 10 >= 7]
     if len(train) and 0 < y[train].sum() < len(train):
-        network.train(_joined([texts[k] for k in train]), y[train])
+        network.train(_joined([texts[k] for k in train]), y[train], _joined([texts[k] for k in aside]), y[aside])
         network.scale = np.array([1.0, 0.0, 0.0])
     if len(aside) and 0 < y[aside].sum() < len(aside):
         network.scale = _logistic(network.evidence(_joined([texts[k] for k in aside])), y[aside])
