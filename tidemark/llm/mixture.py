@@ -38,11 +38,14 @@ def fit_domains(labelled: DataFrame) -> Domains:
     return Domains(sorted(set(sample["domain"])) or ["all"], sample)
 
 
-def memberships(docs: DataFrame, model: Domains) -> DataFrame:
-    """``tokens`` (words) and ``domains`` (probabilities) beside all columns of ``docs(text, ...)``; null texts are empty and have 0 tokens."""
+def memberships(docs: DataFrame, model: Domains, rates=None) -> DataFrame:
+    """``tokens`` (words) and ``domains`` (probabilities) beside all columns of ``docs(text, ...)``; null texts are empty and have 0 tokens.
+
+    ``rates``, a function of the matrix of probabilities, adds a column ``rate`` in the same pass.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("tokens", "domains")
+    docs = docs.drop("tokens", "domains", "rate")
     columns = docs.columns
     width = len(columns)
 
@@ -54,9 +57,11 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
                 parts.append(_softmax(sparse_logits(shared.value.w, shared.value.b, *trigrams(words))))
             p = np.concatenate(parts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.concatenate(tokens)), lists], names=[*columns, "tokens", "domains"])
+            more = {"tokens": pa.array(np.concatenate(tokens)), "domains": lists} | ({"rate": pa.array(rates(p))} if rates else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more.values()], names=[*columns, *more])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "tokens long, domains array<double>"])
+    added = "tokens long, domains array<double>" + ", rate double" * bool(rates)
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added])
     return docs.select("*", F.col("text").cast("binary").alias("_in_text")).mapInArrow(run, kinds)
 
 
@@ -127,18 +132,11 @@ def mixed(docs: DataFrame, model: Domains, weights: dict[str, float], whole: boo
     size = max(total, float((per[want > 0] / want[want > 0]).max())) if whole else total
     base = size / total if total else 1.0
     history = fit_rates(rows, list(size * want), base)
-    members = memberships(docs, model)
-    columns = members.columns
-    width = len(columns)
 
-    def run(batches):
-        for batch in batches:
-            rate, _ = _replay(_matrix(batch.column(width - 1), k), history, base)
-            if whole:
-                rate = np.maximum(rate, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*columns, "rate"])
+    def rates(p: np.ndarray) -> np.ndarray:
+        rate, _ = _replay(p, history, base)
+        return np.maximum(rate, 1.0) if whole else rate
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema), "rate double"])
-    rated = members.mapInArrow(run, kinds)
+    rated = memberships(docs, model, rates)
     luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
     return rated.withColumn("copies", F.floor(F.col("rate") + luck).cast("int"))
