@@ -452,3 +452,31 @@ def test_search_edges(spark):
     assert best[1] == (1, 1) and best[8] == (8, 1) and 2 not in best and None not in best
     nothing = stored(search.build_index(empty_docs(spark)), "index")
     assert search.search(nothing, asked, 3).count() == 0 and search.search(index, asked.limit(0), 3).count() == 0
+
+
+def test_search_query_asks_whole_texts(spark):
+    docs = table("documents")
+    got = queries.op10_search(spark, SF).toPandas()
+    for i in docs.doc_id[docs.doc_id % 20 == 0]:
+        want, _ = brute_search(list(docs.text), list(docs.doc_id), int(np.flatnonzero(docs.doc_id == i)[0]), 10, None)
+        assert got[got.query_id == i].sort_values("rank").score.tolist() == pytest.approx(want, rel=1e-9)
+
+
+def test_search_blocks_and_copies(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng, k = np.random.default_rng(7), 5
+    tf = rng.poisson(0.4, (150, 60))
+    tf[100:130] = tf[3]  # copies: equal scores, in order of place
+    tf[140] = 0
+    term, doc = np.nonzero(tf.T)
+    starts = np.searchsorted(term, np.arange(61)).astype(np.int32)
+    lengths, place = tf.sum(axis=1).astype(np.int32), rng.permutation(150)
+    weights = rng.random((40, 60)) * (rng.random((40, 60)) < 0.5)
+    shard = search.Shard(lengths, np.arange(60) * 7 - 200, starts, doc.astype(np.int32), tf.T[term, doc].astype(np.int32), lengths.mean(), place)
+    query, at = np.nonzero(weights)
+    got = shard.top(query, at * 7 - 200, weights[query, at], k)
+    share = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths / lengths.mean())[:, None])
+    for q in range(40):
+        score = np.round(share @ weights[q], 9)
+        want = [d for d in np.lexsort((place, -score)) if score[d] > 0][:k]
+        assert got[1][got[0] == q].tolist() == want
