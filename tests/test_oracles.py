@@ -20,6 +20,13 @@ def test_query_without_oracle_runs(spark, sf_dir, name):
     assert df.columns and df.count() >= 0
 
 
+def test_payload_of_a_hot_user_is_aligned(spark, tmp_path):
+    events = spark.range(100_010).selectExpr("id AS event_id", "IF(id < 5, 17L, 1L) AS user_id", "timestamp_seconds(id) AS ts", "1.0D + id % 7 AS value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.violations for r in catalogue.QUERIES["payload_validation"](spark, str(tmp_path)).collect()}
+    assert "aligned" not in got[1] and "aligned" in got[17]
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -222,11 +222,11 @@ l AS (SELECT max(ts) AS now FROM events)"""
 def payload_validation(spark, sf_dir):
     """Rules a published payload must keep, as a list of the messages of those it breaks; payloads are made from events, some of them faulty."""
     events, u = table(spark, sf_dir, "events"), F.col("user_id")
-    top, points = F.max("value"), F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    top, n = F.max("value"), F.count("*")
     p = events.groupBy("user_id").agg(
         F.when(u % 7 == 0, -1.0).when(u % 11 == 0, float("nan")).otherwise(top).alias("current_price"), F.when(u % 5 == 0, None).otherwise(F.max("ts")).alias("frozen_at"),
         F.when(u % 13 == 0, " ").otherwise(F.concat(F.lit("CL"), u.cast("string"))).alias("symbol"), top.alias("prediction"), (top * F.when(u % 3 == 0, 1.05).otherwise(0.9)).alias("low"), (top * 1.02).alias("high"),
-        F.transform(points, lambda x: x["ts"]).alias("stamps"), F.slice(F.transform(points, lambda x: x["value"]), 1, F.when(u % 17 == 0, 1).otherwise(100000)).alias("vals"),
+        n.alias("stamps"), F.when(u % 17 == 0, F.least(n, F.lit(1))).otherwise(n).alias("vals"),
     )
     now = events.agg(F.max("ts").alias("now"))
     price, age = S.finite(F.col("current_price")), F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("frozen_at").cast("timestamp"))
@@ -235,7 +235,7 @@ def payload_validation(spark, sf_dir):
         F.when(F.col("frozen_at").isNull(), "frozen_at must be a timestamp").when(age > 43200 * 10**6, "frozen_at is older than 720 minutes"),
         F.when(F.trim("symbol") == "", "contract.symbol must be present"),
         F.when(F.col("low") > F.col("high"), "lower exceeds upper").when(~F.col("prediction").between(F.col("low"), F.col("high")), "prediction lies outside its interval"),
-        F.when(F.size("stamps") != F.size("vals"), "timestamps and values must be aligned").when(F.size("stamps") == 0, "history must not be empty"),
+        F.when(F.col("stamps") != F.col("vals"), "timestamps and values must be aligned").when(F.col("stamps") == 0, "history must not be empty"),
     ]
     bad = p.join(F.broadcast(now)).withColumn("bad", F.array_compact(F.array(*rules)))
     return bad.select("user_id", F.size("bad").alias("n_violations"), F.array_join("bad", "; ").alias("violations"))
