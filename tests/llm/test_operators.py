@@ -169,6 +169,13 @@ def test_ppm_matches_brute_force(spark):
     check_ppm(ppm.score(spark.createDataFrame(own, "doc_id long, text string")).collect(), own)
 
 
+def test_ppm_learns_from_all_grams(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "MAX_GRAMS", 500)
+    docs = table("documents")
+    own = [(int(i), t[:300]) for i, t in zip(docs.doc_id[:40], docs.text[:40], strict=True)]
+    check_ppm(ppm.score(spark.createDataFrame(own, "doc_id long, text string")).collect(), own)
+
+
 def test_ppm_edges(spark):
     rows = [(i, t if t is None or len(t) < 1000 else t[:3000], *more) for i, t, *more in edge_rows()]
     docs = spark.createDataFrame(rows, edge_docs(spark).schema)

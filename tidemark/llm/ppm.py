@@ -5,9 +5,10 @@ longest context the trie has; where it has not followed, an escape (as likely as
 successors) leads to the context one byte shorter, in which the successors already ruled out are excluded. ``ORDER``
 zero bytes stand before a text and one behind it, so its end is coded too.
 
-The counts of the longest grams hold all shorter ones. What is broadcast is bounded: ``MAX_GRAMS`` grams at most (the
-trie's memory limit; the least frequent leave first) and, for the base score, words that make up more than one
-in ``2**20`` of all tokens; all other words are joined.
+The counts of the longest grams hold all shorter ones. The trie lies in shards by the two bytes before the coded one, each with all
+grams of its contexts; orders 0 and 1, 65,792 grams at most, are counted over all shards and known to each. A shard gives the value of
+each different gram of its contexts, whether trained or only asked. What is broadcast is bounded: the values of ``MAX_GRAMS`` grams at most,
+the most frequent ones, and, for the base score, words that make up more than one in ``2**20`` of all tokens; all other grams and words are joined.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import partitions, stored
 from .textops import Lookup, Words, chunks, mix, signed, tallied
 
 ORDER = 5
 MAX_GRAMS = 1 << 22
+SHARD_GRAMS = 200_000
 MERGE_AT = 1_000_000
 FREQUENT_BITS = 20
 WORD, GRAM = 0, 1
@@ -76,13 +78,18 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Log10 code lengths of a counted trie, by order: of a gram, of an escape, and of both under exclusion."""
+    """Log10 code lengths of a counted trie, by order: of a gram, of an escape, and of both under exclusion.
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
+    ``keys`` and ``n`` are all grams of some contexts of two bytes; ``low`` the keys and counts of order 1 over all contexts.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]):
         self.orders = []
         below = None
         tables = []
         for k in range(ORDER, -1, -1):
+            if k == 1:
+                keys, n = low
             keys, n = tallied([(keys & np.uint64((1 << (8 * (k + 1))) - 1), n)])
             tables.append((k, keys, n))
         for k, keys, n in reversed(tables):
@@ -142,13 +149,31 @@ class Trie:
         return out
 
 
-def _kept_grams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of the trie: all, or those above the least power of two that leaves ``MAX_GRAMS`` at most."""
-    own = counts.where(F.col("kind") == GRAM)
-    sizes = own.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()
+def _values(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``key, n, value``: how often each gram of ``asked(kind, key, n)`` occurs there and its log10 probability under the trie of ``counts``."""
+    grams_of = lambda df: df.where(F.col("kind") == GRAM)
+    order_1 = grams_of(counts).groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    low = asked.sparkSession.sparkContext.broadcast((order_1.column("key").to_numpy().view(np.uint64), order_1.column("n").to_numpy()))
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, trained = table.column("key").to_numpy().view(np.uint64), table.column("trained").to_numpy()
+        known = trained > 0
+        value = Trie(keys[known], trained[known], low.value).score(keys)
+        return pa.table({"key": table.column("key"), "n": table.column("n"), "value": pa.array(value)})
+
+    both = grams_of(asked).select("key", "n", F.lit(0).cast("long").alias("trained"))
+    both = both.union(grams_of(counts).select("key", F.lit(0).cast("long"), "n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+    context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    shards = partitions(grams_of(asked).count(), SHARD_GRAMS)
+    both = both.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(shards)))
+    return both.groupBy("shard").applyInArrow(lambda t: run(t.select(["key", "n", "trained"])), "key long, n long, value double")
+
+
+def _frequent(values: DataFrame) -> F.Column:
+    """Which grams of ``values`` are broadcast: all, or those above the least power of two that leaves ``MAX_GRAMS`` at most."""
+    sizes = values.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()
     least = next(p for p in range(64) if sum(r.c for r in sizes if r.p >= p) <= MAX_GRAMS)
-    got = own.where(F.col("n") >= (1 << least)).select("key", "n").toArrow()
-    return got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    return F.col("n") >= (1 << least)
 
 
 def held_out(doc_id) -> F.Column:
@@ -167,18 +192,25 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     counts = stored(counted(docs.where(~F.col("held_out"))), "counts")
+    asked = stored(counts.unionByName(counted(docs.where("held_out"))), "asked")
+    values = stored(_values(asked, counts), "values")
     total, distinct = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = (F.col("kind") == WORD) & (F.col("n") * (1 << FREQUENT_BITS) > total)
     common = counts.where(frequent).select("key", "n").toArrow()
     word_n = np.append(common.column("n").to_numpy(), 0)
+    often = _frequent(values)
+    usual = values.where(often).select("key", "value").toArrow()
     model = spark.sparkContext.broadcast(
-        (Lookup(common.column("key").to_numpy().view(np.uint64)), np.log10(word_n + 0.1), Trie(*_kept_grams(counts)))
-    )
+        (
+            Lookup(common.column("key").to_numpy().view(np.uint64)), np.log10(word_n + 0.1),
+            Lookup(usual.column("key").to_numpy().view(np.uint64)), np.append(usual.column("value").to_numpy(), 0.0),
+        )
+    )
     end_n = counts.where((F.col("kind") == WORD) & (F.col("key") == F.lit(np.uint64(END).view(np.int64).item()))).select("n").first()
     end_n = end_n[0] if end_n else 0
 
     def run(batches):
-        lookup, logs, trie = model.value
+        lookup, logs, usual, value = model.value
         for batch in batches:
             rows = []
             for _, words in chunks(batch.column(3)):
@@ -189,20 +221,24 @@ def score(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(n), np.diff(words.bounds))
                 base = np.bincount(owner[known], logs[at[known]], minlength=n).astype(np.float64)  # counts stay integers without words
                 keys, first = grams(words)
-                ppm = np.add.reduceat(trie.score(keys), first)
+                gram = usual.find(keys)  # the last value is that of a gram to be joined
+                ppm = np.add.reduceat(value[gram], first)
+                gram_owner = np.repeat(np.arange(n), np.diff(np.append(first, len(keys))))[gram < 0]
+                unusual_at = np.concatenate(([0], np.cumsum(np.bincount(gram_owner, minlength=n))))
+                unusual = pa.ListArray.from_arrays(pa.array(unusual_at.astype(np.int32)), signed(keys[gram < 0]))
                 rare_at = np.concatenate(([0], np.cumsum(np.bincount(owner[~known], minlength=n))))
                 rare = pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), signed(hashes[~known]))
-                rows.append((np.diff(words.bounds), np.bincount(owner[known], minlength=n), base, ppm, rare))
+                rows.append((np.diff(words.bounds), np.bincount(owner[known], minlength=n), base, ppm, rare, unusual))
             if rows:
                 n_words, n_known, base, ppm = (np.concatenate(x) for x in list(zip(*rows, strict=True))[:4])
-                rare = pa.concat_arrays([r[4] for r in rows])
+                rare, unusual = (pa.concat_arrays([r[c] for r in rows]) for c in (4, 5))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(ppm), rare],
-                    names=["row", "doc_id", "held_out", "n_words", "n_known", "base", "score", "rare"],
+                    [*batch.columns[:3], pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(ppm), rare, unusual],
+                    names=["row", "doc_id", "held_out", "n_words", "n_known", "base", "score", "rare", "unusual"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_words long, n_known long, base double, score double, rare array<long>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_words long, n_known long, base double, score double, rare array<long>, unusual array<long>"
     part = stored(docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema), "scored")
 
     # words beyond the frequent ones: by a join
@@ -210,14 +246,17 @@ def score(docs: DataFrame) -> DataFrame:
     rare_counts = counts.where((F.col("kind") == WORD) & ~frequent).select("key", "n")
     sums = rare.join(rare_counts, "key", "left").groupBy("row")
     sums = sums.agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"))
+    # grams beyond the frequent ones: likewise
+    gram_sums = part.select("row", F.explode("unusual").alias("key")).join(values.where(~often).select("key", "value"), "key")
+    gram_sums = gram_sums.groupBy("row").agg(F.sum("value").alias("rare_score"))
     rest = F.lit(total + 0.1 * (distinct + 1))
     tokens = F.col("n_words") + 1
-    return part.join(sums, "row", "left").select(
+    return part.join(sums, "row", "left").join(gram_sums, "row", "left").select(
         "doc_id",
         "held_out",
         tokens.alias("n_tokens"),
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(end_n > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.log10(F.lit(end_n + 0.1)) - tokens * F.log10(rest)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
