@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixture, quality, reshard, simhash
+from tidemark.llm import alike, decontaminate, mixture, quality, reshard
 from tidemark.llm.queries import WEIGHTS, language_domains
 from tidemark.llm.store import stored
 
@@ -28,8 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.without_copies(docs)
+    """One document of each group of near-duplicates: five-word shingle sets of Jaccard similarity 0.8 or more."""
+    return alike.without_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
