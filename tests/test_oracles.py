@@ -14,6 +14,12 @@ def test_query_matches_its_oracle(spark, sf_dir, name):
     assert got == oracle_rows(catalogue.ORACLES[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", ["horizon_accuracy_rollup", "quality_classification", "nearest_price_24h", "event_window_response", "feature_relevance", "best_baseline"])
+def test_divisions_at_a_size_with_zero_prices(spark, name):
+    larger = "/root/testdata/sf0.1"
+    assert spark_rows(catalogue.QUERIES[name](spark, larger)) == oracle_rows(catalogue.ORACLES[name], larger)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_oracle_runs(spark, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import recursive, stats
 from tidemark.functions import series as S
-from tidemark.functions.folds import keep_heartbeats
+from tidemark.functions.folds import kept_heartbeats
 from tidemark.operators.asof import asof_join
 from tidemark.plans import evaluation, learning
 
@@ -87,8 +87,12 @@ def test_binomial_and_normal_tails(spark):
 
 def test_heartbeats():
     t = pd.Timestamp("2026-01-05")
-    rows = pd.DataFrame({"ts": [t, t + pd.Timedelta("1h"), t + pd.Timedelta("13h"), t + pd.Timedelta("14h"), t + pd.Timedelta("15h")], "price": [1.0, 1.0, 1.0, 2.0, 2.0], "volume": [0] * 5, "session_open": [True, True, True, True, False]})
-    assert keep_heartbeats(rows)[0] == [0, 2, 4]
+    hours, n = [0, 1, 13, 14, 15], 5
+    rows = pd.DataFrame({"user_id": [1] * n, "event_id": range(n), "ts": [t + pd.Timedelta(f"{h}h") for h in hours], "price": [1.0, 1.0, 1.0, 2.0, 2.0], "volume": [0] * n, "session_open": [True] * 4 + [False]})
+    rows = pd.concat([rows, rows.assign(user_id=2)])
+    for size in (1, 2, 3, 10):  # the same whatever the batches
+        got = pd.concat(kept_heartbeats(rows[k : k + size] for k in range(0, 2 * n, size)))
+        assert list(zip(got.user_id, got.event_id)) == [(u, k) for u in (1, 2) for k in (0, 2, 4)]
 
 
 def _with_jump(spark, sf_dir, tmp_path):

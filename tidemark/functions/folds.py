@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 
 HEARTBEAT = 12 * 3600
+QUOTE = ["user_id", "event_id", "ts", "price", "volume"]
 
 
-def keep_heartbeats(rows: pd.DataFrame, last: dict | None = None, heartbeat: int = HEARTBEAT) -> tuple[list[int], dict | None]:
-    """Places of the quotes kept of one series in order of time, after ``last``, and the last one kept.
+def kept_heartbeats(batches: Iterator[pd.DataFrame], heartbeat: int = HEARTBEAT) -> Iterator[pd.DataFrame]:
+    """The quotes kept of ``(user_id, event_id, ts, price, volume, session_open)`` in order of user and time, batch by batch.
 
-    A quote equal to the last kept one takes its place in a closed session and is dropped within a heartbeat; all others are kept.
+    A quote equal to the last kept one takes its place in a closed session and is dropped within a heartbeat; all others are kept. The last
+    kept quote is held back until the next one shows whether it stays, so it is all that passes from batch to batch.
     """
-    kept: list[int] = []
-    for k, (ts, price, volume, is_open) in enumerate(zip(rows["ts"], rows["price"], rows["volume"], rows["session_open"], strict=True)):
-        if last is not None and abs(last["price"] - price) < 1e-9 and last["volume"] == volume:
-            if not is_open:
-                if kept:
-                    kept.pop()
-            elif (ts - last["ts"]).total_seconds() < heartbeat:
-                continue
-        kept.append(k)
-        last = {"ts": ts, "price": price, "volume": volume}
-    return kept, last
+    held = None
+    for rows in batches:
+        out = []
+        for user, event, ts, price, volume, is_open in rows[[*QUOTE, "session_open"]].itertuples(index=False, name=None):
+            if held is not None and held[0] == user and abs(held[3] - price) < 1e-9 and held[4] == volume:
+                if is_open:
+                    if (ts - held[2]).total_seconds() < heartbeat:
+                        continue
+                    out.append(held)
+            elif held is not None:
+                out.append(held)
+            held = (user, event, ts, price, volume)
+        yield pd.DataFrame(out, columns=QUOTE)
+    if held is not None:
+        yield pd.DataFrame([held], columns=QUOTE)

@@ -182,7 +182,7 @@ def binomial_pvalue(spark, sf_dir):
     "best_baseline",
     f"""WITH {METRICS_SQL}, k AS (SELECT *, CASE model WHEN 'naive' THEN 0 WHEN 'drift' THEN 1 ELSE 2 END AS o FROM m),
     bb AS (SELECT series_id, arg_min(model, row(mae, o)) AS best, min(mae) AS best_mae FROM k WHERE model <> 'challenger' GROUP BY 1)
-    SELECT bb.series_id, best, round(best_mae, 2) AS best_mae, round(100 * (best_mae - m.mae) / best_mae, 6) AS improvement_pct FROM bb JOIN m ON m.series_id = bb.series_id AND m.model = 'challenger'""",
+    SELECT bb.series_id, best, round(best_mae, 2) AS best_mae, round(100 * (best_mae - m.mae) / nullif(best_mae, 0), 6) AS improvement_pct FROM bb JOIN m ON m.series_id = bb.series_id AND m.model = 'challenger'""",
 )
 def best_baseline(spark, sf_dir):
     """The baseline with the least error (earlier in the list on ties) and how much the challenger improves on it."""
@@ -191,7 +191,7 @@ def best_baseline(spark, sf_dir):
     m = metrics(spark, sf_dir).groupBy("series_id").agg(
         F.min_by(F.when(base, F.col("model")), F.when(base, F.struct("mae", order))).alias("best"), F.min(F.when(base, F.col("mae"))).alias("least"), F.max(F.when(~base, F.col("mae"))).alias("own")
     )
-    return m.select("series_id", "best", r2(F.col("least")).alias("best_mae"), r6(100 * (F.col("least") - F.col("own")) / F.col("least")).alias("improvement_pct"))
+    return m.select("series_id", "best", r2(F.col("least")).alias("best_mae"), r6(F.try_divide(100 * (F.col("least") - F.col("own")), F.col("least"))).alias("improvement_pct"))
 
 
 TRADES_SQL = f"""{WALK_SQL},
@@ -339,12 +339,12 @@ def ledger(spark, sf_dir):
     f"""WITH {LEDGER_SQL} SELECT coalesce(horizon, 'overall') AS horizon, count(*) AS n, round(100 * avg(CASE WHEN sign(pred - price) = sign(actual - price) THEN 1.0 ELSE 0.0 END), 4) AS direction_accuracy, round(avg(abs(actual - pred)), 6) AS mae,
     round(sqrt(avg((actual - pred) ** 2)), 6) AS rmse, round(100 * avg(abs(actual - pred) / greatest(abs(actual), 1e-6)), 4) AS mape, CAST(sum(CASE WHEN actual BETWEEN low AND high THEN 1 ELSE 0 END) AS BIGINT) AS interval_hits,
     round(100 * avg(CASE WHEN actual BETWEEN low AND high THEN 1.0 ELSE 0.0 END), 4) AS interval_coverage,
-    round(avg(sign(pred - price) * (actual - price) / price) / nullif(stddev_pop(sign(pred - price) * (actual - price) / price), 0), 6) AS sharpe_like FROM led WHERE actual IS NOT NULL GROUP BY ROLLUP (horizon)""",
+    round(avg(sign(pred - price) * (actual - price) / nullif(price, 0)) / nullif(stddev_pop(sign(pred - price) * (actual - price) / nullif(price, 0)), 0), 6) AS sharpe_like FROM led WHERE actual IS NOT NULL GROUP BY ROLLUP (horizon)""",
 )
 def horizon_accuracy_rollup(spark, sf_dir):
     """Accuracy by horizon and overall; the overall row weighs every resolved forecast alike."""
     y, p, c = F.col("actual"), F.col("pred"), F.col("price")
-    inside, gain = y.between(F.col("low"), F.col("high")), S.sign(p - c) * (y - c) / c
+    inside, gain = y.between(F.col("low"), F.col("high")), F.try_divide(S.sign(p - c) * (y - c), c)
     spread = F.stddev_pop(gain)
     rows = ledger(spark, sf_dir).where("actual IS NOT NULL").rollup("horizon").agg(
         F.count("*").alias("n"), F.round(100 * F.avg((S.sign(p - c) == S.sign(y - c)).cast("double")), 4).alias("direction_accuracy"), r6(F.avg(F.abs(y - p))).alias("mae"),

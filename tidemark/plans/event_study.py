@@ -68,13 +68,13 @@ def responses(spark, sf_dir):
 
 
 def _pct(x):
-    return F.round((F.col(x) - F.col("base")) / F.col("base") * 100, 4)
+    return F.round(F.try_divide(F.col(x) - F.col("base"), F.col("base")) * 100, 4)
 
 
 @query(
     "event_window_response",
-    f"""WITH {RESPONSE_SQL} SELECT series_id, id, round(base, 2) AS base, round((peak - base) / base * 100, 4) AS peak_pct, peak_day, round((trough - base) / base * 100, 4) AS trough_pct,
-    round((settle - base) / base * 100, 4) AS settle_pct, round((day0 - base) / base * 100, 4) AS day0_pct FROM resp""",
+    f"""WITH {RESPONSE_SQL} SELECT series_id, id, round(base, 2) AS base, round((peak - base) / nullif(base, 0) * 100, 4) AS peak_pct, peak_day, round((trough - base) / nullif(base, 0) * 100, 4) AS trough_pct,
+    round((settle - base) / nullif(base, 0) * 100, 4) AS settle_pct, round((day0 - base) / nullif(base, 0) * 100, 4) AS day0_pct FROM resp""",
 )
 def event_window_response(spark, sf_dir):
     rows = responses(spark, sf_dir)
@@ -83,12 +83,12 @@ def event_window_response(spark, sf_dir):
 
 @query(
     "event_trajectory",
-    f"""WITH {RESPONSE_SQL} SELECT resp.series_id, resp.id, CAST(k AS INTEGER) AS k, round((close - base) / base * 100, 4) AS move_pct FROM resp JOIN fwd USING (series_id, id) WHERE k IN {OFFSETS}""",
+    f"""WITH {RESPONSE_SQL} SELECT resp.series_id, resp.id, CAST(k AS INTEGER) AS k, round((close - base) / nullif(base, 0) * 100, 4) AS move_pct FROM resp JOIN fwd USING (series_id, id) WHERE k IN {OFFSETS}""",
 )
 def event_trajectory(spark, sf_dir):
     """The move since the base after 0 to 15 bars, from the map a response keeps."""
     rows = responses(spark, sf_dir).select("series_id", "id", "base", F.explode("path").alias("k", "close"))
-    return rows.select("series_id", "id", "k", F.round((F.col("close") - F.col("base")) / F.col("base") * 100, 4).alias("move_pct"))
+    return rows.select("series_id", "id", "k", F.round(F.try_divide(F.col("close") - F.col("base"), F.col("base")) * 100, 4).alias("move_pct"))
 
 
 #: Groups a shock can be in, several at once: name, condition in SQL that both engines read alike.
@@ -101,13 +101,13 @@ GROUPS = {
 @query(
     "event_group_distribution",
     f"""WITH {RESPONSE_SQL}, g AS (SELECT *, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{g}' END" for g, c in GROUPS.items())}], lambda x: x IS NOT NULL)) AS category FROM resp),
-    p AS (SELECT series_id, category, (peak - base) / base * 100 AS peak_pct, (settle - base) / base * 100 AS settle_pct FROM g)
+    p AS (SELECT series_id, category, (peak - base) / nullif(base, 0) * 100 AS peak_pct, (settle - base) / nullif(base, 0) * 100 AS settle_pct FROM g)
     SELECT series_id, category, count(*) AS n, round(quantile_cont(peak_pct, 0.5), 4) AS median_peak, round(min(peak_pct), 4) AS min_peak, round(max(peak_pct), 4) AS max_peak, round(quantile_cont(settle_pct, 0.5), 4) AS median_settle FROM p GROUP BY 1, 2""",
 )
 def event_group_distribution(spark, sf_dir):
     """Distributions over groups that overlap: a shock counts in each group whose condition it meets."""
     labels = F.array_compact(F.array(*(F.when(F.expr(c), g) for g, c in GROUPS.items())))
-    move = lambda x: (F.col(x) - F.col("base")) / F.col("base") * 100
+    move = lambda x: F.try_divide(F.col(x) - F.col("base"), F.col("base")) * 100
     rows = responses(spark, sf_dir).select("series_id", F.explode(labels).alias("category"), move("peak").alias("peak_pct"), move("settle").alias("settle_pct"))
     return rows.groupBy("series_id", "category").agg(
         F.count("*").alias("n"), F.round(F.percentile("peak_pct", 0.5), 4).alias("median_peak"), F.round(F.min("peak_pct"), 4).alias("min_peak"), F.round(F.max("peak_pct"), 4).alias("max_peak"),
@@ -117,12 +117,12 @@ def event_group_distribution(spark, sf_dir):
 
 @query(
     "event_priced_in",
-    f"""WITH {RESPONSE_SQL}, p AS (SELECT series_id, (day0 - base) / base * 100 AS d0, (peak - base) / base * 100 AS pk FROM resp)
+    f"""WITH {RESPONSE_SQL}, p AS (SELECT series_id, (day0 - base) / nullif(base, 0) * 100 AS d0, (peak - base) / nullif(base, 0) * 100 AS pk FROM resp)
     SELECT series_id, count(*) FILTER (WHERE d0 >= 3) AS strong_day0_n, round(quantile_cont(pk, 0.5) FILTER (WHERE d0 >= 3), 4) AS strong_day0_median_peak,
     count(*) FILTER (WHERE d0 < 3) AS weak_day0_n, round(quantile_cont(pk, 0.5) FILTER (WHERE d0 < 3), 4) AS weak_day0_median_peak FROM p GROUP BY 1""",
 )
 def event_priced_in(spark, sf_dir):
-    move = lambda x: (F.col(x) - F.col("base")) / F.col("base") * 100
+    move = lambda x: F.try_divide(F.col(x) - F.col("base"), F.col("base")) * 100
     strong, peak = move("day0") >= 3, move("peak")
     return responses(spark, sf_dir).groupBy("series_id").agg(
         F.count_if(strong).alias("strong_day0_n"), F.round(F.percentile(F.when(strong, peak), 0.5), 4).alias("strong_day0_median_peak"),
@@ -134,7 +134,7 @@ def event_priced_in(spark, sf_dir):
     "event_top_analogues",
     f"""WITH {RESPONSE_SQL}, s AS (SELECT *, len(list_intersect(drivers, ['iran', 'conflict'])) AS overlap FROM resp),
     rk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY overlap * 1000 + year(event_d) DESC, id) AS place FROM s)
-    SELECT series_id, CAST(place AS INTEGER) AS place, id, CAST(overlap AS INTEGER) AS overlap, round((peak - base) / base * 100, 4) AS peak_pct FROM rk WHERE place <= 5""",
+    SELECT series_id, CAST(place AS INTEGER) AS place, id, CAST(overlap AS INTEGER) AS overlap, round((peak - base) / nullif(base, 0) * 100, 4) AS peak_pct FROM rk WHERE place <= 5""",
 )
 def event_top_analogues(spark, sf_dir):
     """The five shocks most like the present drivers, the later first among equals."""

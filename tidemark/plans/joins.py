@@ -75,7 +75,7 @@ def forward_asof_tolerance(spark, sf_dir):
     f AS (SELECT b.*, y.h AS after_h, y.close AS after_close FROM b ASOF LEFT JOIN hours y ON b.series_id = y.series_id AND b.wanted <= y.h),
     p AS (SELECT *, before_h IS NOT NULL AND (after_h IS NULL OR epoch(wanted) - epoch(before_h) <= epoch(after_h) - epoch(wanted)) AS earlier FROM f),
     t AS (SELECT series_id, h, close, CASE WHEN earlier THEN before_close ELSE after_close END AS price_24h, abs(epoch(CASE WHEN earlier THEN before_h ELSE after_h END) - epoch(wanted)) / 3600 AS gap FROM p)
-    SELECT series_id, h, close, price_24h, round(100 * (close / price_24h - 1), 6) AS change_pct, CASE WHEN gap <= 1 THEN 'precise' WHEN gap <= 6 THEN 'good' WHEN gap <= 48 THEN 'approximate' ELSE 'stale' END AS quality FROM t""",
+    SELECT series_id, h, close, price_24h, round(100 * (close / nullif(price_24h, 0) - 1), 6) AS change_pct, CASE WHEN gap <= 1 THEN 'precise' WHEN gap <= 6 THEN 'good' WHEN gap <= 48 THEN 'approximate' ELSE 'stale' END AS quality FROM t""",
 )
 def nearest_price_24h(spark, sf_dir):
     """The price nearest to 24 hours before each hourly bar, before or after that time, and how near it is."""
@@ -89,7 +89,7 @@ def nearest_price_24h(spark, sf_dir):
     earlier = F.col("before_h").isNotNull() & (F.col("after_h").isNull() | (away["before"] <= away["after"]))
     price, gap = F.when(earlier, F.col("before_close")).otherwise(F.col("after_close")), F.when(earlier, away["before"]).otherwise(away["after"])
     quality = F.when(gap <= 1, "precise").when(gap <= 6, "good").when(gap <= 48, "approximate").otherwise("stale")
-    return asked.select("series_id", "h", "close", price.alias("price_24h"), r6(100 * (C / price - 1)).alias("change_pct"), quality.alias("quality"))
+    return asked.select("series_id", "h", "close", price.alias("price_24h"), r6(100 * (F.try_divide(C, price) - 1)).alias("change_pct"), quality.alias("quality"))
 
 
 @query(
@@ -144,9 +144,9 @@ def _z(v, n=20):
     "context_features",
     f"""WITH {PANEL_SQL}, s AS (SELECT *, front - next AS spread FROM p) SELECT d,
     {', '.join(f"round(coalesce({_ret(v, n)}, 0), 6) AS {v}_return_{n}d" for v in ("front", "dollar", "equity") for n in (1, 5, 20))},
-    round(spread, 2) AS term_spread, round(spread / next, 6) AS term_spread_pct, coalesce(CAST(spread < 0 AS INTEGER), 0) AS is_contango,
+    round(spread, 2) AS term_spread, round(spread / nullif(next, 0), 6) AS term_spread_pct, coalesce(CAST(spread < 0 AS INTEGER), 0) AS is_contango,
     round(spread - lag(spread, 5) OVER o, 2) AS term_spread_change_5d, round(coalesce({_z('spread')}, 0), 6) AS term_spread_zscore_20d,
-    round((front / next - 1) * 252 / 5, 6) AS roll_yield_5d_ann, round(coalesce({_z('dollar')}, 0), 6) AS dollar_zscore_20d, round(coalesce({_z('vol')}, 0), 6) AS vol_zscore_20d,
+    round((front / nullif(next, 0) - 1) * 252 / 5, 6) AS roll_yield_5d_ann, round(coalesce({_z('dollar')}, 0), 6) AS dollar_zscore_20d, round(coalesce({_z('vol')}, 0), 6) AS vol_zscore_20d,
     round(coalesce({_ret('front', 20)} - {_ret('equity', 20)}, 0), 6) AS front_vs_equity_gap_20d FROM s {frames(20)}""",
 )
 def context_features(spark, sf_dir):
@@ -158,9 +158,9 @@ def context_features(spark, sf_dir):
     return rows.select(
         "d",
         *(r6(F.coalesce(ret(v, n), zero)).alias(f"{v}_return_{n}d") for v in ("front", "dollar", "equity") for n in (1, 5, 20)),
-        r2(spread).alias("term_spread"), r6(spread / F.col("next")).alias("term_spread_pct"), F.coalesce((spread < 0).cast("int"), F.lit(0)).alias("is_contango"),
+        r2(spread).alias("term_spread"), r6(F.try_divide(spread, F.col("next"))).alias("term_spread_pct"), F.coalesce((spread < 0).cast("int"), F.lit(0)).alias("is_contango"),
         r2(spread - S.lagged(spread, 5)).alias("term_spread_change_5d"), r6(z("spread")).alias("term_spread_zscore_20d"),
-        r6((F.col("front") / F.col("next") - 1) * 252 / 5).alias("roll_yield_5d_ann"), r6(z("dollar")).alias("dollar_zscore_20d"), r6(z("vol")).alias("vol_zscore_20d"),
+        r6((F.try_divide(F.col("front"), F.col("next")) - 1) * 252 / 5).alias("roll_yield_5d_ann"), r6(z("dollar")).alias("dollar_zscore_20d"), r6(z("vol")).alias("vol_zscore_20d"),
         r6(F.coalesce(ret("front", 20) - ret("equity", 20), zero)).alias("front_vs_equity_gap_20d"),
     )
 

@@ -36,15 +36,15 @@ def matrix(spark, sf_dir):
 @query(
     "feature_relevance",
     f"""WITH {MATRIX_SQL}, lng AS (SELECT series_id, unnest([{', '.join(repr(f) for f in FEATURES)}]) AS feature, unnest([{', '.join(FEATURES)}]) AS v, target FROM mx),
-    c AS (SELECT series_id, feature, count(*) AS n, covar_samp(v, target) / (stddev_samp(v) * stddev_samp(target)) AS rho FROM lng GROUP BY 1, 2), f AS (SELECT *, rho * rho / (1 - rho * rho) * (n - 2) AS f_score FROM c),
-    k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY f_score DESC, feature) AS place FROM f) SELECT series_id, feature, n, round(rho, 6) AS rho, round(f_score, 4) AS f_score, place <= 3 AS selected FROM k""",
+    c AS (SELECT series_id, feature, count(*) AS n, covar_samp(v, target) / nullif(stddev_samp(v) * stddev_samp(target), 0) AS rho FROM lng GROUP BY 1, 2), f AS (SELECT *, rho * rho / nullif(1 - rho * rho, 0) * (n - 2) AS f_score FROM c),
+    k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY f_score DESC NULLS LAST, feature) AS place FROM f) SELECT series_id, feature, n, round(rho, 6) AS rho, round(f_score, 4) AS f_score, place <= 3 AS selected FROM k""",
 )
 def feature_relevance(spark, sf_dir):
     """Univariate F score of each feature and the top share of features by it."""
     rows = matrix(spark, sf_dir).unpivot(["series_id", "target"], list(FEATURES), "feature", "v")
-    c = rows.groupBy("series_id", "feature").agg(F.count("*").alias("n"), (F.covar_samp("v", "target") / (F.stddev_samp("v") * F.stddev_samp("target"))).alias("rho"))
+    c = rows.groupBy("series_id", "feature").agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("v", "target"), F.stddev_samp("v") * F.stddev_samp("target")).alias("rho"))
     rho = F.col("rho")
-    c = c.withColumn("f_score", rho * rho / (1 - rho * rho) * (F.col("n") - 2))
+    c = c.withColumn("f_score", F.try_divide(rho * rho, 1 - rho * rho) * (F.col("n") - 2))
     place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("f_score"), "feature"))
     return c.select("series_id", "feature", "n", r6(rho).alias("rho"), F.round("f_score", 4).alias("f_score"), (place <= 3).alias("selected"))
 
@@ -83,7 +83,7 @@ def ml_ensemble(spark, sf_dir):
 
     The split is by date over all series: training ends fifteen calendar days before the last fifth, so that no target reaches into it.
     """
-    rows = matrix(spark, sf_dir).persist()
+    rows = matrix(spark, sf_dir)
     bounds = rows.agg(F.percentile_approx(F.unix_date("d"), 0.8).alias("cut"))
     rows = rows.join(F.broadcast(bounds))
     train, test = rows.where(F.unix_date("d") < F.col("cut") - 15), rows.where(F.unix_date("d") >= F.col("cut"))
@@ -108,7 +108,7 @@ def ml_ensemble(spark, sf_dir):
     "source_snapshots",
     f"""WITH {RELEASED_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS back FROM w),
     s AS (SELECT series_id, max(level) FILTER (WHERE back = 1) AS latest, regr_slope(level, -back) FILTER (WHERE back <= 5) AS slope, avg(level) FILTER (WHERE back <= 30) AS m, stddev_pop(level) FILTER (WHERE back <= 30) AS sd FROM t GROUP BY 1)
-    SELECT series_id, latest, round(slope, 4) AS trend, round(sd, 4) AS volatility, round(least(100, greatest(0, 100 * (1 - abs(slope / m) / 0.05))), 4) AS stability, CASE WHEN latest > 0 THEN 100 ELSE 0 END AS data_quality FROM s""",
+    SELECT series_id, latest, round(slope, 4) AS trend, round(sd, 4) AS volatility, round(least(100, greatest(0, 100 * (1 - abs(slope / nullif(m, 0)) / 0.05))), 4) AS stability, CASE WHEN latest > 0 THEN 100 ELSE 0 END AS data_quality FROM s""",
 )
 def source_snapshots(spark, sf_dir):
     """The latest value of each released series with the slope of its last five, the spread of its last thirty, and a stability score."""
@@ -118,7 +118,7 @@ def source_snapshots(spark, sf_dir):
     s = rows.where("back <= 30").groupBy("series_id").agg(
         F.max(F.when(at == 1, level)).alias("latest"), F.regr_slope(F.when(at <= 5, level), F.when(at <= 5, (-at).cast("double"))).alias("slope"), F.avg(level).alias("m"), F.stddev_pop(level).alias("sd")
     )
-    stability = S.clip(100 * (1 - F.abs(F.col("slope") / F.col("m")) / 0.05), 0.0, 100.0)
+    stability = S.clip(100 * (1 - F.abs(F.try_divide(F.col("slope"), F.col("m"))) / 0.05), 0.0, 100.0)
     return s.select("series_id", "latest", F.round("slope", 4).alias("trend"), F.round("sd", 4).alias("volatility"), F.round(stability, 4).alias("stability"), F.when(F.col("latest") > 0, 100).otherwise(0).alias("data_quality"))
 
 

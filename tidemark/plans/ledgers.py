@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import series as S
-from ..functions.folds import HEARTBEAT, keep_heartbeats
+from ..functions.folds import HEARTBEAT, kept_heartbeats
 from ..functions.series import r6
 from ..operators.asof import asof_join
 from ..operators.bars import BARS_SQL, daily_bars, table
@@ -128,13 +127,9 @@ def quotes(spark, sf_dir):
     SELECT q.user_id, q.event_id, q.ts, q.price, q.volume FROM q SEMI JOIN (SELECT DISTINCT user_id, anchor AS i FROM f) k USING (user_id, i) ANTI JOIN (SELECT user_id, gone AS i FROM f WHERE gone IS NOT NULL) g USING (user_id, i)""",
 )
 def heartbeat_dedupe(spark, sf_dir):
-    """Quotes without redundant heartbeats, one fold along each user's quotes; its streaming twin keeps the same state."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        return rows.iloc[keep_heartbeats(rows)[0]][["user_id", "event_id", "ts", "price", "volume"]]
-
-    return quotes(spark, sf_dir).groupBy("user_id").applyInPandas(fold, QUOTE_SCHEMA)
+    """Quotes without redundant heartbeats: a fold along each user's quotes, sorted in their partition; its state is the last quote kept, however long the history."""
+    rows = quotes(spark, sf_dir).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return rows.mapInPandas(kept_heartbeats, QUOTE_SCHEMA)
 
 
 SPACING, BREAK = 2 * 3600, 12 * 3600

@@ -14,7 +14,7 @@ from .registry import query
 GRADE_SQL = f"""{LEDGER_SQL}, g AS (SELECT user_id, horizon, count(*) AS samples, count(actual) AS live_total,
   100 * avg(CASE WHEN actual IS NULL THEN NULL WHEN sign(pred - price) = sign(actual - price) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(high - low) AS width, avg(price) AS price FROM led GROUP BY 1, 2),
 c AS (SELECT *, CASE WHEN live_total >= 10 THEN 'live' WHEN samples >= 12 THEN 'backtest' WHEN live_total > 0 THEN 'live_sparse' WHEN samples > 0 THEN 'backtest_sparse' ELSE 'none' END AS evidence,
-  round(least(95, greatest(10, 60 + 0.55 * (coalesce(accuracy, 50) - 50) - least(45, 230 * width / price))), 6) AS confidence FROM g)"""
+  round(least(95, greatest(10, 60 + 0.55 * (coalesce(accuracy, 50) - 50) - least(45, 230 * width / nullif(price, 0)))), 6) AS confidence FROM g)"""
 
 
 @query(
@@ -32,7 +32,7 @@ def quality_classification(spark, sf_dir):
     )
     live, n = F.col("live_total"), F.col("samples")
     evidence = F.when(live >= 10, "live").when(n >= 12, "backtest").when(live > 0, "live_sparse").when(n > 0, "backtest_sparse").otherwise("none")
-    confidence = clip(60 + 0.55 * (F.coalesce("accuracy", F.lit(50.0)) - 50) - F.least(F.lit(45.0), 230 * F.col("width") / F.col("price")), 10.0, 95.0)
+    confidence = clip(60 + 0.55 * (F.coalesce("accuracy", F.lit(50.0)) - 50) - F.least(F.lit(45.0), F.try_divide(230 * F.col("width"), F.col("price"))), 10.0, 95.0)
     g = g.withColumns({"evidence": evidence, "confidence": r6(confidence)})
     floor = F.when(F.col("evidence").startswith("live"), 50).otherwise(45)
     reasons = F.array_compact(F.array(
@@ -64,7 +64,7 @@ def headline_horizon(spark, sf_dir):
     g AS (SELECT series_id, d, any_value(ref) AS ref, sum(w * pred) / sum(w) AS ens, abs(sum(w * sign(pred - ref))) / sum(w) AS consensus, sum(w * acc) / sum(w) AS avg_acc, arg_max(model, row(acc, -o)) AS leader, arg_max(pred, row(acc, -o)) AS lead_pred, max(acc) AS lead_acc, stddev_pop(pred) AS spread FROM j GROUP BY 1, 2),
     a AS (SELECT *, CASE WHEN sign(ens - ref) * sign(lead_pred - ref) = -1 AND lead_acc >= 52 THEN 0.2 + 0.35 * least(1, greatest(0, (lead_acc - 50) / 25)) ELSE 0 END AS blend FROM g),
     z AS (SELECT *, least(1, greatest(0.35, (0.35 + 0.65 * consensus) * (0.45 + 0.55 * least(1, greatest(0, avg_acc / 100))))) AS shrink FROM a)
-    SELECT series_id, d, leader, round(consensus, 6) AS consensus, round(shrink, 6) AS shrink_factor, round(((1 - blend) * ens + blend * lead_pred - ref) * shrink / ref, 6) AS move, round(spread / ref, 6) AS dispersion,
+    SELECT series_id, d, leader, round(consensus, 6) AS consensus, round(shrink, 6) AS shrink_factor, round(((1 - blend) * ens + blend * lead_pred - ref) * shrink / nullif(ref, 0), 6) AS move, round(spread / nullif(ref, 0), 6) AS dispersion,
     round(CASE WHEN avg_acc < 50 THEN 0.12 + 0.23 * least(1, greatest(0, (50 - avg_acc) / 15)) ELSE 0 END + CASE WHEN consensus < 0.55 THEN 0.12 ELSE 0 END, 6) AS challenger_weight FROM z""",
 )
 def ensemble_blend(spark, sf_dir):
@@ -85,8 +85,8 @@ def ensemble_blend(spark, sf_dir):
     shrink = clip((0.35 + 0.65 * F.col("consensus")) * (0.45 + 0.55 * clip(F.col("avg_acc") / 100, 0.0, 1.0)), 0.35, 1.0)
     lean = F.when(F.col("avg_acc") < 50, 0.12 + 0.23 * clip((50 - F.col("avg_acc")) / 15, 0.0, 1.0)).otherwise(0.0) + F.when(F.col("consensus") < 0.55, 0.12).otherwise(0.0)
     return g.select(
-        "series_id", "d", "leader", r6(F.col("consensus")).alias("consensus"), r6(shrink).alias("shrink_factor"), r6(((1 - blend) * ens + blend * lead - ref) * shrink / ref).alias("move"),
-        r6(F.col("spread") / ref).alias("dispersion"), r6(lean).alias("challenger_weight"),
+        "series_id", "d", "leader", r6(F.col("consensus")).alias("consensus"), r6(shrink).alias("shrink_factor"), r6(F.try_divide(((1 - blend) * ens + blend * lead - ref) * shrink, ref)).alias("move"),
+        r6(F.try_divide(F.col("spread"), ref)).alias("dispersion"), r6(lean).alias("challenger_weight"),
     )
 
 
@@ -208,7 +208,7 @@ def geo_regime(spark, sf_dir):
 
 
 PAYLOAD_SQL = """p AS (SELECT user_id, CASE WHEN user_id % 7 = 0 THEN -1.0 WHEN user_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE max(value) END AS current_price, CASE WHEN user_id % 5 = 0 THEN NULL ELSE max(ts) END AS frozen_at, CASE WHEN user_id % 13 = 0 THEN ' ' ELSE 'CL' || user_id END AS symbol,
-  max(value) AS prediction, max(value) * CASE WHEN user_id % 3 = 0 THEN 1.05 ELSE 0.9 END AS low, max(value) * 1.02 AS high, list(ts ORDER BY ts, event_id) AS stamps, list(value ORDER BY ts, event_id)[:CASE WHEN user_id % 17 = 0 THEN 1 ELSE 100000 END] AS vals FROM events GROUP BY user_id),
+  max(value) AS prediction, max(value) * CASE WHEN user_id % 3 = 0 THEN 1.05 ELSE 0.9 END AS low, max(value) * 1.02 AS high, list(ts ORDER BY ts, event_id) AS stamps, list(value ORDER BY ts, event_id)[:CASE WHEN user_id % 17 = 0 THEN 1 ELSE count(*) END] AS vals FROM events GROUP BY user_id),
 l AS (SELECT max(ts) AS now FROM events)"""
 
 
