@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.edge import edge_docs, edge_rows, empty_docs
 from tests.oracle import oracle_rows, spark_rows
-from tidemark.llm import decontaminate, licences, mixture, ppm, quality, queries, reshard, search, simhash, toxicity, urlrules
+from tidemark.llm import alike, decontaminate, licences, mixture, ppm, quality, queries, reshard, search, simhash, toxicity, urlrules
 from tidemark.llm.store import stored
 
 SF = "/root/testdata/sf0.001"
@@ -97,12 +97,12 @@ def test_links_join_chains_of_near_fingerprints(spark):
 
 def test_without_copies_keeps_one_of_each(spark):
     docs = edge_docs(spark)
-    left = simhash.without_copies(docs)
+    left = alike.without_copies(docs)
     assert left.columns == docs.columns
     got = collections.Counter((r.doc_id, r.text) for r in left.collect())
     assert set(got.values()) == {1}
     assert (1, "one two three four five six") in got and (None, "one two three four five six") not in got and (4, edge_rows()[3][1]) in got and len(got) == 6
-    assert simhash.without_copies(empty_docs(spark)).count() == 0
+    assert alike.without_copies(empty_docs(spark)).count() == 0
 
 
 def test_simhash_edges(spark):

@@ -1,9 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets, complete and exact at 0.8.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets: SimHash in the vantage-point shards of operator 1, every link verified exactly.
 
-In any fixed order of all shingles, two sets of similarity 0.8 or more share one of the first ``n - ceil(0.8 n) + 1`` of each
-(prefix filter), so each such pair meets in the bucket of some shingle. Shingles that many sets have come last in the order, which
-keeps buckets small and changes no result. Members of a bucket are first compared with one of them; pairs that components don't
-join by then are compared one by one. All comparisons count equal shingles of whole sets.
+Two sets of similarity 0.8 are 28 degrees apart, so SimHashes of 64 bits differ in about ten of them; linking at four bits finds few such pairs. Here a set has
+three 64-bit SimHashes, cut into twelve blocks of 16 bits, each with a vantage-point tree. Two sets at 0.8 have a block that differs by at most one bit with a
+probability of 0.98, more alike ones almost surely. Where they share such a block they meet in a cell, are candidates if at most ``MOST_BITS`` of all 192 bits differ (0.998
+at 0.8), and link if the exact similarity of their sets is 0.8 or more. Equal sets are one from the start.
+
+Groups are components of links. Each text first asks its nearest candidate and the one of highest priority, which is the same for most of a large group; then
+only candidates of different groups are left and all of them are compared.
 """
 
 from __future__ import annotations
@@ -14,14 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stored
+from .simhash import TILE, Forest, Tiles, distance, hot_cells, sampled_words
+from .store import partitions, positional, restored, stored
 from .textops import Words, chunks, mix, signed
 
 WIDTH = 5
-ROUNDS = 2
-SAMPLE = 8_000
+WORDS = ("w0", "w1", "w2")
+BLOCKS = [(word, shift, 16) for word in range(len(WORDS)) for shift in (0, 16, 32, 48)]
+MOST_BITS = 44
+LEAF = 50_000
+LIMIT = 200_000
+SMALL = 1024
 PAIRS = 64
-OFTEN, MAX_OFTEN = 4, 200_000
+ROUNDS = 1
+NEAREST, FIRST, ALL = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,56 +58,142 @@ def _sets(texts: pa.Array, width: int):
         yield at, len(words), np.searchsorted(owner, np.arange(len(words) + 1)), key
 
 
-def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """``packed, doc_id, mark`` of ``docs(packed, doc_id, text)``; ``mark`` names the set of shingles."""
+def wide_fingerprints(ends: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The SimHashes of sets of hashes, one column a word: a bit is 1 if set in over half of a set's hashes."""
+    n = len(ends) - 1
+    owner, out = np.repeat(np.arange(n), np.diff(ends)), np.zeros((n, len(WORDS)), dtype=np.uint64)
+    for word in range(len(WORDS)):
+        ones = np.zeros((n, 64), dtype=np.int64)
+        for k in range(0, len(key), 1 << 16):
+            part, own = key[k : k + (1 << 16)], owner[k : k + (1 << 16)]
+            bits = np.unpackbits(mix(part + np.uint64(word + 1) * _ODD).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first = np.flatnonzero(np.diff(own, prepend=-1) != 0)
+            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[:, word] = np.packbits(ones * 2 > np.diff(ends)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
-    def run(batches):
-        for batch in batches:
-            for at, n, ends, key in _sets(batch.column(2), width):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(key))))
-                mark = mix((total[ends[1:]] - total[ends[:-1]]) ^ mix(np.diff(ends).astype(np.uint64)))
-                own = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), signed(mark)], names=["packed", "doc_id", "mark"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:2])
-    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"{schema}, mark long")
-
-
-def _with_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``mark, n, shingles`` of ``texts(mark, text)``."""
+def _marked(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``docs`` with ``mark``, which names a text's set of shingles, their number ``n`` and the words of its fingerprint."""
+    columns = docs.columns
+    place = columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for at, n, ends, key in _sets(batch.column(1), width):
-                sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(key))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(ends)), sets], names=["mark", "n", "shingles"])
-
-    return texts.mapInArrow(run, "mark long, n long, shingles array<long>")
+            for at, n, ends, key in _sets(batch.column(place), width):
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(key))))
+                mark = mix((total[ends[1:]] - total[ends[:-1]]) ^ mix(np.diff(ends).astype(np.uint64)))
+                words = wide_fingerprints(ends, key)
+                more = [signed(mark), pa.array(np.diff(ends)), *(signed(np.ascontiguousarray(words[:, k])) for k in range(len(WORDS)))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *more], names=[*columns, "mark", "n", *WORDS])
 
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "mark long, n long", *(f"{w} long" for w in WORDS)])
+    return docs.mapInArrow(run, schema)
 
-def _prefixes(texts: DataFrame, width: int) -> DataFrame:
-    """``token, mark, n``: the shingles in whose buckets the set of a text of ``texts(mark, text)`` lies, without buckets of one."""
-    every = max(1, texts.count() // SAMPLE)
-    some = _with_sets(texts.where(F.pmod(F.xxhash64("mark"), F.lit(every)) == 0), width).select(F.explode("shingles").alias("token"))
-    often = some.groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(MAX_OFTEN).select("token").toArrow()
-    shared = texts.sparkSession.sparkContext.broadcast(np.sort(often.column("token").to_numpy()))
 
-    def run(batches):
-        often = shared.value
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            lists = batch.column(2)
-            token, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-            at = np.searchsorted(often, token)
-            common = (often[np.minimum(at, len(often) - 1)] == token) if len(often) else np.zeros(len(token), bool)
-            order = np.lexsort((token, common, owner))
-            first = np.cumsum(n) - n
-            taken = order[(np.arange(len(token)) - first[owner]) < (n - (4 * n + 4) // 5 + 1)[owner]]
-            rows = pa.array(owner[taken])
-            yield pa.RecordBatch.from_arrays([pa.array(token[taken]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["token", "mark", "n"])
+def _meetings(block: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray):
+    """Index pairs ``(i, j)``, both ways, and the differing bits of the candidates in a cell; a large cell is first cut by further vantage points.
 
-    found = stored(_with_sets(texts, width).mapInArrow(run, "token long, mark long, n long"), "prefixes")
-    return stored(found.join(found.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "buckets")
+    Candidates' blocks differ by at most one bit and their fingerprints by ``MOST_BITS``; neither set is too small for the other, and they are of different groups.
+    """
+    stack = [np.arange(len(block))]
+    while stack:
+        own = stack.pop()
+        if len(own) > SMALL:
+            far = distance(block[own], block[own[len(own) // 2]])
+            cut = int(np.median(far))
+            inner, outer = own[far <= cut], own[far >= cut]
+            if max(len(inner), len(outer)) < 0.9 * len(own):
+                stack += [inner, outer]
+                continue
+        x = block[own]
+        rows = max(1, TILE // max(1, len(x)))
+        for k in range(0, len(x), rows):
+            i, j = np.nonzero(np.bitwise_count(x[k : k + rows, None] ^ x[None, :]) <= 1)
+            i, j = own[i + k], own[j]
+            fits = (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            bits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+            near = bits <= MOST_BITS
+            if near.any():
+                yield i[near], j[near], bits[near]
+
+
+def _asked(mark, block, words, root, n, every: bool):
+    """``(u, v, kind, bits)`` of a cell: all candidates, or of each row the nearest and the one of highest priority."""
+    rank = np.empty(len(mark), dtype=np.int64)
+    rank[np.argsort(mix(mark), kind="stable")] = np.arange(len(mark))
+    by_rank = np.argsort(rank)
+    nothing = np.iinfo(np.int64).max
+    nearest, first = np.full(len(mark), nothing), np.full(len(mark), nothing)
+    for i, j, bits in _meetings(block, words, root, n):
+        if every:
+            once = mark[i] < mark[j]
+            yield mark[i[once]], mark[j[once]], np.full(once.sum(), ALL, np.int8), bits[once]
+        else:
+            np.minimum.at(nearest, i, bits * len(mark) + rank[j])
+            np.minimum.at(first, i, rank[j])
+    if not every:
+        i = np.flatnonzero(nearest < nothing)
+        yield mark[i], mark[by_rank[nearest[i] % len(mark)]], np.full(len(i), NEAREST, np.int8), nearest[i] // len(mark)
+        i = np.flatnonzero(first < rank)
+        yield mark[i], mark[by_rank[first[i]]], np.full(len(i), FIRST, np.int8), np.zeros(len(i), np.int64)
+
+
+def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limit: int) -> DataFrame:
+    """``u, v`` of candidates among ``prints(mark, root, n, w0, w1, w2)`` whose roots differ: all of them if ``every``."""
+    def spread(tiles: Tiles, major: dict, only_keys: bool = False):
+        def run(batches):
+            for batch in batches:
+                words = np.column_stack([batch.column(k).to_numpy().view(np.uint64) for k in (3, 4, 5)])
+                keys, trees, rows = forest.cells(words)
+                mark, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if only_keys:
+                    own = np.isin(keys, tiles.cells) if len(tiles.cells) else np.ones(len(keys), bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(root[rows[own]])], names=["cell", "root"])
+                    continue
+                first = np.array([major.get(c) == r for c, r in zip(keys.tolist(), root[rows].tolist(), strict=True)], dtype=bool) if major else np.full(len(keys), not every)
+                keys, at = tiles.deal(keys, mix(mark.view(np.uint64))[rows], first)
+                at, tree = pa.array(rows[at]), pa.array(trees[at])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), tree, *(batch.column(k).take(at) for k in range(6))], names=["cell", "tree", "mark", "root", "n", *WORDS])
+
+        kinds = "cell long, root long" if only_keys else "cell long, tree byte, mark long, root long, n long, " + ", ".join(f"{w} long" for w in WORDS)
+        return prints.select("mark", "root", "n", *WORDS).mapInArrow(run, kinds)
+
+    none = np.zeros(0, np.int64)
+    hot = hot_cells(spread(Tiles(none, none, none), {}, True), limit)
+    cells, size, major = hot.column("cell").to_numpy(), hot.column("count").to_numpy(), {}
+    pieces = lambda x: -(-2 * x // limit)
+    tiles = Tiles(cells, pieces(size), np.ones(len(size), np.int64))  # the first round asks within one piece of a large cell
+    if every and len(cells):
+        # rows of a large cell's largest group needn't meet one another
+        own = spread(Tiles(cells, size, size), {}, True).groupBy("cell", "root").count()
+        most = own.groupBy("cell").agg(F.max_by("root", "count").alias("root"), F.max("count").alias("most")).toArrow().to_pydict()
+        major, largest = dict(zip(most["cell"], most["root"], strict=True)), dict(zip(most["cell"], most["most"], strict=True))
+        inside = np.array([largest[c] for c in cells.tolist()], dtype=np.int64)
+        tiles = Tiles(cells, pieces(inside), np.maximum(1, pieces(size - inside)))
+    shards = partitions(2 * len(BLOCKS) * count, LIMIT)
+    dealt = spread(tiles, major).withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        cell = table.column("cell").to_numpy()
+        order = np.lexsort((table.column("mark").to_numpy(), cell))
+        cell, tree = cell[order], table.column("tree").to_numpy()[order]
+        mark, root, n = (table.column(c).to_numpy()[order] for c in ("mark", "root", "n"))
+        words = np.column_stack([table.column(w).to_numpy().view(np.uint64)[order] for w in WORDS])
+        cuts, out = np.flatnonzero(np.diff(cell)) + 1, []
+        for a, b in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+            own = slice(a, b)
+            if b - a > 1:
+                block = forest.block(int(tree[a]), words[own])
+                out += _asked(mark[own].view(np.uint64), block, words[own], root[own], n[own], every)
+        u, v, kind, bits = (np.concatenate([o[k] for o in out] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.uint64, np.int8, np.int64)))
+        return pa.table({"u": signed(u), "v": signed(v), "kind": pa.array(kind.astype(np.int8)), "bits": pa.array(bits)})
+
+    met = dealt.groupBy("shard").applyInArrow(lambda t: meet(t), "u long, v long, kind byte, bits long")
+    if not every:
+        met = met.groupBy("u", "kind").agg(F.min_by("v", F.struct("bits", F.xxhash64("v"), "v")).alias("v"))
+    return stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -124,31 +219,22 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(run, "u long, v long")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    return rows.where("u_root <> v_root AND 5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def groups(prints: DataFrame, text_of, width: int, leaf: int = LEAF, limit: int = LIMIT) -> DataFrame | None:
+    """``(node, root)`` of the marks that links of 0.8 or more join, ones without a link left out; ``prints(mark, n, w0, w1, w2)`` has a row for each mark.
 
-
-def groups(texts: DataFrame, width: int) -> DataFrame:
-    """``(node, root)`` of the marks of ``texts(mark, text)``, one text of each mark, that links of 0.8 or more join, ones without a link left out."""
-    buckets, links, known = _prefixes(texts, width), None, None
+    ``text_of``, a function of a table of marks, gives their texts ``(mark, text)``.
+    """
+    count = prints.count()
+    prints = prints.where("n >= 4")  # sets of fewer are 0.8 alike only if they are equal
+    forest = Forest(count, sampled_words(prints, list(WORDS), count), BLOCKS, leaf)
+    links, known = None, None
     for turn in range(ROUNDS + 1):
-        if known is None:
-            own = buckets.withColumn("root", F.col("mark"))
-        else:
-            own = buckets.join(known, buckets.mark == known.node, "left").select("token", "mark", "n", F.coalesce("root", "mark").alias("root"))
-        own = stored(own, "rooted")
-        open_ = own.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-        own = stored(own.join(open_, "token", "left_semi"), "open")
-        u = own.select("token", F.col("mark").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("u_root"))
-        v = own.select("token", F.col("mark").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("v_root"))
-        if turn < ROUNDS:
-            center = u.groupBy("token").agg(F.min(F.struct(F.xxhash64("u", F.lit(turn)).alias("h"), "u", "n_u", "u_root")).alias("c")).select("token", "c.u", "c.n_u", "c.u_root")
-            pairs = _candidates(v.join(center, "token"))
-        else:
-            roots = own.select("token", "root").distinct()
-            apart = roots.select("token", F.col("root").alias("u_root")).join(roots.select("token", F.col("root").alias("v_root")), "token").where("u_root < v_root")
-            pairs = _candidates(apart.join(u, ["token", "u_root"]).join(v, ["token", "v_root"]))
-        found = stored(_alike(stored(pairs, "pairs"), texts, width), "alike")
+        own = prints.withColumn("root", F.col("mark"))
+        if known is not None:
+            own = prints.join(known, prints.mark == known.node, "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", *WORDS)
+        pairs = _candidates(own, forest, count, turn == ROUNDS, limit)
+        marks = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
+        found = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike")
         links = found if links is None else links.union(found)
         known = stored(components(links), "groups")
     return known
@@ -158,13 +244,19 @@ def without_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` with one row left of each group of near-duplicates, the one with the smallest ``doc_id``.
 
     Two texts link if the sets of their shingles of ``width`` words have a Jaccard similarity of 0.8 or more; groups are the components. Texts without words
-    are alike. Of repeated rows one stays; ids sort before a null one; all columns are returned.
+    are alike. Of repeated rows one stays; ids sort before a null one; all columns are returned. An empty table gives an empty result.
     """
-    marked = stored(_marked(docs.select(F.struct(*docs.columns).alias("packed"), "doc_id", "text"), width), "marked")
-    texts = marked.select("mark", F.col("packed.text").cast("binary").alias("text")).dropDuplicates(["mark"])
-    known = groups(stored(texts, "texts"), width)
-    first = marked.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("s"))
+    own, names = positional(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    marked = stored(_marked(own, text, width).withColumn("row", F.monotonically_increasing_id()), "marked")
+    prints = marked.groupBy("mark").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", *WORDS)))
+    prints = stored(prints, "prints")
+
+    def text_of(marks: DataFrame) -> DataFrame:
+        rows = prints.join(marks, "mark", "left_semi").select("mark", "row")
+        return marked.select("row", F.col(text).cast("binary").alias("text")).join(rows, "row").select("mark", "text")
+
+    known = groups(prints.drop("row"), text_of, width)
+    first = marked.groupBy("mark").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "row")).alias("s"))
     first = first.join(known, first.mark == known.node, "left").groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("s").alias("s"))
-    first = first.select(F.col("s.doc_id").alias("first_id"), F.col("s.mark").alias("first_mark"))
-    kept = marked.join(first, (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.select("packed", "doc_id", "mark").dropDuplicates(["doc_id", "mark"]).select("packed.*")
+    return restored(marked.join(first.select("s.row"), "row", "left_semi"), names)

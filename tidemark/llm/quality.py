@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import BUCKETS, LAYOUT, fit_softmax, sampled, some_ids, sparse_logits, sparse_rows, views
+from .textmodel import BUCKETS, LAYOUT, fit_dense, fit_sparse, sampled, some_ids, sparse_logits, views
 
 MAX_LABELLED = 4000
 MAX_POOL = 3000
@@ -48,14 +48,14 @@ class CoTrained:
         own = [metadata(s["layout"], s["lang"], s["source"], s["n_chars"]) for s in (labelled, pool)]
         self.mean, self.std = own[0].mean(axis=0), own[0].std(axis=0) + 1e-3
         meta = [(x - self.mean) / self.std for x in own]
-        n_pool = len(pool["offsets"]) - 1
+        n_pool = len(pool["trigrams"])
         labels: list[dict[int, int]] = [{}, {}]  # pseudo-labels for the text view, for the metadata view
         for step in range(ROUNDS + 1):
             self.text = self._fit_text(labelled, rows, y, pool, labels[0])
             self.meta = self._fit_meta(meta, rows, y, labels[1])
             if step == ROUNDS or not n_pool:
                 break
-            z_text = self._text_z(pool, np.arange(n_pool))
+            z_text = pool["trigrams"].margins(*self.text)
             for view, z in ((1, z_text), (0, self._meta_z(meta[1]))):
                 free = np.array([k for k in range(n_pool) if k not in labels[view]], dtype=np.int64)
                 share = y[rows].mean()
@@ -63,34 +63,28 @@ class CoTrained:
                 low, high = int(TAKEN * n_pool * (1 - share)) + 1, int(TAKEN * n_pool * share) + 1
                 labels[view] |= {int(k): 0 for k in best[:low] if z[k] < 0} | {int(k): 1 for k in best[-high:] if z[k] > 0}
         self.pseudo = tuple(map(len, labels))
-        both = np.column_stack([self._text_z(labelled, aside), self._meta_z(meta[0][aside])])
-        w, b = fit_softmax(both, y[aside], 2, np.ones(len(aside)), decay=1e-2) if len(aside) else (np.array([[-0.5, 0.5]] * 2), np.zeros(2))
+        both = np.column_stack([labelled["trigrams"].take(aside).margins(*self.text), self._meta_z(meta[0][aside])])
+        w, b = fit_dense(both, y[aside], 2, np.ones(len(aside)), decay=1e-2) if len(aside) else (np.array([[-0.5, 0.5]] * 2), np.zeros(2))
         self.mix, self.bias = np.maximum(w[:, 1] - w[:, 0], 0), b[1] - b[0]
         self.each = []
         for k in range(2):  # each view's own calibration
-            w, b = fit_softmax(both[:, [k]], y[aside], 2, np.ones(len(aside)), decay=1e-2) if len(aside) else (np.array([[-0.5, 0.5]]), np.zeros(2))
+            w, b = fit_dense(both[:, [k]], y[aside], 2, np.ones(len(aside)), decay=1e-2) if len(aside) else (np.array([[-0.5, 0.5]]), np.zeros(2))
             self.each.append((max(0.0, float(w[0, 1] - w[0, 0])), float(b[1] - b[0])))
 
     def _fit_text(self, labelled, rows, y, pool, extra):
         more = np.array(sorted(extra), dtype=np.int64)
-        parts = [sparse_rows(labelled, rows), sparse_rows(pool, more)]
-        x = (np.concatenate([parts[0][0], parts[1][0] + len(rows)]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
-        return fit_softmax(x, *self._rows(y[rows], [extra[k] for k in more.tolist()]))
+        x = labelled["trigrams"].take(rows).joined(pool["trigrams"].take(more))
+        return fit_sparse(x, *self._rows(y[rows], [extra[k] for k in more.tolist()]))
 
     def _fit_meta(self, meta, rows, y, extra):
         more = np.array(sorted(extra), dtype=np.int64)
         x = np.vstack([meta[0][rows], meta[1][more]])
-        return fit_softmax(x, *self._rows(y[rows], [extra[k] for k in more.tolist()]), decay=1e-3)
+        return fit_dense(x, *self._rows(y[rows], [extra[k] for k in more.tolist()]), decay=1e-3)
 
     @staticmethod
     def _rows(y, pseudo):
         return np.concatenate([y, np.array(pseudo, dtype=np.int64)]), 2, np.concatenate([np.ones(len(y)), np.full(len(pseudo), 0.5)])
 
-    def _text_z(self, sample, rows):
-        owner, bucket, value = sparse_rows(sample, rows)
-        w, b = self.text
-        return np.bincount(owner, value * (w[bucket, 1] - w[bucket, 0]), minlength=len(rows)) + b[1] - b[0]
-
     def _meta_z(self, x):
         w, b = self.meta
         return x @ (w[:, 1] - w[:, 0]) + b[1] - b[0]
@@ -117,31 +111,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     return CoTrained(labelled, pool)
 
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
+def score(docs: DataFrame, model: CoTrained, read: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars")) -> DataFrame:
     """Every row of ``docs(doc_id, text, lang, source, n_chars, ...)`` with ``text_score, meta_score, score`` (probability of good quality) and ``kept``.
 
-    ``kept`` is a score of 0.5 or more. All columns stay, in one pass without a shuffle. Null texts are empty; null languages, sources and lengths have a
-    bucket of their own (length 0); repeated rows stay repeated; an empty table gives an empty result. Columns of ``docs`` with the names of
-    the results are replaced.
+    ``kept`` is a score of 0.5 or more; ``read`` names the columns with text, language, source and length. All columns stay, in one pass without a shuffle.
+    Null texts are empty; null languages, sources and lengths have a bucket of their own (length 0); repeated rows stay repeated; an empty table gives an
+    empty result. Columns of ``docs`` with the names of the results are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = ("text_score", "meta_score", "score", "kept")
     docs = docs.drop(*names)
-    inputs = docs.select("*", *(F.col(c).alias(f"_in_{c}") for c in ("lang", "source", "n_chars")), F.col("text").cast("binary").alias("_in_text"))
     columns = docs.columns
-    width = len(columns)
+    places = [columns.index(c) for c in read]
 
     def run(batches):
         for batch in batches:
-            lang, source, n_chars = (batch.column(width + k).to_pylist() for k in range(3))
-            at, parts = 0, []
-            for bucket, offsets, figures in views(batch.column(width + 3)):
+            text, lang, source, n_chars = (batch.column(k) for k in places)
+            lang, source, n_chars = lang.to_pylist(), source.to_pylist(), n_chars.to_pylist()
+            at, parts = 0, [np.zeros((0, 3))]
+            for bucket, offsets, figures in views(text):
                 own = slice(at, at + len(figures))
                 parts.append(shared.value.score(bucket, offsets, figures, lang[own], source[own], n_chars[own]))
                 at += len(figures)
-            got = np.concatenate(parts) if parts else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(got[:, k]) for k in range(3)), pa.array(got[:, 2] >= 0.5)], names=[*columns, *names])
+            got = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, k]) for k in range(3)), pa.array(got[:, 2] >= 0.5)], names=[*columns, *names])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "text_score double, meta_score double, score double, kept boolean"])
-    return inputs.mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)

@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import partitions, stored
+from .textops import mix, signed
 
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 LEAF = 1024
 SAMPLE = 4096
 GROUP_ROWS = 60_000
+TILE = 1 << 21  # pairs compared at a time
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -62,73 +64,113 @@ def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ("doc_
     return picked.mapInArrow(run, schema)
 
 
-def _distance(a: np.ndarray, b: int | np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ np.uint64(b)).astype(np.int64)
+def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
 
 
 class Forest:
-    """Vantage points and thresholds of one tree for each block; a few hundred numbers in all."""
+    """Vantage points and thresholds of one tree for each block ``(word, shift, width)``; a few hundred numbers in all.
 
-    def __init__(self, count: int, sample: np.ndarray):
-        depth = min(40, max(0, math.ceil(math.log(max(1, count) / LEAF) / 0.536)))
+    Blocks that differ by at most one bit share a cell. Depth follows ``count``, so that a cell keeps about ``leaf`` rows.
+    """
+
+    def __init__(self, count: int, sample: np.ndarray, blocks, leaf: int):
         rng = np.random.default_rng(20240229)
         self.trees = []
-        for shift, width in BLOCKS:
+        for word, shift, width in blocks:
+            edge = math.comb(width, width // 2) / 2**width  # about the share that lies on a threshold and is stored on both sides
+            depth = min(40, max(0, math.ceil(math.log(max(1, count) / leaf) / math.log(2 / (1 + edge)))))
             mask = (1 << width) - 1
             points = rng.integers(0, mask + 1, size=depth, dtype=np.uint64)
-            block = (sample >> np.uint64(shift)) & np.uint64(mask)
-            cuts = [int(np.median(_distance(block, p))) if len(block) else width // 2 for p in points]
-            self.trees.append((shift, mask, points, cuts))
-
-    def cells(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell keys and the fingerprints in them: the home leaf and the leaves beyond a boundary it touches."""
-        keys, members = [], []
-        for t, (shift, mask, points, cuts) in enumerate(self.trees):
-            block = (fps >> np.uint64(shift)) & np.uint64(mask)
-            code, owner = np.full(len(fps), t + 1, dtype=np.int64), np.arange(len(fps))
+            block = (sample[:, word] >> np.uint64(shift)) & np.uint64(mask)
+            cuts = [int(np.median(distance(block, p))) if len(block) else width // 2 for p in points]
+            self.trees.append((word, shift, mask, points, cuts))
+
+    def block(self, tree: int, words: np.ndarray) -> np.ndarray:
+        word, shift, mask, _, _ = self.trees[tree]
+        return (words[:, word] >> np.uint64(shift)) & np.uint64(mask)
+
+    def cells(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, tree and row of each cell that a row of ``words`` is in: its home leaf and the leaves beyond a boundary it touches."""
+        keys, trees, rows = [], [], []
+        for t, (*_, points, cuts) in enumerate(self.trees):
+            block = self.block(t, words)
+            code, owner = np.ones(len(words), dtype=np.int64), np.arange(len(words))
             for point, cut in zip(points, cuts, strict=True):
-                far = _distance(block, point)[owner]
+                far = distance(block, point)[owner]
                 edge = far == cut
                 code = np.concatenate((code * 2 + (far > cut), code[edge] * 2 + 1))
                 owner = np.concatenate((owner, owner[edge]))
-            keys.append(code * 4 + t)
-            members.append(fps[owner])
-        return np.concatenate(keys), np.concatenate(members)
+            keys.append(code * len(self.trees) + t)
+            trees.append(np.full(len(code), t, dtype=np.int8))
+            rows.append(owner)
+        return np.concatenate(keys), np.concatenate(trees), np.concatenate(rows)
+
+
+class Tiles:
+    """Cells of too many rows, dealt over several tasks so that every two rows that have to be compared meet in one.
+
+    A cell has ``a`` tiles of rows that needn't be compared with one another (such as those of one group already) and ``b`` tiles of others.
+    """
+
+    def __init__(self, cells: np.ndarray, a: np.ndarray, b: np.ndarray):
+        order = np.argsort(cells)
+        self.cells, self.a, self.b = cells[order], a[order], b[order]
+
+    def deal(self, keys: np.ndarray, salt: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pieces and the row of ``keys`` in each; ``first`` marks rows of the tiles ``a``."""
+        if not len(self.cells) or not len(keys):
+            return keys, np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.cells, keys), len(self.cells) - 1)
+        hot = self.cells[at] == keys
+        rows, at = np.flatnonzero(hot), at[hot]
+        first = first[rows]
+        n = np.where(first, self.b[at], self.a[at] + self.b[at])
+        rep = np.repeat(np.arange(len(rows)), n)
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b, spread = self.a[at][rep], self.b[at][rep], salt[rows].astype(np.uint64)[rep]
+        own = np.where(first[rep], spread % np.maximum(a, 1).astype(np.uint64), a.astype(np.uint64) + spread % np.maximum(b, 1).astype(np.uint64)).astype(np.int64)
+        other = np.where(first[rep], a + other, other)
+        pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
+        dealt = (mix(keys[rows][rep].astype(np.uint64)) ^ mix(pair + np.uint64(1))).astype(np.int64)
+        return np.concatenate((keys[~hot], dealt)), np.concatenate((np.flatnonzero(~hot), rows[rep]))
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest index in each one's group) after the links from ``i`` to ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return label
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, deeper := label[label]):
+            label = deeper
 
 
-def _near_pairs(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of ``a`` within ``bits``; a large set is first cut by further vantage points."""
-    left, right = [], []
+def _linked(a: np.ndarray, bits: int) -> np.ndarray:
+    """The smallest index that each of ``a`` reaches over links of ``bits`` or fewer; a large set is first cut by further vantage points.
+
+    Links go into the groups tile by tile, so that memory holds those of ``TILE`` pairs at most.
+    """
+    label = np.arange(len(a))
     stack = [np.arange(len(a))]
     while stack:
         own = stack.pop()
         if len(own) > 2 * LEAF:
-            far = _distance(a[own], a[own[len(own) // 2]])
+            far = distance(a[own], a[own[len(own) // 2]])
             cut = int(np.median(far))
             inner, outer = own[far <= cut], own[far > cut - bits]
             if max(len(inner), len(outer)) < 0.9 * len(own):
                 stack += [inner, outer]
                 continue
         x = a[own]
-        for k in range(0, len(x), 256):
-            i, j = np.nonzero(np.bitwise_count(x[k : k + 256, None] ^ x[None, k:]) <= bits)
-            keep = j > i
-            left.append(own[i[keep] + k])
-            right.append(own[j[keep] + k])
-    return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-
-
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
-        if np.array_equal(before, label):
-            return label
+        rows = max(1, TILE // max(1, len(x)))
+        for k in range(0, len(x), rows):
+            i, j = np.nonzero(np.bitwise_count(x[k : k + rows, None] ^ x[None, k:]) <= bits)
+            label = joined(label, own[i + k], own[j + k])
+    return label
 
 
 def _shard_edges(table: pa.Table, bits: int) -> pa.Table:
@@ -142,7 +184,7 @@ def _shard_edges(table: pa.Table, bits: int) -> pa.Table:
     for own in np.split(fp, cuts):
         own = np.unique(own)
         if len(own) > 1:
-            roots = _roots(len(own), *_near_pairs(own, bits))
+            roots = _linked(own, bits)
             moved = np.flatnonzero(roots != np.arange(len(own)))
             us.append(own[moved])
             vs.append(own[roots[moved]])
@@ -151,36 +193,56 @@ def _shard_edges(table: pa.Table, bits: int) -> pa.Table:
     return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def sampled_words(rows: DataFrame, columns: list[str], count: int) -> np.ndarray:
+    """``columns`` of about ``SAMPLE`` rows (twice as many at most) as unsigned words, for thresholds."""
+    every = max(1, count // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64(*columns), F.lit(every)) == 0).select(*columns).limit(2 * SAMPLE).toArrow()
+    return np.column_stack([some.column(c).to_numpy().view(np.uint64) for c in columns])
+
+
+def hot_cells(cells: DataFrame, limit: int) -> pa.Table:
+    """``cell, count`` of the cells with more than ``limit`` rows; there are at most so many as ``limit`` goes into all rows."""
+    return cells.groupBy("cell").count().where(F.col("count") > limit).toArrow()
+
+
+def links(fps: DataFrame, bits: int = MAX_BITS, leaf: int = LEAF, limit: int = GROUP_ROWS) -> DataFrame:
     """Edges ``(u, v)`` that join exactly the fingerprints reachable over links of ``bits`` or fewer differing bits.
 
-    ``fps`` has one row for each distinct ``fp``. At most ``MAX_BITS`` bits; more would need other blocks.
+    ``fps`` has one row for each distinct ``fp``. At most ``MAX_BITS`` bits; more would need other blocks. Cells have about ``leaf`` rows; one of more
+    than ``limit``, as near fingerprints can make it, is dealt over several tasks.
     """
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be from 0 to {MAX_BITS}")
     count = fps.count()
-    every = max(1, count // SAMPLE)
-    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
-    forest = Forest(count, sample.to_numpy(dtype=np.int64).view(np.uint64))
-
-    def spread(batches):
-        for batch in batches:
-            keys, members = forest.cells(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(members.view(np.int64))], names=["cell", "fp"])
-
-    shards = partitions(14 * count, GROUP_ROWS)
-    cells = fps.select("fp").mapInArrow(spread, "cell long, fp long")
+    forest = Forest(count, sampled_words(fps, ["fp"], count), [(0, *b) for b in BLOCKS], leaf)
+
+    def spread(tiles: Tiles):
+        def run(batches):
+            for batch in batches:
+                fp = batch.column(0).to_numpy().view(np.uint64)
+                keys, _, rows = forest.cells(fp[:, None])
+                keys, at = tiles.deal(keys, mix(fp)[rows], np.zeros(len(keys), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), signed(fp[rows[at]])], names=["cell", "fp"])
+
+        return fps.select("fp").mapInArrow(run, "cell long, fp long")
+
+    none = np.zeros(0, np.int64)
+    hot = hot_cells(spread(Tiles(none, none, none)), limit)
+    size = hot.column("count").to_numpy()
+    cells = spread(Tiles(hot.column("cell").to_numpy(), np.zeros(len(size), np.int64), -(-2 * size // limit)))
+    per_row = 1.25 * sum(1.168 ** len(points) for *_, points, _ in forest.trees)
+    shards = partitions(int(per_row * count), limit)
     cells = cells.withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)))
     return cells.groupBy("shard").applyInArrow(lambda t: _shard_edges(t, bits), "u long, v long")
 
 
 def _labels(marked: DataFrame, bits: int) -> DataFrame:
-    """``fp, root, component_id`` for each different ``fp`` of ``marked(doc_id, fp)``; ``root`` names its group."""
+    """``fp, component_id`` for each different ``fp`` of ``marked(doc_id, fp)``."""
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fps")
     group = stored(components(links(fps, bits)), "fp_groups")
     all_fps = fps.join(group, fps.fp == group.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     first = all_fps.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return all_fps.join(first, "root").select("fp", "root", "component_id")
+    return all_fps.join(first, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> DataFrame:
@@ -192,21 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> Da
     rows are returned as often as they occur; an empty table gives an empty result; other columns are ignored.
     """
     marked = stored(fingerprints(docs, width), "fingerprints")
-    return marked.join(_labels(marked, bits).drop("root"), "fp").select("doc_id", "fp", "component_id")
-
-
-def without_copies(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` with one row left of each group of near-duplicates, the one with the smallest ``doc_id``.
-
-    Groups are those of ``near_duplicates``. Of repeated rows one stays; ids sort before a null one; all columns are returned.
-    """
-    packed = docs.select(F.struct(*docs.columns).alias("packed"), "doc_id", "text")
-    marked = stored(fingerprints(packed, width, ("packed", "doc_id")), "marked")
-    groups = marked.select("doc_id", "fp").join(_labels(marked, bits).drop("component_id"), "fp").groupBy("root")
-    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
-    first = first.withColumnsRenamed({"doc_id": "first_id", "fp": "first_fp"})
-    kept = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "fp"]).select("packed.*")
+    return marked.join(_labels(marked, bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return _own[key]
+from ..sources.scratch import shared_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -32,3 +19,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def partitions(rows: int, each: int, least: int = 8) -> int:
     """How many groups keep about ``each`` rows in one."""
     return max(least, -(-rows // each))
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed by place, so that no name among them can clash with others, and the new name of each."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Only the columns ``positional`` renamed, under their own names."""
+    return docs.select(*(F.col(new).alias(old) for old, new in names.items()))

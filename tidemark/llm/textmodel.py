@@ -89,8 +89,42 @@ def some_ids(ids: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
 
 
+class Sparse:
+    """Hashed trigrams of some texts: for each text its buckets and a value for each, in few bytes."""
+
+    def __init__(self, offsets: np.ndarray, bucket: np.ndarray, value: np.ndarray):
+        self.offsets, self.bucket, self.value = offsets.astype(np.int64), bucket.astype(np.uint16), value.astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(owner, bucket, value)`` of the chosen rows; owners count from 0."""
+        n = self.offsets[rows + 1] - self.offsets[rows]
+        at = np.repeat(self.offsets[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(rows)), n), self.bucket[at].astype(np.int64), self.value[at]
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        owner, bucket, value = self.entries(rows)
+        return Sparse(np.searchsorted(owner, np.arange(len(rows) + 1)), bucket, value)
+
+    def joined(self, other: Sparse) -> Sparse:
+        return Sparse(np.concatenate((self.offsets, self.offsets[-1] + other.offsets[1:])), np.concatenate((self.bucket, other.bucket)), np.concatenate((self.value, other.value)))
+
+    def margins(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Logit of class 1 over class 0 of every row."""
+        out = [np.zeros(0)]
+        for k in range(0, len(self), BATCH):
+            owner, bucket, value = self.entries(np.arange(k, min(k + BATCH, len(self))))
+            out.append(np.bincount(owner, value * (w[bucket, 1] - w[bucket, 0]), minlength=min(BATCH, len(self) - k)))
+        return np.concatenate(out) + b[1] - b[0]
+
+
 def sampled(docs: DataFrame, limit: int, keep: tuple[str, ...]) -> dict:
-    """Features of at most ``limit`` rows, those least by a hash of all of ``keep``: ``buckets, counts, offsets, layout`` and ``keep``."""
+    """Features of at most ``limit`` rows, those least by a hash of all of ``keep``: ``trigrams`` (``Sparse``), ``layout`` and ``keep``.
+
+    A value is the bucket's share of the text's trigrams times ``SCALE``. All of a text counts; its entries are 65,536 at most.
+    """
 
     def run(batches):
         for batch in batches:
@@ -98,31 +132,27 @@ def sampled(docs: DataFrame, limit: int, keep: tuple[str, ...]) -> dict:
             for bucket, offsets, figures in views(batch.column(batch.num_columns - 1)):
                 for a, b, own in zip(offsets[:-1], offsets[1:], figures, strict=True):
                     at, n = np.unique(bucket[a:b], return_counts=True)
-                    rows.append((at.astype(np.int32), n.astype(np.int32), own))
-            cols = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*keep, "buckets", "counts", "layout"])
+                    rows.append((at.astype(np.int32), (n * (SCALE / max(1, b - a))).astype(np.float32), own))
+            cols = [pa.array([r[k] for r in rows], type=pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*keep, "buckets", "shares", "layout"])
 
     picked = docs.withColumn("text", F.col("text").cast("binary")).orderBy(F.xxhash64(*keep), *keep).limit(limit).select(*keep, "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]), "buckets array<int>, counts array<int>, layout array<double>"])
-    table = picked.mapInArrow(run, schema).toArrow().combine_chunks()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]), "buckets array<int>, shares array<float>, layout array<double>"])
+    table = picked.mapInArrow(run, schema).toArrow()
     out = {c: table.column(c).to_pylist() for c in keep}
-    flat = {}
-    for c in ("buckets", "counts", "layout"):
-        column = table.column(c).combine_chunks()
-        flat[c] = column.flatten().to_numpy()
-        if c == "buckets":
-            out["offsets"] = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
-    return out | {"buckets": flat["buckets"], "counts": flat["counts"].astype(np.float64), "layout": flat["layout"].reshape(-1, LAYOUT)}
-
-
-def shares(sample: dict) -> np.ndarray:
-    """Each stored count as the square root of its share of the text's trigrams."""
-    owner = np.repeat(np.arange(len(sample["offsets"]) - 1), np.diff(sample["offsets"]))
-    total = np.bincount(owner, sample["counts"], minlength=len(sample["offsets"]) - 1)
-    return sample["counts"] / total[owner]
+    n, bucket, value, figures = ([np.zeros(0, t)] for t in (np.int64, np.uint16, np.float32, np.float64))
+    for batch in table.to_batches():
+        lists = batch.column(len(keep))
+        n.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        bucket.append(lists.flatten().to_numpy().astype(np.uint16))
+        value.append(batch.column(len(keep) + 1).flatten().to_numpy())
+        figures.append(batch.column(len(keep) + 2).flatten().to_numpy())
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(n))))
+    return out | {"trigrams": Sparse(offsets, np.concatenate(bucket), np.concatenate(value)), "layout": np.concatenate(figures).reshape(-1, LAYOUT)}
 
 
 SCALE = 30.0  # makes shares of a text's trigrams about as large as standardised figures
+BATCH = 256
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -130,35 +160,52 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_softmax(x, y: np.ndarray, classes: int, weight: np.ndarray, steps: int = 100, decay: float = 1e-3):
-    """Multinomial logistic regression by Adam over all rows.
+class _Adam:
+    """Steps of Adam on arrays that are changed in place."""
 
-    ``x`` is a dense matrix or a triple ``(owner, bucket, value)`` of hashed features. Returns weights and biases.
-    """
-    sparse = isinstance(x, tuple)
-    n, width = len(y), BUCKETS if sparse else x.shape[1]
-    w, b = np.zeros((width, classes)), np.log(np.maximum(np.bincount(y, weight, minlength=classes), 1e-9) / max(weight.sum(), 1e-9))
-    target = np.eye(classes)[y]
-    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    for step in range(1, steps + 1):
-        z = np.stack([np.bincount(x[0], x[2] * w[x[1], k], minlength=n) for k in range(classes)], axis=1) if sparse else x @ w
-        g = (_softmax(z + b) - target) * (weight / max(weight.sum(), 1e-9))[:, None]
-        gw = np.stack([np.bincount(x[1], x[2] * g[x[0], k], minlength=width) for k in range(classes)], axis=1) if sparse else x.T @ g
-        for k, (p, d) in enumerate(((w, gw + decay * w / classes), (b, g.sum(axis=0)))):
-            m, v = moments[2 * k], moments[2 * k + 1]
+    def __init__(self, arrays: list[np.ndarray], rate: float):
+        self.arrays, self.rate, self.t = arrays, rate, 0
+        self.m, self.v = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
+
+    def step(self, gradients: list[np.ndarray]) -> None:
+        self.t += 1
+        for p, d, m, v in zip(self.arrays, gradients, self.m, self.v, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
-            p -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+
+
+def _prior(y: np.ndarray, classes: int, weight: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(np.bincount(y, weight, minlength=classes), 1e-9) / max(weight.sum(), 1e-9))
+
+
+def fit_dense(x: np.ndarray, y: np.ndarray, classes: int, weight: np.ndarray, steps: int = 100, decay: float = 1e-3):
+    """Multinomial logistic regression on a small matrix by Adam over all rows. Returns weights and biases."""
+    w, b, target = np.zeros((x.shape[1], classes)), _prior(y, classes, weight), np.eye(classes)[y]
+    adam = _Adam([w, b], 0.1)
+    for _ in range(steps):
+        g = (_softmax(x @ w + b) - target) * (weight / max(weight.sum(), 1e-9))[:, None]
+        adam.step([x.T @ g + decay * w / classes, g.sum(axis=0)])
     return w, b
 
 
-def sparse_rows(sample: dict, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of the chosen rows as ``(owner, bucket, value)``."""
-    value = shares(sample) * SCALE
-    spans = [np.arange(sample["offsets"][r], sample["offsets"][r + 1]) for r in rows]
-    at = np.concatenate(spans or [np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(s) for s in spans])
-    return owner, sample["buckets"][at], value[at]
+def fit_sparse(x: Sparse, y: np.ndarray, classes: int, weight: np.ndarray, epochs: int = 16, decay: float = 1e-3):
+    """Multinomial logistic regression on hashed trigrams by Adam over batches of ``BATCH`` rows, so that memory doesn't grow with their number."""
+    w, b = np.zeros((BUCKETS, classes), dtype=np.float32), _prior(y, classes, weight).astype(np.float32)
+    adam, rng, mean = _Adam([w, b], 0.1), np.random.default_rng(5), max(weight.mean() if len(weight) else 0.0, 1e-9)
+    for epoch in range(epochs):
+        adam.rate = 0.1 * (1 - epoch / epochs)
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), BATCH):
+            rows = order[k : k + BATCH]
+            owner, bucket, value = x.entries(rows)
+            z = np.column_stack([np.bincount(owner, value * w[bucket, c], minlength=len(rows)) for c in range(classes)]) + b
+            g = _softmax(z)
+            g[np.arange(len(rows)), y[rows]] -= 1
+            g *= (weight[rows] / (mean * len(rows)))[:, None]
+            gw = np.column_stack([np.bincount(bucket, value * g[owner, c], minlength=BUCKETS) for c in range(classes)])
+            adam.step([(gw + decay * w / classes).astype(np.float32), g.sum(axis=0).astype(np.float32)])
+    return w, b
 
 
 def sparse_logits(w: np.ndarray, b: np.ndarray, bucket: np.ndarray, offsets: np.ndarray) -> np.ndarray:
