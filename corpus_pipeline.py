@@ -11,20 +11,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import alike, decontaminate, mixture, quality, reshard
 from tidemark.llm.queries import WEIGHTS, language_domains
-from tidemark.llm.store import stored
+from tidemark.llm.store import positional, restored, stored
 
 SHARDS = 40
 
 
-def _packed(docs: DataFrame, *more: str) -> DataFrame:
-    """All columns in one, so that no name among them can clash, beside those an operator reads."""
-    return docs.select(F.struct(*docs.columns).alias("packed"), "doc_id", "text", *more)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(_packed(docs, "lang", "source", "n_chars"), model).where("kept").select("packed.*")
+    own, names = positional(docs)
+    return restored(quality.score(own, model, tuple(names[c] for c in ("text", "lang", "source", "n_chars"))).where("kept"), names)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +38,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the languages have their target shares of tokens; none is left out."""
-    rated = mixture.mixed(_packed(docs), language_domains(spark, docs, sf_dir), WEIGHTS, whole=True)
-    return rated.select("packed", F.explode(F.sequence(F.lit(1), "copies"))).select("packed.*")
+    own, names = positional(docs)
+    rated = mixture.mixed(own, language_domains(spark, docs, sf_dir), WEIGHTS, whole=True, read=(names["doc_id"], names["text"]))
+    return restored(rated.select(*names.values(), F.explode(F.sequence(F.lit(1), "copies"))), names)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
