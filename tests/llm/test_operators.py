@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -434,21 +435,32 @@ def brute_search(texts, ids, query, k, terms):
     cut = chosen[:terms] if terms else chosen
     tie = terms and len(chosen) > terms and (df[chosen[terms - 1]] > 1) == (df[chosen[terms]] > 1) and abs(weight[chosen[terms - 1]] - weight[chosen[terms]]) < 1e-9
     score = [sum(weight[x] * w[x] * 2.2 / (w[x] + 1.2 * (0.25 + 0.75 * n / mean)) for x in cut if x in w) for w, n in zip(words, size, strict=True)]
-    return sorted((s for s in score if s > 0), reverse=True)[:k], tie
+    best = sorted((-round(s, 9), ids[k], s) for k, s in enumerate(score) if s > 0)[:k]
+    return [s for *_, s in best], [i for _, i, _ in best], tie
 
 
-@pytest.mark.parametrize("terms", [16, None])
-def test_search_is_exact(spark, terms, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 4)
+@pytest.mark.parametrize(("terms", "rounds"), [(16, False), (None, False), (None, True)])
+def test_search_is_exact(spark, terms, rounds):
+    """Scores, ranks and ids, over several shards, blocks of documents and rounds with a shared floor."""
     docs = table("documents")
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    index = stored(search.build_index(df.repartition(3)), "index")
+    index = stored(search.build_index(df.repartition(20 if rounds else 3), 16), "index")
+    assert index.count() >= (16 if rounds else 3)
     got = search.search(index, df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 10, terms).toPandas()
     for i in docs.doc_id[docs.doc_id % 20 == 0]:
-        want, tie = brute_search(list(docs.text), list(docs.doc_id), int(np.flatnonzero(docs.doc_id == i)[0]), 10, terms)
+        want, who, tie = brute_search(list(docs.text), list(docs.doc_id), int(np.flatnonzero(docs.doc_id == i)[0]), 10, terms)
         if not tie:
             own = got[got.query_id == i].sort_values("rank")
-            assert own.score.tolist() == pytest.approx(want, rel=1e-9) and own["rank"].tolist() == list(range(1, len(want) + 1))
+            assert own.score.tolist() == pytest.approx(want, rel=1e-9) and own["rank"].tolist() == list(range(1, len(want) + 1)) and own.doc_id.tolist() == who
+
+
+def test_search_in_blocks_of_queries(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    index = stored(search.build_index(df.repartition(2), 16), "index")
+    asked = search.query_terms(df.withColumnRenamed("doc_id", "query_id"), search.document_frequencies(index), df.count()).withColumn("floor", F.lit(0.0))
+    one, many = (search._met(index, stored(search.query_blocks(asked, n), "query_blocks"), 100.0, 3).toPandas() for n in (1, 5))
+    key = lambda x: sorted(zip(x.query_id, x.doc_id, x.score.round(9), strict=True))
+    assert key(one) == key(many) and len(one)
 
 
 def test_search_edges(spark):
@@ -465,25 +477,38 @@ def test_search_query_asks_whole_texts(spark):
     docs = table("documents")
     got = queries.op10_search(spark, SF).toPandas()
     for i in docs.doc_id[docs.doc_id % 20 == 0]:
-        want, _ = brute_search(list(docs.text), list(docs.doc_id), int(np.flatnonzero(docs.doc_id == i)[0]), 10, None)
-        assert got[got.query_id == i].sort_values("rank").score.tolist() == pytest.approx(want, rel=1e-9)
+        want, who, _ = brute_search(list(docs.text), list(docs.doc_id), int(np.flatnonzero(docs.doc_id == i)[0]), 10, None)
+        own = got[got.query_id == i].sort_values("rank")
+        assert own.score.tolist() == pytest.approx(want, rel=1e-9) and own.doc_id.tolist() == who
 
 
-def test_search_blocks_and_copies(monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 16)
+@pytest.mark.parametrize(("known", "few"), [(False, 24), (True, 24), (True, 10**6), (True, -1)])
+def test_search_pivots_and_copies(monkeypatch, known, few):
+    """Both ways of scoring a block, with floors known before or not, against all scores; copies have equal ones, in order of ids."""
+    monkeypatch.setattr(search, "FEW", few)
     rng, k = np.random.default_rng(7), 5
-    tf = rng.poisson(0.4, (150, 60))
-    tf[100:130] = tf[3]  # copies: equal scores, in order of place
+    tf = rng.poisson(0.4 * (rng.random((150, 60)) < 0.6))
+    tf[100:130] = tf[3]
     tf[140] = 0
-    term, doc = np.nonzero(tf.T)
-    starts = np.searchsorted(term, np.arange(61)).astype(np.int32)
-    lengths, place = tf.sum(axis=1).astype(np.int32), rng.permutation(150)
+    doc, term = np.nonzero(tf)
+    keys = np.arange(60) * 7 - 200
+    lengths, ids = tf.sum(axis=1), rng.permutation(150)
+    packed = search.packed_shard(pa.array(ids), lengths, doc, keys[term].view(np.uint64), tf[doc, term], 16)
+    shard = search.Shard(packed)
     weights = rng.random((40, 60)) * (rng.random((40, 60)) < 0.5)
-    shard = search.Shard(lengths, np.arange(60) * 7 - 200, starts, doc.astype(np.int32), tf.T[term, doc].astype(np.int32), lengths.mean(), place)
-    query, at = np.nonzero(weights)
-    got = shard.top(query, at * 7 - 200, weights[query, at], k)
     share = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths / lengths.mean())[:, None])
-    for q in range(40):
-        score = np.round(share @ weights[q], 9)
-        want = [d for d in np.lexsort((place, -score)) if score[d] > 0][:k]
-        assert got[1][got[0] == q].tolist() == want
+    scores = share @ weights.T
+    floor = np.sort(scores, axis=0)[-k] if known else np.zeros(40)
+    query, at = np.nonzero(weights)
+    order = np.lexsort((-(tf > 0).sum(axis=0)[at], query))
+    query, at = query[order], at[order]
+    asked = {"q_vocabulary": keys, "q_at": np.searchsorted(query, np.arange(41)), "q_term": at.astype(np.int32), "q_weight": weights[query, at], "q_floor": floor}
+    assert shard.frequencies().tolist() == (tf > 0).sum(axis=0)[np.searchsorted(keys, shard.terms)].tolist()
+    q, place, score = search.Search(shard, {c: x.tobytes() for c, x in asked.items()}, lengths.mean(), k).top()
+    held = np.flatnonzero(lengths)
+    for own in range(40):
+        exact = np.round(scores[:, own], 9)
+        want = sorted((-exact[d], ids[d]) for d in held if exact[d] > 0)[:k]
+        found = np.array(packed["ids"].to_pylist())[place[q == own]]
+        got = sorted(zip(-np.round(score[q == own], 9), found, strict=True))[:k]
+        assert got == want
