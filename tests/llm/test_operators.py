@@ -366,6 +366,44 @@ def test_licences_match_brute_force(spark):
     assert licences.scan(empty_docs(spark)).count() == 0
 
 
+def brute_labels(w):
+    """Labels and best agreement of all templates and phrases at all places."""
+    labels, best = set(), 0.0
+    for _, label, body, key_at, key_n, _ in licences.templates():
+        for start in range(1 - len(body), len(w)):
+            agree = [0 <= start + k < len(w) and w[start + k] == x for k, x in enumerate(body)]
+            if all(agree[key_at : key_at + key_n]) and sum(agree) / len(body) >= licences.COVERAGE:
+                labels.add(label)
+                best = max(best, sum(agree) / len(body))
+    return ",".join(sorted(labels)), best
+
+
+def test_licence_templates_match_brute_force(spark):
+    """Templates with up to a fifth of their words replaced, also the rarest, among other words, with equal anchors elsewhere and at the ends of texts."""
+    rng, rows = np.random.default_rng(5), []
+    bodies = [body for _, _, body, *_ in licences.templates()]
+    pool = sorted({w for b in bodies for w in b}) + ["alpha", "beta", "gamma"]
+    for i in range(400):
+        own = list(bodies[i % len(bodies)])
+        for k in rng.choice(len(own), size=int(rng.integers(0, len(own) // 4 + 2)), replace=False):
+            own[k] = str(rng.choice(pool))
+        before, after = (rng.choice(pool, int(rng.integers(0, 700 if i % 10 == 0 else 12))).tolist() for _ in range(2))
+        rows.append((i, " ".join([*before, *own, *after])))
+    rows.append((1000, "distribution and use in source and binary forms with or without changes are permitted"))
+    rows += [(k, "binary forms " * (k - 1000)) for k in range(1001, 1040)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].labels == "bsd"
+    for i, t in rows:
+        labels, best = brute_labels(t.split())
+        assert (got[i].labels, got[i].score) == (labels, pytest.approx(best)), t
+
+
+def test_licences_in_a_text_of_a_million_template_words(spark):
+    text = "redistribution and use in source and binary forms with or without modification are permitted " * 70_000
+    row = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row.n_words == 980_000 and row.labels == "bsd" and row.score == 1 and row.n_base == 0
+
+
 # op8
 
 

@@ -1,9 +1,9 @@
 """Operator 7: licence scans through a positional index of rare words. DataFrame functions only.
 
 The index has the words of licence templates with their positions. How rare each of them is comes from all
-documents. A document is looked up by the rarest words of each template; a posting's position against the
-word's place gives where the template would begin, the other words are compared at their relative positions,
-and a template counts only with its mandatory key phrase in place.
+documents. A document is looked up by the rarest word of each template's mandatory key phrase, which has to be in place whole, so no
+match can be missed; a posting's position against the word's place gives where the template would begin, and the template's other words are met at their
+relative positions. Long texts are looked up piece by piece.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from .store import stored
 from .urlrules import LOWER, UPPER
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS = 2
 COVERAGE = 0.8
+PIECE = 512  # words looked up at a time
 
 # Phrases that count word for word, and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -48,13 +48,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), "")
 
 
-def _templates(spark: SparkSession) -> DataFrame:
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of constants as literals, which no Python task has to read."""
+    value = lambda x: F.array(*map(value, x)) if isinstance(x, list) else F.lit(x)
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(value(x).alias(n) for x, n in zip(r, names, strict=True))) for r in rows))))
+
+
+def templates() -> list[tuple[int, str, list[str], int, int, bool]]:
+    """``template, label, body, key_at, key_n, base``: words and key phrase of all phrases and templates."""
     rows = [(n, label, phrase.split(), 0, len(phrase.split()), True) for n, (phrase, label) in enumerate(PHRASES)]
     for n, (label, text, key) in enumerate(TEMPLATES, len(rows)):
         own, key = text.split(), key.split()
         at = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
         rows.append((n, label, own, at, len(key), False))
-    return spark.createDataFrame(rows, "template int, label string, body array<string>, key_at int, key_n int, base boolean")
+    return rows
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -66,51 +73,55 @@ def scan(docs: DataFrame) -> DataFrame:
     (best agreement, 0 to 1; a phrase gives 1). A null text is an empty one and has no words. Repeated rows and null
     ids come back as they are; an empty table gives an empty result; columns other than the named ones are ignored.
     """
-    spark = docs.sparkSession
-    templates = _templates(spark)
-    vocabulary = sorted({w for r in templates.collect() for w in r.body})
-    rare = [w for w in vocabulary if w not in COMMON]
-    longest = max(len(t.split()) for _, t, _ in TEMPLATES)
+    rows = templates()
+    rare = sorted({w for _, _, body, *_ in rows for w in body} - set(COMMON))
+    longest = max(len(body) for _, _, body, *_ in rows)
+    known = literal_rows(docs.sparkSession, rows, ["template", "label", "body", "key_at", "key_n", "base"])
 
     parsed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
     parsed = parsed.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.array_intersect("words", F.array(*map(F.lit, rare))).alias("found"))
     parsed = stored(parsed.withColumn("words", F.when(F.size("found") > 0, F.col("words"))), "licence_words")
 
-    # how rare the index words are, over all documents
+    # how rare the index words are, over all documents; each template is looked up by the rarest of its key phrase
     number = parsed.count()
     df = parsed.select(F.explode("found").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    postings = templates.select("template", F.posexplode("body").alias("at", "word")).where(F.col("word").isin(rare))
+    in_key = (F.col("at") >= F.col("key_at")) & (F.col("at") < F.col("key_at") + F.col("key_n"))
+    postings = known.select("*", F.posexplode("body").alias("at", "word")).where(F.col("word").isin(rare) & in_key)
     postings = postings.join(F.broadcast(df), "word", "left")
     postings = postings.withColumn("idf", F.log((F.lit(number) + 1) / (F.coalesce("df", F.lit(0)) + 1)))
     ranked = Window.partitionBy("template").orderBy(F.desc("idf"), "word", "at")
-    anchors = postings.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= ANCHORS)
-    anchors = anchors.join(templates, "template").select("word", "at", "template", "label", "body", "key_at", "key_n", "base")
+    anchors = postings.withColumn("rank", F.row_number().over(ranked)).where("rank = 1").drop("rank", "idf", "df")
     looked_up = sorted({r.word for r in anchors.select("word").collect()})
 
-    # places of the rare words with the words around them, as many as the longest template can need
-    hit = F.filter(
-        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(looked_up)
+    # pieces of the texts with as many words on either side as the longest template can need
+    begin = lambda at: F.greatest(at - longest, F.lit(0))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.col("n_words") - 1, F.lit(PIECE)),
+        lambda at: F.struct(at.alias("base"), begin(at).alias("left"), F.slice("words", begin(at) + 1, at - begin(at) + PIECE + longest).alias("words")),
     )
+    asked = F.array(*map(F.lit, looked_up))
+    pieces = parsed.where(F.arrays_overlap("found", asked)).select("row", F.explode(pieces).alias("p")).select("row", "p.*").where(F.arrays_overlap("words", asked))
+    # places of the anchors in each piece, with the words around them
+    hit = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), (F.col("left") + i).alias("pos"))), lambda x: x["word"].isin(looked_up) & (x["pos"] >= F.col("base")) & (x["pos"] < F.col("base") + PIECE))
     around = F.transform(
         hit,
         lambda x: F.struct(
             x["word"].alias("word"),
             x["pos"].alias("pos"),
-            F.greatest(x["pos"] - longest, F.lit(0)).alias("left"),
-            F.slice("words", F.greatest(x["pos"] - longest, F.lit(0)) + 1, 2 * longest + 1).alias("near"),
+            begin(x["pos"]).alias("left"),
+            F.slice("words", begin(x["pos"]) - F.col("left") + 1, 2 * longest + 1).alias("near"),
         ),
     )
-    places = parsed.where(F.arrays_overlap("found", F.array(*map(F.lit, looked_up)))).select("row", F.explode(around).alias("p")).select("row", "p.*")
+    places = pieces.select("row", F.explode(around).alias("p")).select("row", "p.*")
     met = places.join(F.broadcast(anchors), "word").withColumn("start", F.col("pos") - F.col("at"))
     agree = F.transform("body", lambda w, k: F.coalesce(F.get("near", F.col("start") - F.col("left") + k) == w, F.lit(False)))
     met = met.withColumn("agree", agree)
     met = met.select(
-        "row", "template", "label", "base", "start",
+        "row", "label", "base", "start",
         (F.size(F.filter("agree", lambda x: x)) / F.size("body")).alias("covered"),
         F.forall(F.slice("agree", F.col("key_at") + 1, F.col("key_n")), lambda x: x).alias("key"),
     )
-    met = met.where(F.col("key") & (F.col("covered") >= COVERAGE)).groupBy("row", "template", "label", "base", "start")
-    met = met.agg(F.max("covered").alias("covered"))
+    met = met.where(F.col("key") & (F.col("covered") >= COVERAGE))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     told = met.groupBy("row").agg(
         F.count_if("base").alias("n_base"),

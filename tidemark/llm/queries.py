@@ -59,7 +59,7 @@ URL_RULES = [
 @_query
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest rule and the verdict for every url of ``pages``."""
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = licences.literal_rows(spark, URL_RULES, ["host", "path", "verdict"])
     return urlrules.judge(_table(spark, sf_dir, "pages"), rules)
 
 
