@@ -432,6 +432,46 @@ def test_replaced_words_are_tolerated(spark):
             assert int(items.item_id[r.doc_id]) in r.item_ids and r.spans[0].begin >= 85
 
 
+def brute_leaks(doc, items):
+    """Item ids, most equal words and spans of a document's alignments that share a seed with an item."""
+    ids, most, spans = set(), 0, set()
+    for i, item in items:
+        looked_at = decontaminate.masks([len(item)])[len(decontaminate.MASKS) :] if len(item) < decontaminate.SPAN else decontaminate.masks([])
+        for shift in range(1 - len(item), len(doc)):
+            equal = np.array([0 <= shift + k < len(doc) and doc[shift + k] == w for k, w in enumerate(item)])
+            if not any(equal[at + np.array(mask)].all() and 0 <= shift + at and shift + at + span <= len(doc) for _, span, mask in looked_at for at in range(len(item) - span + 1)):
+                continue
+            runs = [(int(equal[a:z].sum()), -a, z) for a in range(len(item)) for z in range(a + 1, len(item) + 1) if equal[a] and equal[z - 1] and equal[a:z].sum() >= decontaminate.AGREE * (z - a) - 1e-9]
+            n, a, z = max(runs, default=(0, 0, 0))
+            if n and n >= min(decontaminate.MIN_WORDS, math.ceil(decontaminate.AGREE * len(item))):
+                ids.add(i)
+                most = max(most, n)
+                spans.add((shift - a, shift + z))
+    return sorted(ids), most, sorted(spans)
+
+
+def test_leaks_match_brute_force(spark):
+    """Items of 1 to 40 words, copied with some words replaced, at the ends of texts too; ids, most equal words and spans."""
+    rng, pool = np.random.default_rng(8), [f"v{k}" for k in range(400)]
+    items = [(k, rng.choice(pool, n).tolist()) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, 11, 13, 15, 20, 26, 33, 40])]
+    items[0] = (0, ["alone"])
+    rows = []
+    for d in range(72):
+        own = list(items[d % len(items)][1])
+        for k in rng.choice(len(own), size=int(rng.integers(0, len(own) // 4 + 1)), replace=False):
+            own[k] = str(rng.choice(pool))
+        rows.append((d, [*rng.choice(pool, int(rng.integers(0, 30))).tolist(), *own, *rng.choice(pool, int(rng.integers(0, 30))).tolist()]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.overlaps(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string"), bench).collect()}
+    found = 0
+    for d, w in rows:
+        ids, most, spans = brute_leaks(w, items)
+        r = got[d]
+        assert (r.item_ids, r.n_equal, r.leaked) == (ids, most, most > 0) and [(x.begin, x.end) for x in r.spans] == spans
+        found += r.leaked
+    assert found > 40
+
+
 def test_leak_edges(spark):
     bench = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "too short", "x"), (None, edge_rows()[3][1][:300], "x"), (5, edge_rows()[3][1][:300], "x")], "item_id long, text string, row string")
     out = decontaminate.overlaps(edge_docs(spark), bench).collect()

@@ -4,7 +4,9 @@ A seed is a run of ``SPAN`` words of which a fixed mask looks at six and ignores
 only the seeds that look at it. Test and training texts meet on equal seed hashes; each meeting proposes an alignment, whose words are
 then compared one by one, replaced words tolerated. Words are runs of digits, letters and bytes beyond ASCII, A-Z lower-cased.
 
-The training side first asks a bit table of the test seeds (two bits a seed, ``2**BITS`` bits in all, however large the
+Items of fewer words than a seed have seeds of their own length: of all words below five, else of all but one, since only one of five to nine words may differ.
+
+The training side first asks a bit table of the test seeds (two bits a seed, ``2**MAX_BITS`` bits at most, however large the
 benchmark is) and keeps only stretches of text around seeds that may occur; the exact join follows on those.
 """
 
@@ -21,40 +23,52 @@ from .textops import NO_WORD, Words, chunks, mix, signed
 # The positions each mask looks at.
 MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 2, 5, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 7, 9)]
 SPAN = 10
-BITS = 24
+MIN_BITS, MAX_BITS = 20, 26
 RADIUS = 40
 MIN_WORDS = 13
 AGREE = 0.8
 
 
-def seeds(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place (index among all words) of every seed that lies within one text."""
-    h = words.hashes()
-    owner = np.repeat(np.arange(len(words)), np.diff(words.bounds))
-    if len(h) < SPAN:
-        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-    at = np.flatnonzero(owner[: len(h) - SPAN + 1] == owner[SPAN - 1 :])
-    out = []
-    for m, mask in enumerate(MASKS):
-        total = np.full(len(at), m + 1, dtype=np.uint64)
+def masks(short: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
+    """``(number, span, positions)`` of the fixed masks and of those for items of ``short`` words (below ``SPAN``)."""
+    out = [(m, SPAN, mask) for m, mask in enumerate(MASKS)]
+    for n in short:
+        left_out = [None] if n < 5 else range(n)
+        out += [(10 * n + (k or 0), n, tuple(j for j in range(n) if j != k)) for k in left_out]
+    return out
+
+
+def seeds(words: Words, masks: list[tuple[int, int, tuple[int, ...]]], whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place (index among all words) of every seed that lies within one text; of ``whole`` texts, short masks look only at texts of their length."""
+    h, n = words.hashes(), np.diff(words.bounds)
+    owner = np.repeat(np.arange(len(words)), n)
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for number, span, mask in masks:
+        if len(h) < span:
+            continue
+        at = np.flatnonzero(owner[: len(h) - span + 1] == owner[span - 1 :])
+        if whole and span < SPAN:
+            at = at[n[owner[at]] == span]
+        total = np.full(len(at), number + 1, dtype=np.uint64)
         for k in mask:
             total = (total + h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(mix(total))
-    return np.concatenate(out), np.tile(owner[at], len(MASKS)), np.tile(at, len(MASKS))
+        out.append((mix(total), owner[at], at))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _spots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _test_seeds(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(test, words)`` with hashes of the words of each different text, and its seeds ``(hash, test, test_at)``."""
+    every = masks(list(range(1, SPAN)))
 
     def run(batches):
         for batch in batches:
             for i, words in chunks(batch.column(1), NO_WORD):
                 own = batch.slice(i, len(words)).column(0)
-                h, text, at = seeds(words)
+                h, text, at = seeds(words, every, True)
                 order = np.argsort(text, kind="stable")
                 cuts = np.searchsorted(text[order], np.arange(len(words) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (signed(h[order]), pa.array((at - words.bounds[text])[order].astype(np.int32)))]
@@ -66,16 +80,18 @@ def _test_seeds(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("test", "test_words"), each.select(F.col("s.hash").alias("hash"), "test", F.col("s.at").alias("test_at"))
 
 
-def _stretches(table: np.ndarray):
+def _stretches(table: np.ndarray, looked_at: list[tuple[int, int, tuple[int, ...]]]):
     """A function of batches ``(..., text)`` that appends the stretches of text whose seeds are in the bit table."""
 
+    size = int(len(table) * 8).bit_length() - 1
+
     def bits(spots):
         return (table[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1
 
     def of(words: Words) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(words))]
-        h, text, at = seeds(words)
-        first, second = _spots(h)
+        h, text, at = seeds(words, looked_at)
+        first, second = _spots(h, size)
         maybe = np.flatnonzero(bits(first))
         maybe = maybe[bits(second[maybe])]
         if not len(maybe):
@@ -96,23 +112,14 @@ def _stretches(table: np.ndarray):
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
-    """The run (begin, end, equal words) of most equal words that begins and ends with one and has ``AGREE`` of them equal.
-
-    Found among runs that no worse prefix or suffix weighs down: the best sum of 1 - AGREE for equal and -AGREE for other words.
-    """
+    """The run (begin, end, equal words) of most equal words that begins and ends with one and has ``AGREE`` of them equal; the first of such."""
     value = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - AGREE, -AGREE))))
-    low = np.minimum.accumulate(value)
-    end = int(np.argmax(value - low))
-    begin = int(np.flatnonzero(value[: end + 1] == low[end])[-1]) if end else 0
-    # the longest run that still agrees well enough around the best one
-    while begin > 0 and value[end] - value[begin - 1] >= -1e-9:
-        begin -= 1
-    while end < len(equal) and value[end + 1] - value[begin] >= -1e-9:
-        end += 1
-    same = np.flatnonzero(equal[begin:end])
-    if not len(same):
-        return 0, 0, 0
-    return begin + int(same[0]), begin + int(same[-1]) + 1, len(same)
+    count = np.concatenate(([0], np.cumsum(equal)))
+    # a run agrees well enough if its value is no less at the end than at the beginning; the earliest such beginning of each end
+    begin = np.minimum(np.searchsorted(-np.minimum.accumulate(value), -value - 1e-9), np.arange(len(value)))
+    end = int(np.argmax(count - count[begin]))
+    same = begin[end] + np.flatnonzero(equal[begin[end] : end])
+    return (int(same[0]), int(same[-1]) + 1, len(same)) if len(same) else (0, 0, 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -121,7 +128,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``doc_id, text_hash, leaked, item_ids, n_equal, spans``: ``leaked`` if some alignment with an item of ``benchmark(item_id, text, ...)`` has
     a run with ``AGREE`` of its words equal that holds ``MIN_WORDS`` equal ones, or that share of a shorter item's words. ``item_ids`` are the sorted ids of
     such items, ``n_equal`` the most equal words, ``spans`` the runs in the document (words from 0). ``text_hash`` is Spark's xxhash64 of the text.
-    Null texts are empty and hold nothing; an item with fewer than ``SPAN`` words has no seed and is never found; null ids come back as they
+    Null texts are empty and hold nothing; an item without words is never found; null ids come back as they
     are (a null ``item_id`` leaves ``item_ids`` without it); equal items are found once, with all ids; repeated rows stay repeated; empty tables
     give an empty result or no leaks; other columns are ignored.
     """
@@ -130,10 +137,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(items.withColumn("test", F.monotonically_increasing_id()), "items")
     test_words, test_seeds = _test_seeds(items.select("test", F.col("text").cast("binary").alias("text")))
     test_seeds = stored(test_seeds, "test_seeds")
-    mask = (1 << BITS) - 1
-    spots = test_seeds.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - BITS), F.col("hash").bitwiseAND(F.lit(mask)))).alias("spot"))
-    spots = spots.distinct().toArrow().column(0).to_numpy()  # 2**BITS at most
-    table = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    short = test_words.where(F.size("test_words").between(1, SPAN - 1)).select(F.size("test_words")).distinct().collect()
+    looked_at = masks(sorted(r[0] for r in short))
+    bits = min(MAX_BITS, max(MIN_BITS, int(8 * test_seeds.count()).bit_length()))
+    spots = test_seeds.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))).alias("spot"))
+    spots = spots.distinct().toArrow().column(0).to_numpy()  # 2**MAX_BITS at most
+    table = np.zeros(1 << (bits - 3), dtype=np.uint8)
     np.bitwise_or.at(table, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(table)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -141,7 +150,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow = pa.list_(pa.struct({"begin": pa.int32(), "words": pa.list_(pa.int32()), "hits": pa.list_(pa.struct({"hash": pa.int64(), "at": pa.int32()}))}))
 
     def run(batches):
-        of = _stretches(shared.value)
+        of = _stretches(shared.value, looked_at)
         for batch in batches:
             got = [x for _, words in chunks(batch.column(3), NO_WORD) for x in of(words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, type=arrow)], names=["row", "doc_id", "text_hash", "found"])
