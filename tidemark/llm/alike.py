@@ -5,8 +5,9 @@ three 64-bit SimHashes, cut into twelve blocks of 16 bits, each with a vantage-p
 probability of 0.98, more alike ones almost surely. Where they share such a block they meet in a cell, are candidates if at most ``MOST_BITS`` of all 192 bits differ (0.998
 at 0.8), and link if the exact similarity of their sets is 0.8 or more. Equal sets are one from the start.
 
-Groups are components of links. Each text first asks its nearest candidate and the one of highest priority, which is the same for most of a large group; then
-only candidates of different groups are left and all of them are compared.
+Groups are components of links. Each text first asks its nearest candidate and the one of highest priority, which is the same for most of a large group. Texts that
+still have candidates of other groups are then compared exactly, but not all with all: in a fixed order of shingles, rare ones first, two sets that are 0.8 alike share
+one among the first fifth of each, at places that leave enough to share (prefix and positional filter), so a large group of texts that are less alike costs no pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ LEAF = 50_000
 LIMIT = 200_000
 SMALL = 1024
 PAIRS = 64
-ROUNDS = 1
-NEAREST, FIRST, ALL = 0, 1, 2
+SAMPLE, MAX_OFTEN = 8_000, 200_000
+NEAREST, FIRST, OPEN = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,28 +121,26 @@ def _meetings(block: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndar
 
 
 def _asked(mark, block, words, root, n, every: bool):
-    """``(u, v, kind, bits)`` of a cell: all candidates, or of each row the nearest and the one of highest priority."""
+    """``(u, v, kind, bits)`` of a cell: of each row the nearest candidate and the one of highest priority, or if ``every``, the rows that have any."""
     rank = np.empty(len(mark), dtype=np.int64)
     rank[np.argsort(mix(mark), kind="stable")] = np.arange(len(mark))
     by_rank = np.argsort(rank)
     nothing = np.iinfo(np.int64).max
     nearest, first = np.full(len(mark), nothing), np.full(len(mark), nothing)
     for i, j, bits in _meetings(block, words, root, n):
-        if every:
-            once = mark[i] < mark[j]
-            yield mark[i[once]], mark[j[once]], np.full(once.sum(), ALL, np.int8), bits[once]
-        else:
-            np.minimum.at(nearest, i, bits * len(mark) + rank[j])
-            np.minimum.at(first, i, rank[j])
-    if not every:
-        i = np.flatnonzero(nearest < nothing)
-        yield mark[i], mark[by_rank[nearest[i] % len(mark)]], np.full(len(i), NEAREST, np.int8), nearest[i] // len(mark)
-        i = np.flatnonzero(first < rank)
-        yield mark[i], mark[by_rank[first[i]]], np.full(len(i), FIRST, np.int8), np.zeros(len(i), np.int64)
+        np.minimum.at(nearest, i, bits * len(mark) + rank[j])
+        np.minimum.at(first, i, rank[j])
+    i = np.flatnonzero(nearest < nothing)
+    if every:
+        yield mark[i], mark[i], np.full(len(i), OPEN, np.int8), np.zeros(len(i), np.int64)
+        return
+    yield mark[i], mark[by_rank[nearest[i] % len(mark)]], np.full(len(i), NEAREST, np.int8), nearest[i] // len(mark)
+    i = np.flatnonzero(first < rank)
+    yield mark[i], mark[by_rank[first[i]]], np.full(len(i), FIRST, np.int8), np.zeros(len(i), np.int64)
 
 
 def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limit: int) -> DataFrame:
-    """``u, v`` of candidates among ``prints(mark, root, n, w0, w1, w2)`` whose roots differ: all of them if ``every``."""
+    """``u, v`` of chosen candidates among ``prints(mark, root, n, w0, w1, w2)`` whose roots differ; if ``every``, ``mark`` of all rows that have such a candidate."""
     def spread(tiles: Tiles, major: dict, only_keys: bool = False):
         def run(batches):
             for batch in batches:
@@ -191,8 +190,9 @@ def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limi
         return pa.table({"u": signed(u), "v": signed(v), "kind": pa.array(kind.astype(np.int8)), "bits": pa.array(bits)})
 
     met = dealt.groupBy("shard").applyInArrow(lambda t: meet(t), "u long, v long, kind byte, bits long")
-    if not every:
-        met = met.groupBy("u", "kind").agg(F.min_by("v", F.struct("bits", F.xxhash64("v"), "v")).alias("v"))
+    if every:
+        return stored(met.select(F.col("u").alias("mark")).distinct(), "open")
+    met = met.groupBy("u", "kind").agg(F.min_by("v", F.struct("bits", F.xxhash64("v"), "v")).alias("v"))
     return stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
 
 
@@ -219,7 +219,52 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(run, "u long, v long")
 
 
-def groups(prints: DataFrame, text_of, width: int, leaf: int = LEAF, limit: int = LIMIT) -> DataFrame | None:
+def _with_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``mark, shingles`` of ``texts(mark, text)``."""
+
+    def run(batches):
+        for batch in batches:
+            for at, n, ends, key in _sets(batch.column(1), width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(key))], names=["mark", "shingles"])
+
+    return texts.select("mark", "text").mapInArrow(run, "mark long, shingles array<long>")
+
+
+def _prefix_pairs(texts: DataFrame, width: int) -> DataFrame:
+    """``u, v``: pairs of ``texts(mark, text, root)`` of different roots that share a shingle so early in the order of shingles that they can be 0.8 alike.
+
+    The order puts shingles that are often in a sample of the texts last, the others by hash; any fixed order gives all such pairs.
+    """
+    every = max(1, texts.count() // SAMPLE)
+    some = _with_sets(texts.where(F.pmod(F.xxhash64("mark"), F.lit(every)) == 0), width).select(F.explode("shingles").alias("token"))
+    often = some.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MAX_OFTEN).orderBy("token").toArrow()
+    shared = texts.sparkSession.sparkContext.broadcast((often.column("token").to_numpy(), often.column("count").to_numpy()))
+
+    def run(batches):
+        tokens, counts = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            token, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(tokens, token), max(0, len(tokens) - 1))
+            count = np.where(tokens[at] == token, counts[at], 0) if len(tokens) else np.zeros(len(token), np.int64)
+            order = np.lexsort((token, count, owner))
+            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            early = np.flatnonzero(place < (n - (4 * n + 4) // 5 + 1)[owner])
+            taken, rows = order[early], pa.array(owner[early])
+            cols = [pa.array(token[taken]), batch.column(0).take(rows), pa.array(n[owner[early]].astype(np.int32)), pa.array(place[early].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "mark", "n", "place"])
+
+    found = _with_sets(texts, width).mapInArrow(run, "token long, mark long, n int, place int")
+    found = stored(found.join(texts.select("mark", "root"), "mark"), "prefixes")
+    side = lambda x: found.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("mark", "n", "place", "root")))
+    left = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
+    fits = "mark_u < mark_v AND root_u <> root_v AND 5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)"
+    pairs = side("u").join(side("v"), "token").where(F.expr(fits) & (9 * left >= 4 * (F.col("n_u") + F.col("n_v"))))
+    return stored(pairs.select(F.col("mark_u").alias("u"), F.col("mark_v").alias("v")).distinct(), "candidates")
+
+
+def groups(prints: DataFrame, text_of, width: int, leaf: int = LEAF, limit: int = LIMIT) -> DataFrame:
     """``(node, root)`` of the marks that links of 0.8 or more join, ones without a link left out; ``prints(mark, n, w0, w1, w2)`` has a row for each mark.
 
     ``text_of``, a function of a table of marks, gives their texts ``(mark, text)``.
@@ -227,17 +272,16 @@ def groups(prints: DataFrame, text_of, width: int, leaf: int = LEAF, limit: int
     count = prints.count()
     prints = prints.where("n >= 4")  # sets of fewer are 0.8 alike only if they are equal
     forest = Forest(count, sampled_words(prints, list(WORDS), count), BLOCKS, leaf)
-    links, known = None, None
-    for turn in range(ROUNDS + 1):
-        own = prints.withColumn("root", F.col("mark"))
-        if known is not None:
-            own = prints.join(known, prints.mark == known.node, "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", *WORDS)
-        pairs = _candidates(own, forest, count, turn == ROUNDS, limit)
-        marks = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
-        found = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike")
-        links = found if links is None else links.union(found)
-        known = stored(components(links), "groups")
-    return known
+    pairs = _candidates(prints.withColumn("root", F.col("mark")), forest, count, False, limit)
+    marks = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
+    links = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike")
+    known = stored(components(links), "groups")
+
+    rooted = prints.join(known, prints.mark == known.node, "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", *WORDS)
+    open_ = _candidates(rooted, forest, count, True, limit)
+    texts = stored(text_of(open_).join(rooted.select("mark", "root"), "mark"), "open_texts")
+    more = _alike(_prefix_pairs(texts, width), texts, width)
+    return stored(components(links.union(more)), "groups")
 
 
 def without_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
