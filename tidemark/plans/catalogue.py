@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, event_study, joins, learning, ledgers, rules, streams, technicals  # noqa: F401
+from . import evaluation, event_study, features, joins, learning, ledgers, rules, streams, technicals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "purged_har_walkforward"
