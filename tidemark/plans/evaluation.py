@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,35 +77,6 @@ def har_summary_by_year(spark, sf_dir):
     )
 
 
-@query("har_iv_multiregressor")
-def har_iv_multiregressor(spark, sf_dir):
-    """Log-volatility on three horizons by least squares, a fit for each decision row on all rows known by then.
-
-    Sums of cross-products run along the series as window sums, so a decision row holds its whole training set in ten numbers a
-    pair and the small system is solved row by row in Arrow batches; no training set is gathered anywhere.
-    """
-    rows = har_rows(spark, sf_dir)
-    known = S.ordered().rowsBetween(Window.unboundedPreceding, -STEPS)
-    ok = F.col("target").isNotNull()
-    x = [F.lit(1.0), F.ln("rv5"), F.ln("rv22"), F.ln("rv66")]
-    pairs = [(a, b) for a in range(4) for b in range(a, 4)]
-    sums = [F.sum(F.when(ok, x[a] * x[b])).over(known) for a, b in pairs] + [F.sum(F.when(ok, v * F.ln("target"))).over(known) for v in x]
-    rows = rows.withColumns({"s": F.array(*sums), "x": F.array(*x)})
-    rows = rows.where((F.col("i") > MIN_TRAIN) & ((F.col("i") - 1) % EVERY == 0) & ok).select("series_id", "d", "rv22", "target", "s", "x")
-
-    @F.pandas_udf("double")
-    def solve(s: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for own, at in zip(s, x, strict=True):
-            a = np.zeros((4, 4))
-            for (i, j), v in zip(pairs, own[:10], strict=True):
-                a[i, j] = a[j, i] = v
-            out.append(float(np.exp(np.linalg.lstsq(a, np.asarray(own[10:], float), rcond=None)[0] @ np.asarray(at, float))))
-        return pd.Series(out, dtype="float64")
-
-    return rows.select("series_id", "d", r6(solve("s", "x")).alias("predicted"), r6(F.col("target")).alias("actual"), r6(F.col("rv22")).alias("rv_22"))
-
-
 WALK_SQL = f"""{BARS_SQL},
 b AS (SELECT series_id, d, rn, close, lead(close, {STEPS}) OVER o AS actual, close AS naive, close + {STEPS} * avg(close - pc) OVER before AS drift, lag(close, 5) OVER o AS price_5d_ago,
   close + {STEPS} * avg(close - pc) OVER w20 AS challenger FROM n {frames(20)}, before AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
