@@ -69,31 +69,66 @@ def test_simhash_matches_brute_force(spark):
     assert got == {i: (f"{f:016x}", c) for i, f, c in zip(ids, fps, want, strict=True)}
 
 
-def test_links_join_chains_of_near_fingerprints(spark):
-    rng = np.random.default_rng(3)
-    fps = [int(x) for x in rng.integers(0, 1 << 62, size=300, dtype=np.int64)]
-    for k in range(0, 200, 2):  # a neighbour of up to five flipped bits; chains of such
+def near_fingerprints(rng, n, near):
+    """``n`` random fingerprints, some with a neighbour of up to five flipped bits; chains of such."""
+    fps = [int(x) for x in rng.integers(0, 1 << 62, size=n, dtype=np.int64)]
+    for k in range(0, near, 2):
         x = fps[k]
         for b in rng.choice(64, size=int(rng.integers(1, 6)), replace=False):
             x ^= 1 << int(b)
         fps[k + 1] = x
-    fps = sorted(set(fps))
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
-    parent = {f: f for f in signed}
+    return sorted(set(fps))
+
+
+def grouped(edges, nodes):
+    """The smallest node that each one reaches."""
+    parent = {f: f for f in nodes}
 
     def root(f):
         while parent[f] != f:
+            parent[f] = parent[parent[f]]
             f = parent[f]
         return f
 
-    for e in edges:
-        parent[root(e.u)] = root(e.v)
-    want = brute_components(list(range(len(fps))), fps)
-    group = collections.defaultdict(set)
-    for f, c in zip(signed, want, strict=True):
-        group[c].add(root(f))
-    assert all(len(g) == 1 for g in group.values()) and len({next(iter(g)) for g in group.values()}) == len(group)
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    return {f: root(f) for f in nodes}
+
+
+@pytest.mark.parametrize(("leaf", "limit"), [(simhash.LEAF, simhash.GROUP_ROWS), (8, simhash.GROUP_ROWS), (64, 100)])
+def test_links_join_chains_of_near_fingerprints(spark, leaf, limit):
+    """In one cell, in trees of depth ten and more, and with cells dealt over several tasks."""
+    fps = near_fingerprints(np.random.default_rng(3), 1500, 1000)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, leaf, limit).collect()
+    if leaf == 8:
+        assert len(simhash.Forest(len(fps), np.array(fps, np.uint64)[:, None], [(0, *b) for b in simhash.BLOCKS], leaf).trees[0][3]) >= 5
+    a = np.array(fps, dtype=np.uint64)
+    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ a[None, :]) <= 4)
+    want = grouped([(signed[x], signed[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], signed)
+    assert grouped([(e.u, e.v) for e in edges], signed) == want
+
+
+def test_a_large_group_of_near_fingerprints_is_one(spark):
+    rng = np.random.default_rng(4)
+    flips = np.array([[1 << int(b) for b in rng.choice(62, size=2, replace=False)] for _ in range(25_000)]).sum(axis=1)
+    fps = sorted({int(x) ^ 0x0123456789ABCDEF for x in flips})
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    assert len(set(grouped([(e.u, e.v) for e in edges], fps).values())) == 1 and len(edges) < 40 * len(fps)
+
+
+def test_dealt_tiles_meet_in_pairs():
+    rng = np.random.default_rng(2)
+    keys, salt, first = rng.integers(0, 5, 400), rng.integers(0, 1 << 60, 400).astype(np.uint64), rng.random(400) < 0.5
+    tiles = simhash.Tiles(np.array([3, 1]), np.array([2, 3]), np.array([4, 1]))
+    dealt, rows = tiles.deal(keys, salt, first)
+    pieces = collections.defaultdict(set)
+    for k, r in zip(dealt.tolist(), rows.tolist(), strict=True):
+        pieces[k].add(r)
+    together = {(a, b) for p in pieces.values() for a in p for b in p}
+    assert all((a, b) in together for a in range(400) for b in range(400) if keys[a] == keys[b] and not (first[a] and first[b]))
+    assert all(keys[a] == keys[b] for a, b in together)
 
 
 def test_without_copies_keeps_one_of_each(spark):

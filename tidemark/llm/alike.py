@@ -5,8 +5,8 @@ three 64-bit SimHashes, cut into twelve blocks of 16 bits, each with a vantage-p
 probability of 0.98, more alike ones almost surely. Where they share such a block they meet in a cell, are candidates if at most ``MOST_BITS`` of all 192 bits differ (0.998
 at 0.8), and link if the exact similarity of their sets is 0.8 or more. Equal sets are one from the start.
 
-Groups are components of links. Each text first asks its nearest candidate and the one of highest priority, which is the same for most of a large group. Texts that
-still have candidates of other groups are then compared exactly, but not all with all: in a fixed order of shingles, rare ones first, two sets that are 0.8 alike share
+Groups are components of links. Each text first asks its nearest candidate and the one that has most candidates itself, the middle of a
+large group. Texts that still have candidates of other groups are then compared exactly, but not all with all: in a fixed order of shingles, rare ones first, two sets that are 0.8 alike share
 one among the first fifth of each, at places that leave enough to share (prefix and positional filter), so a large group of texts that are less alike costs no pairs.
 """
 
@@ -18,20 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import TILE, Forest, Tiles, distance, hot_cells, sampled_words
+from .simhash import Forest, Tiles, distance, hot_cells, sampled_words
 from .store import partitions, positional, restored, stored
 from .textops import Words, chunks, mix, signed
 
 WIDTH = 5
 WORDS = ("w0", "w1", "w2")
-BLOCKS = [(word, shift, 16) for word in range(len(WORDS)) for shift in (0, 16, 32, 48)]
+WIDE = 16  # bits of a block
+BLOCKS = [(word, shift, WIDE) for word in range(len(WORDS)) for shift in range(0, 64, WIDE)]
 MOST_BITS = 44
 LEAF = 50_000
 LIMIT = 200_000
-SMALL = 1024
 PAIRS = 64
+TILE = 1 << 18  # pairs looked at at a time
+ROUNDS = 1
 SAMPLE, MAX_OFTEN = 8_000, 200_000
-NEAREST, FIRST, OPEN = 0, 1, 2
+NEAREST, MIDDLE, OPEN = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,54 +95,68 @@ def _marked(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def _meetings(block: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray):
-    """Index pairs ``(i, j)``, both ways, and the differing bits of the candidates in a cell; a large cell is first cut by further vantage points.
+    """Index pairs ``(i, j)``, both ways, and the differing bits of the candidates in a cell, ``TILE`` pairs or a row's at a time.
 
     Candidates' blocks differ by at most one bit and their fingerprints by ``MOST_BITS``; neither set is too small for the other, and they are of different groups.
+    Rows in order of block lie in runs of equal ones; a row's partners are the runs of its own block and of those one bit away.
     """
-    stack = [np.arange(len(block))]
-    while stack:
-        own = stack.pop()
-        if len(own) > SMALL:
-            far = distance(block[own], block[own[len(own) // 2]])
-            cut = int(np.median(far))
-            inner, outer = own[far <= cut], own[far >= cut]
-            if max(len(inner), len(outer)) < 0.9 * len(own):
-                stack += [inner, outer]
-                continue
-        x = block[own]
-        rows = max(1, TILE // max(1, len(x)))
-        for k in range(0, len(x), rows):
-            i, j = np.nonzero(np.bitwise_count(x[k : k + rows, None] ^ x[None, :]) <= 1)
-            i, j = own[i + k], own[j]
-            fits = (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    first = np.flatnonzero(np.diff(block, prepend=~block[:1]) != 0)
+    values, run = block[first], np.diff(np.append(first, len(block)))
+    own = np.repeat(np.arange(len(first)), run)
+    for bit in range(-1, WIDE):
+        other = values ^ np.uint64(1 << bit if bit >= 0 else 0)
+        at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+        m = np.where(values[at] == other, run[at], 0)[own]
+        start, done, a = first[at][own], np.concatenate(([0], np.cumsum(m))), 0
+        while a < len(block):
+            z = max(a + 1, int(np.searchsorted(done, done[a] + TILE, side="right")) - 1)
+            i = np.repeat(np.arange(a, z), m[a:z])
+            j = np.repeat(start[a:z] - done[a:z], m[a:z]) + np.arange(done[a], done[z])
+            a = z
+            i, j = order[i], order[j]
+            fits = root[i] != root[j]
             i, j = i[fits], j[fits]
-            bits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+            fits = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            bits = sum((distance(words[i, k], words[j, k]) for k in range(1, words.shape[1])), distance(words[i, 0], words[j, 0]))
             near = bits <= MOST_BITS
             if near.any():
                 yield i[near], j[near], bits[near]
 
 
-def _asked(mark, block, words, root, n, every: bool):
-    """``(u, v, kind, bits)`` of a cell: of each row the nearest candidate and the one of highest priority, or if ``every``, the rows that have any."""
+def _asked(mark, block, words, root, n, turn: int | None):
+    """``(u, v, kind, cost)`` of a cell: of each row the nearest candidate and the one that has most candidates itself, or if ``turn`` is None, the rows that have any.
+
+    In turns after the first only a quarter of the rows can be chosen, another one each time, so that new ones are.
+    """
     rank = np.empty(len(mark), dtype=np.int64)
     rank[np.argsort(mix(mark), kind="stable")] = np.arange(len(mark))
-    by_rank = np.argsort(rank)
+    by_rank, size = np.argsort(rank), len(mark)
     nothing = np.iinfo(np.int64).max
-    nearest, first = np.full(len(mark), nothing), np.full(len(mark), nothing)
+    nearest, met = np.full(size, nothing), np.zeros(size, dtype=np.int64)
+    open_to = (mix(mark + np.uint64(1)) & np.uint64(3)) == np.uint64(turn & 3) if turn else np.ones(size, dtype=bool)
     for i, j, bits in _meetings(block, words, root, n):
-        np.minimum.at(nearest, i, bits * len(mark) + rank[j])
-        np.minimum.at(first, i, rank[j])
+        met += np.bincount(i, minlength=size)
+        i, j, bits = i[open_to[j]], j[open_to[j]], bits[open_to[j]]
+        np.minimum.at(nearest, i, bits * size + rank[j])
     i = np.flatnonzero(nearest < nothing)
-    if every:
+    if turn is None:
         yield mark[i], mark[i], np.full(len(i), OPEN, np.int8), np.zeros(len(i), np.int64)
         return
-    yield mark[i], mark[by_rank[nearest[i] % len(mark)]], np.full(len(i), NEAREST, np.int8), nearest[i] // len(mark)
-    i = np.flatnonzero(first < rank)
-    yield mark[i], mark[by_rank[first[i]]], np.full(len(i), FIRST, np.int8), np.zeros(len(i), np.int64)
-
-
-def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limit: int) -> DataFrame:
-    """``u, v`` of chosen candidates among ``prints(mark, root, n, w0, w1, w2)`` whose roots differ; if ``every``, ``mark`` of all rows that have such a candidate."""
+    yield mark[i], mark[by_rank[nearest[i] % size]], np.full(len(i), NEAREST, np.int8), nearest[i] // size
+    if met.max(initial=0) > 1:
+        least = rank - met * size  # the row with most candidates first
+        middle = least.copy()
+        for i, j, _ in _meetings(block, words, root, n):
+            np.minimum.at(middle, i[open_to[j]], least[j[open_to[j]]])
+        i = np.flatnonzero(middle < least)
+        yield mark[i], mark[by_rank[middle[i] % size]], np.full(len(i), MIDDLE, np.int8), middle[i] // size
+
+
+def _candidates(prints: DataFrame, forest: Forest, count: int, turn: int | None, limit: int) -> DataFrame:
+    """``u, v`` of chosen candidates among ``prints(mark, root, n, w0, w1, w2)`` whose roots differ, chosen as ``_asked`` does in ``turn``; if that is None, ``mark`` of all rows that have such a candidate."""
     def spread(tiles: Tiles, major: dict, only_keys: bool = False):
         def run(batches):
             for batch in batches:
@@ -151,7 +167,7 @@ def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limi
                     own = np.isin(keys, tiles.cells) if len(tiles.cells) else np.ones(len(keys), bool)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(root[rows[own]])], names=["cell", "root"])
                     continue
-                first = np.array([major.get(c) == r for c, r in zip(keys.tolist(), root[rows].tolist(), strict=True)], dtype=bool) if major else np.full(len(keys), not every)
+                first = np.array([major.get(c) == r for c, r in zip(keys.tolist(), root[rows].tolist(), strict=True)], dtype=bool) if major else np.full(len(keys), turn is not None)
                 keys, at = tiles.deal(keys, mix(mark.view(np.uint64))[rows], first)
                 at, tree = pa.array(rows[at]), pa.array(trees[at])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), tree, *(batch.column(k).take(at) for k in range(6))], names=["cell", "tree", "mark", "root", "n", *WORDS])
@@ -164,7 +180,7 @@ def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limi
     cells, size, major = hot.column("cell").to_numpy(), hot.column("count").to_numpy(), {}
     pieces = lambda x: -(-2 * x // limit)
     tiles = Tiles(cells, pieces(size), np.ones(len(size), np.int64))  # the first round asks within one piece of a large cell
-    if every and len(cells):
+    if turn is None and len(cells):
         # rows of a large cell's largest group needn't meet one another
         own = spread(Tiles(cells, size, size), {}, True).groupBy("cell", "root").count()
         most = own.groupBy("cell").agg(F.max_by("root", "count").alias("root"), F.max("count").alias("most")).toArrow().to_pydict()
@@ -185,12 +201,12 @@ def _candidates(prints: DataFrame, forest: Forest, count: int, every: bool, limi
             own = slice(a, b)
             if b - a > 1:
                 block = forest.block(int(tree[a]), words[own])
-                out += _asked(mark[own].view(np.uint64), block, words[own], root[own], n[own], every)
+                out += _asked(mark[own].view(np.uint64), block, words[own], root[own], n[own], turn)
         u, v, kind, bits = (np.concatenate([o[k] for o in out] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.uint64, np.int8, np.int64)))
         return pa.table({"u": signed(u), "v": signed(v), "kind": pa.array(kind.astype(np.int8)), "bits": pa.array(bits)})
 
     met = dealt.groupBy("shard").applyInArrow(lambda t: meet(t), "u long, v long, kind byte, bits long")
-    if every:
+    if turn is None:
         return stored(met.select(F.col("u").alias("mark")).distinct(), "open")
     met = met.groupBy("u", "kind").agg(F.min_by("v", F.struct("bits", F.xxhash64("v"), "v")).alias("v"))
     return stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
@@ -231,7 +247,7 @@ def _with_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _prefix_pairs(texts: DataFrame, width: int) -> DataFrame:
-    """``u, v``: pairs of ``texts(mark, text, root)`` of different roots that share a shingle so early in the order of shingles that they can be 0.8 alike.
+    """``u, v``: candidates among ``texts(mark, text, root, w0, w1, w2)`` of different roots that share a shingle so early in the order of shingles that they can be 0.8 alike.
 
     The order puts shingles that are often in a sample of the texts last, the others by hash; any fixed order gives all such pairs.
     """
@@ -256,11 +272,12 @@ def _prefix_pairs(texts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["token", "mark", "n", "place"])
 
     found = _with_sets(texts, width).mapInArrow(run, "token long, mark long, n int, place int")
-    found = stored(found.join(texts.select("mark", "root"), "mark"), "prefixes")
-    side = lambda x: found.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("mark", "n", "place", "root")))
+    found = stored(found.join(texts.select("mark", "root", *WORDS), "mark"), "prefixes")
+    side = lambda x: found.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("mark", "n", "place", "root", *WORDS)))
     left = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
     fits = "mark_u < mark_v AND root_u <> root_v AND 5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)"
-    pairs = side("u").join(side("v"), "token").where(F.expr(fits) & (9 * left >= 4 * (F.col("n_u") + F.col("n_v"))))
+    bits = sum((F.bit_count(F.col(f"{w}_u").bitwiseXOR(F.col(f"{w}_v"))) for w in WORDS), F.lit(0))
+    pairs = side("u").join(side("v"), "token").where(F.expr(fits) & (9 * left >= 4 * (F.col("n_u") + F.col("n_v"))) & (bits <= MOST_BITS))
     return stored(pairs.select(F.col("mark_u").alias("u"), F.col("mark_v").alias("v")).distinct(), "candidates")
 
 
@@ -272,14 +289,17 @@ def groups(prints: DataFrame, text_of, width: int, leaf: int = LEAF, limit: int
     count = prints.count()
     prints = prints.where("n >= 4")  # sets of fewer are 0.8 alike only if they are equal
     forest = Forest(count, sampled_words(prints, list(WORDS), count), BLOCKS, leaf)
-    pairs = _candidates(prints.withColumn("root", F.col("mark")), forest, count, False, limit)
-    marks = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
-    links = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike")
-    known = stored(components(links), "groups")
-
-    rooted = prints.join(known, prints.mark == known.node, "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", *WORDS)
-    open_ = _candidates(rooted, forest, count, True, limit)
-    texts = stored(text_of(open_).join(rooted.select("mark", "root"), "mark"), "open_texts")
+    rooted, links = prints.withColumn("root", F.col("mark")), None
+    for turn in range(ROUNDS):
+        pairs = _candidates(rooted, forest, count, turn, limit)
+        marks = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
+        found = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike")
+        links = found if links is None else links.union(found)
+        known = stored(components(links), "groups")
+        rooted = prints.join(known, prints.mark == known.node, "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", *WORDS)
+
+    open_ = _candidates(rooted, forest, count, None, limit)
+    texts = stored(text_of(open_).join(rooted.select("mark", "root", *WORDS), "mark"), "open_texts")
     more = _alike(_prefix_pairs(texts, width), texts, width)
     return stored(components(links.union(more)), "groups")
 

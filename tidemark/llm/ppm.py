@@ -186,7 +186,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: tokens are words and one end; ``base_score``
     is the log10 probability under smoothed word frequencies of the training rows, ``score`` the one under PPM.
-    A null text is an empty one and has only its end. Repeated rows and null ids come back as they are; an empty table
+    A null text is an empty one and has only its end. A NUL byte in a text is the same symbol as the end and as what stands before a text. Repeated rows and null ids come back as they are; an empty table
     gives an empty result, and a table without training rows scores every byte as one of 256. Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -132,7 +132,7 @@ class Tiles:
         own = np.where(first[rep], spread % np.maximum(a, 1).astype(np.uint64), a.astype(np.uint64) + spread % np.maximum(b, 1).astype(np.uint64)).astype(np.int64)
         other = np.where(first[rep], a + other, other)
         pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
-        dealt = (mix(keys[rows][rep].astype(np.uint64)) ^ mix(pair + np.uint64(1))).astype(np.int64)
+        dealt = mix(mix(keys[rows][rep].astype(np.uint64)) + pair * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).astype(np.int64)
         return np.concatenate((keys[~hot], dealt)), np.concatenate((np.flatnonzero(~hot), rows[rep]))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textmodel import some_ids
 from .textops import NO_WORD, Words, chunks, mix
@@ -25,6 +26,7 @@ FIXED = 3
 INPUTS = FIXED + 2 * EMBED
 MAX_LABELLED = 8000
 MAX_BYTES = 200_000  # longer texts aren't taken for training; all are scored
+MAX_TOTAL = 32 << 20  # bytes of all texts taken for training
 EPOCHS = 10
 DROPPED = 0.5  # share of words without their embeddings in a training step
 BLOCK = 4096
@@ -287,18 +289,23 @@ def _joined(texts: list[bytes]) -> Words:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit on at most ``MAX_LABELLED`` labelled rows that aren't held out, chosen by a hash of the id, of texts up to ``MAX_BYTES``.
+    """Fit on at most ``MAX_LABELLED`` labelled rows that aren't held out, chosen by a hash of the id, of texts up to ``MAX_BYTES`` and ``MAX_TOTAL`` bytes in all.
 
-    Odds come from one half of them and the network from most of the other, so that it meets odds as it will on new rows; the rest sets the
-    scale of scores. Labels other than 0 and 1 are ignored; of several labels of an id the highest holds.
+    Odds come from one half of them and the network from most of the other, so that it meets odds as it will on new rows; of the rest some choose the epoch and
+    others set the scale of scores. Labels other than 0 and 1 are ignored; of several labels of an id the highest holds.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     short = docs.where(~held_out(F.col("doc_id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES))
     chosen = some_ids(short.select("doc_id").join(known, "doc_id"), MAX_LABELLED)
     rows = short.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id")
+    # bytes up to each id, in order of the hash: at most MAX_LABELLED ids
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.join(F.broadcast(sizes.withColumn("total", total).where(F.col("total") <= MAX_TOTAL).select("doc_id")), "doc_id", "left_semi")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_LABELLED)
     table = rows.select("text", "toxic").toArrow()
-    texts, y = [bytes(t) for t in table.column("text").to_pylist()], table.column("toxic").to_numpy().astype(np.int64)
+    texts, y = table.column("text").to_pylist(), table.column("toxic").to_numpy().astype(np.int64)
+    del table
     odds = Odds()
     for a in range(0, len(texts) // 2, 200):
         own = slice(a, min(a + 200, len(texts) // 2))
@@ -306,11 +313,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     network = Network(odds.finish())
     rest = np.arange(len(texts) // 2, len(texts))
     train, aside = rest[rest % 10 < 7], rest[rest % 10 >= 7]
+    choosing, scaling = aside[aside % 2 == 0], aside[aside % 2 == 1]
+    if not all(0 < y[a].sum() < len(a) for a in (choosing, scaling)):
+        choosing = scaling = aside
     if len(train) and 0 < y[train].sum() < len(train):
-        network.train(_joined([texts[k] for k in train]), y[train], _joined([texts[k] for k in aside]), y[aside])
+        network.train(_joined([texts[k] for k in train]), y[train], _joined([texts[k] for k in choosing]), y[choosing])
         network.scale = np.array([1.0, 0.0, 0.0])
-    if len(aside) and 0 < y[aside].sum() < len(aside):
-        network.scale = _logistic(network.evidence(_joined([texts[k] for k in aside])), y[aside])
+    if len(scaling) and 0 < y[scaling].sum() < len(scaling):
+        network.scale = _logistic(network.evidence(_joined([texts[k] for k in scaling])), y[scaling])
     return network
 
 
