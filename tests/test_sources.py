@@ -75,3 +75,41 @@ def test_write_if_changed_and_upserts(spark, tmp_path):
     assert sorted(map(tuple, sinks.inserted(a, b, ["k"]).collect())) == [(1, "x"), (2, "y"), (3, "w")]
     sinks.report_json(a, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).count() == 2
+
+
+def test_failover_takes_the_first_positive_price():
+    told, waits = {"a": [float("nan"), OSError("down")], "b": [-1.0, 81.25]}, []
+
+    def fetch(host):
+        x = told[host].pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert readers.with_failover(["a", "b"], fetch, sleep=waits.append) == ("b", 81.25) and waits == [1.0]
+    with pytest.raises(ValueError):
+        readers.with_failover(["a"], lambda host: 0.0, sleep=waits.append)
+
+
+def test_versions_are_claimed_once(spark, tmp_path):
+    path = str(tmp_path / "published")
+    a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "x"), (2, "y")], [(2, "z"), (3, "w")]))
+    assert sinks.published(spark, path) is None and sinks.publish_upsert(a, path, ["k"]) == 1
+    assert sinks.publish_upsert(b, path, ["k"]) == 2
+    assert sorted(map(tuple, sinks.published(spark, path).collect())) == [(1, "x"), (2, "z"), (3, "w")]
+    with pytest.raises(sinks.Conflict):
+        sinks.publish(a, path, 1)
+    assert sinks.versions(spark, path) == [1, 2]
+
+
+def test_package_is_shipped_and_scratch_is_cleared(spark):
+    from tidemark.sources import scratch
+
+    scratch.ship(spark)
+    where = spark.sparkContext.parallelize([0], 1).map(lambda _: __import__("tidemark.functions.folds", fromlist=["x"]).__name__).collect()
+    assert where == ["tidemark.functions.folds"]
+    path = scratch.shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    scratch.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import display, evaluation, event_study, features, joins, learning, ledgers, refits, rules, streams, technicals  # noqa: F401
+from . import display, evaluation, event_study, features, joins, learning, ledgers, refits, rules, snapshots, streams, technicals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "purged_har_walkforward"

@@ -125,6 +125,7 @@ POSITIVE = ["rise", "gain", "up", "higher", "surge", "boost", "strong", "increas
 NEGATIVE = ["fall", "drop", "down", "lower", "decline", "weak", "decrease", "plunge", "bearish", "crash", "slump", "tumble", "sink", "collapse", "slide", "oversupply", "glut", "recession", "demand drop", "production increase"]
 UNCERTAIN = ["uncertain", "uncertainty", "risk", "volatile", "volatility", "war", "sanction", "tariff", "disruption", "tension", "conflict", "shock"]
 FORWARD = ["outlook", "forecast", "expected", "expects", "guidance", "next week", "next month", "ahead", "future", "projection", "scenario", "target"]
+INTENSE = ["sharply", "significantly", "strongly", "materially", "dramatically", "severely", "massively", "rapidly", "heavily", "aggressively"]
 # Categories of risk, their words and their weights in the score.
 RISKS = {
     "iran": (["iran", "hormuz", "tehran", "iranian", "persian gulf", "irgc"], 0.4),
@@ -144,13 +145,13 @@ def _count(text, words):
 
 ARTICLES, FRESH = 20, 5
 NEWS_SQL = f"""a AS (SELECT source, doc_id, lower(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents WHERE lang = 'en'),
-k AS (SELECT source, place, {_count_sql(POSITIVE)} - {_count_sql(NEGATIVE)} AS score, {_count_sql(UNCERTAIN)} AS doubt, {_count_sql(FORWARD)} AS ahead, CASE WHEN place <= {FRESH} THEN 2.0 ELSE 1.0 END AS w,
+k AS (SELECT source, place, {_count_sql(POSITIVE)} - {_count_sql(NEGATIVE)} AS score, {_count_sql(UNCERTAIN)} AS doubt, {_count_sql(FORWARD)} AS ahead, {_count_sql(INTENSE)} AS intense, CASE WHEN place <= {FRESH} THEN 2.0 ELSE 1.0 END AS w,
   count(*) OVER (PARTITION BY source) AS n FROM a WHERE place <= {ARTICLES})"""
 
 
 @query(
     "news_sentiment",
-    f"""WITH {NEWS_SQL} SELECT source, CAST(max(n) AS BIGINT) AS n, round(sum(w * score) / sum(w), 6) AS sentiment_score, round(sum(w * doubt) / sum(w), 6) AS uncertainty_score, round(sum(w * ahead) / sum(w), 6) AS forwardness_score,
+    f"""WITH {NEWS_SQL} SELECT source, CAST(max(n) AS BIGINT) AS n, round(sum(w * score) / sum(w), 6) AS sentiment_score, round(sum(w * doubt) / sum(w), 6) AS uncertainty_score, round(sum(w * ahead) / sum(w), 6) AS forwardness_score, round(sum(w * intense) / sum(w), 6) AS intensity_score,
     round(coalesce(avg(score) FILTER (WHERE place <= n // 2) - avg(score) FILTER (WHERE place > n // 2), 0), 6) AS sentiment_momentum, round(coalesce(count(*) FILTER (WHERE score > 0) * 1.0 / nullif(count(*) FILTER (WHERE score <> 0), 0), 0.5), 6) AS bullish_ratio,
     round(least(100, greatest(0, 50 + 5 * sum(w * score) / sum(w))), 6) AS market_buzz FROM k GROUP BY 1""",
 )
@@ -160,7 +161,7 @@ def news_sentiment(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= ARTICLES)
     text = F.lower("text")
     rows = rows.select(
-        "source", "place", (_count(text, POSITIVE) - _count(text, NEGATIVE)).alias("score"), _count(text, UNCERTAIN).alias("doubt"), _count(text, FORWARD).alias("ahead"),
+        "source", "place", (_count(text, POSITIVE) - _count(text, NEGATIVE)).alias("score"), _count(text, UNCERTAIN).alias("doubt"), _count(text, FORWARD).alias("ahead"), _count(text, INTENSE).alias("intense"),
         F.when(F.col("place") <= FRESH, 2.0).otherwise(1.0).alias("w"), F.count("*").over(Window.partitionBy("source")).alias("n"),
     )
     score, w, half = F.col("score"), F.col("w"), F.expr("n div 2")
@@ -168,7 +169,7 @@ def news_sentiment(spark, sf_dir):
     momentum = F.avg(F.when(F.col("place") <= half, score)) - F.avg(F.when(F.col("place") > half, score))
     told = F.count_if(score != 0)
     return rows.groupBy("source").agg(
-        F.max("n").alias("n"), r6(mean("score")).alias("sentiment_score"), r6(mean("doubt")).alias("uncertainty_score"), r6(mean("ahead")).alias("forwardness_score"), r6(F.coalesce(momentum, F.lit(0.0))).alias("sentiment_momentum"),
+        F.max("n").alias("n"), r6(mean("score")).alias("sentiment_score"), r6(mean("doubt")).alias("uncertainty_score"), r6(mean("ahead")).alias("forwardness_score"), r6(mean("intense")).alias("intensity_score"), r6(F.coalesce(momentum, F.lit(0.0))).alias("sentiment_momentum"),
         r6(F.coalesce(F.count_if(score > 0) / F.when(told > 0, told), F.lit(0.5))).alias("bullish_ratio"), r6(clip(50 + 5 * mean("score"), 0.0, 100.0)).alias("market_buzz"),
     )
 

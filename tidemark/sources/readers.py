@@ -86,6 +86,23 @@ def with_retry(fetch: Callable[[], bytes], waits: tuple[float, ...] = (2.0, 4.0)
     return fetch()
 
 
+def with_failover(hosts: list[str], fetch: Callable[[str], float], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[str, float]:
+    """The first positive finite price that ``fetch(host)`` gives and its host: all hosts in turn, ``attempts`` times; the last error if there is none."""
+    failure: Exception = ValueError("no host")
+    for attempt in range(attempts):
+        for host in hosts:
+            try:
+                price = float(fetch(host))
+                if 0 < price < float("inf"):
+                    return host, price
+                failure = ValueError(f"{host} gave {price}")
+            except Exception as error:
+                failure = error
+        if attempt + 1 < attempts:
+            sleep(float(attempt + 1))
+    raise failure
+
+
 class _Page(InputPartition):
     def __init__(self, offset: int):
         self.offset = offset

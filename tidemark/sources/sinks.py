@@ -42,6 +42,54 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place")
 
 
+class Conflict(Exception):
+    """Another writer has published the version that was to be written."""
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions published under ``path``, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.removeprefix("done-")) for n in names if n.startswith("done-"))
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version under ``path``, or None."""
+    known = versions(spark, path)
+    return spark.read.parquet(f"{path}/version-{known[-1]}") if known else None
+
+
+def publish(df: DataFrame, path: str, after: int) -> int:
+    """Write ``df`` as the version that follows ``after`` (0 for the first); ``Conflict`` if another writer has claimed it.
+
+    A claim is a file that only one writer can create; readers see a version once its second file is there.
+    """
+    spark, version = df.sparkSession, after + 1
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        files.create(at(f"{path}/claim-{version}"), False).close()
+    except Exception as error:
+        raise Conflict(f"version {version} of {path} is taken") from error
+    df.write.mode("overwrite").parquet(f"{path}/version-{version}")
+    files.create(at(f"{path}/done-{version}"), False).close()
+    return version
+
+
+def publish_upsert(new: DataFrame, path: str, keys: list[str], tries: int = 3) -> int:
+    """Upsert ``new`` into the newest version under ``path`` and publish the result, again from the start where another writer came first."""
+    spark = new.sparkSession
+    for last in reversed(range(tries)):
+        known, old = versions(spark, path), published(spark, path)
+        try:
+            return publish(new if old is None else upserted(old, new, keys), path, known[-1] if known else 0)
+        except Conflict:
+            if not last:
+                raise
+    raise AssertionError("unreachable")
+
+
 def report_json(df: DataFrame, path: str) -> None:
     """Each row as one JSON line, fields in order of name."""
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
