@@ -69,9 +69,14 @@ def formulas(spark, sf_dir):
     return out
 
 
-@query("snapshot_formulas", f"WITH {FORMULAS_SQL} SELECT key, feature, round(value, 4) AS value FROM f")
+def _shown(value):
+    """Values to four digits; temperatures come from exact sums and stay as they are."""
+    return F.when(F.col("feature").startswith("noaa"), value).otherwise(F.round(value, 4))
+
+
+@query("snapshot_formulas", f"WITH {FORMULAS_SQL} SELECT key, feature, CASE WHEN feature LIKE 'noaa%' THEN value ELSE round(value, 4) END AS value FROM f")
 def snapshot_formulas(spark, sf_dir):
-    return formulas(spark, sf_dir).select("key", "feature", F.round("value", 4).alias("value"))
+    return formulas(spark, sf_dir).select("key", "feature", _shown(F.col("value")).alias("value"))
 
 
 _DEFAULTS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in TEMPLATE.items())
@@ -79,7 +84,7 @@ _DEFAULTS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in TEMPLATE.items())
 
 @query(
     "snapshot_template",
-    f"""WITH {FORMULAS_SQL}, t(feature, usual) AS (VALUES {_DEFAULTS}), keys AS (SELECT DISTINCT key FROM f) SELECT k.key, t.feature, round(coalesce(f.value, t.usual), 4) AS value, f.value IS NOT NULL AS is_own FROM keys k CROSS JOIN t LEFT JOIN f ON f.key = k.key AND f.feature = t.feature""",
+    f"""WITH {FORMULAS_SQL}, t(feature, usual) AS (VALUES {_DEFAULTS}), keys AS (SELECT DISTINCT key FROM f) SELECT k.key, t.feature, CASE WHEN t.feature LIKE 'noaa%' THEN coalesce(f.value, t.usual) ELSE round(coalesce(f.value, t.usual), 4) END AS value, f.value IS NOT NULL AS is_own FROM keys k CROSS JOIN t LEFT JOIN f ON f.key = k.key AND f.feature = t.feature""",
 )
 def snapshot_template(spark, sf_dir):
     """All features of the template for each key: a source's own numbers, and the defaults where it has none."""
@@ -88,4 +93,4 @@ def snapshot_template(spark, sf_dir):
     usual = F.explode(F.create_map(*(x for k, v in TEMPLATE.items() for x in (F.lit(k), F.lit(float(v))))))
     rows = keys.select("key", "own", usual.alias("feature", "usual"))
     mine = F.col("own")[F.col("feature")]
-    return rows.select("key", "feature", F.round(F.coalesce(mine, "usual"), 4).alias("value"), mine.isNotNull().alias("is_own"))
+    return rows.select("key", "feature", _shown(F.coalesce(mine, "usual")).alias("value"), mine.isNotNull().alias("is_own"))
