@@ -31,6 +31,7 @@ LEAF = 50_000
 LIMIT = 200_000
 PAIRS = 64
 TILE = 1 << 18  # pairs looked at at a time
+TEXTS = 2000  # texts or pairs of texts that a Python task gets at a time
 ROUNDS = 1
 SAMPLE, MAX_OFTEN = 8_000, 200_000
 NEAREST, MIDDLE, OPEN = 0, 1, 2
@@ -259,20 +260,20 @@ def _prefix_pairs(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         tokens, counts = shared.value
         for batch in batches:
-            lists = batch.column(1)
-            n = np.diff(lists.offsets.to_numpy())
-            token, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(tokens, token), max(0, len(tokens) - 1))
-            count = np.where(tokens[at] == token, counts[at], 0) if len(tokens) else np.zeros(len(token), np.int64)
-            order = np.lexsort((token, count, owner))
-            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-            early = np.flatnonzero(place < (n - (4 * n + 4) // 5 + 1)[owner])
-            taken, rows = order[early], pa.array(owner[early])
-            cols = [pa.array(token[taken]), batch.column(0).take(rows), pa.array(n[owner[early]].astype(np.int32)), pa.array(place[early].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["token", "mark", "n", "place"])
-
-    found = _with_sets(texts, width).mapInArrow(run, "token long, mark long, n int, place int")
-    found = stored(found.join(texts.select("mark", "root", *WORDS), "mark"), "prefixes")
+            for begin, _, ends, key in _sets(batch.column(1), width):
+                n, token = np.diff(ends), key.view(np.int64)
+                owner = np.repeat(np.arange(len(n)), n)
+                at = np.minimum(np.searchsorted(tokens, token), max(0, len(tokens) - 1))
+                count = np.where(tokens[at] == token, counts[at], 0) if len(tokens) else np.zeros(len(token), np.int64)
+                order = np.lexsort((token, count, owner))
+                place = np.arange(len(token)) - np.repeat(ends[:-1], n)
+                early = np.flatnonzero(place < (n - (4 * n + 4) // 5 + 1)[owner])
+                marks = batch.column(0).take(pa.array(owner[early] + begin))
+                cols = [pa.array(token[order[early]]), marks, pa.array(n[owner[early]].astype(np.int32)), pa.array(place[early].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["token", "mark", "n", "place"])
+
+    found = texts.select("mark", "text").mapInArrow(run, "token long, mark long, n int, place int")
+    found = stored(found.join(texts.select("mark", "root", *WORDS), "mark"), "prefixes", TEXTS)
     side = lambda x: found.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("mark", "n", "place", "root", *WORDS)))
     left = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
     fits = "mark_u < mark_v AND root_u <> root_v AND 5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)"
@@ -293,14 +294,14 @@ def groups(prints: DataFrame, text_of, width: int, leaf: int = LEAF, limit: int
     for turn in range(ROUNDS):
         pairs = _candidates(rooted, forest, count, turn, limit)
         marks = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
-        found = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike")
+        found = stored(_alike(pairs, stored(text_of(marks), "texts"), width), "alike", TEXTS)
         links = found if links is None else links.union(found)
         known = stored(components(links), "groups")
         rooted = prints.join(known, prints.mark == known.node, "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", *WORDS)
 
     open_ = _candidates(rooted, forest, count, None, limit)
     texts = stored(text_of(open_).join(rooted.select("mark", "root", *WORDS), "mark"), "open_texts")
-    more = _alike(_prefix_pairs(texts, width), texts, width)
+    more = stored(_alike(_prefix_pairs(texts, width), texts, width), "alike", TEXTS)
     return stored(components(links.union(more)), "groups")
 
 
@@ -312,7 +313,7 @@ def without_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     own, names = positional(docs)
     doc_id, text = names["doc_id"], names["text"]
-    marked = stored(_marked(own, text, width).withColumn("row", F.monotonically_increasing_id()), "marked")
+    marked = stored(_marked(own, text, width).withColumn("row", F.monotonically_increasing_id()), "marked", TEXTS)
     prints = marked.groupBy("mark").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", *WORDS)))
     prints = stored(prints, "prints")
 

@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_path
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of what was written."""
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of what was written.
+
+    ``batch`` bounds the rows that Python tasks get at a time while it is written, for rows that are large.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
