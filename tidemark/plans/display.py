@@ -66,20 +66,21 @@ def display_accuracy(spark, sf_dir):
 
 @query(
     "horizon_fallbacks",
-    """WITH q AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view') AS live, avg(value) FILTER (WHERE event_type = 'click') AS stored, avg(value) FILTER (WHERE event_type = 'purchase' AND event_id % 3 = 0) AS day, avg(value) FILTER (WHERE event_type = 'signup' AND event_id % 2 = 0) AS week FROM events GROUP BY 1),
+    """WITH x AS (SELECT *, CAST(value AS DECIMAL(18, 2)) AS v FROM events), q AS (SELECT user_id, CAST(sum(v) FILTER (WHERE event_type = 'view') AS DOUBLE) / nullif(count(v) FILTER (WHERE event_type = 'view'), 0) AS live, CAST(sum(v) FILTER (WHERE event_type = 'click') AS DOUBLE) / nullif(count(v) FILTER (WHERE event_type = 'click'), 0) AS stored,
+    CAST(sum(v) FILTER (WHERE event_type = 'purchase' AND event_id % 3 = 0) AS DOUBLE) / nullif(count(v) FILTER (WHERE event_type = 'purchase' AND event_id % 3 = 0), 0) AS day, CAST(sum(v) FILTER (WHERE event_type = 'signup' AND event_id % 2 = 0) AS DOUBLE) / nullif(count(v) FILTER (WHERE event_type = 'signup' AND event_id % 2 = 0), 0) AS week FROM x GROUP BY 1),
     r AS (SELECT *, CASE WHEN live > 0 THEN live WHEN stored > 0 THEN stored ELSE 0 END AS ref FROM q)
-    SELECT user_id, round(ref, 4) AS reference_price, round(CASE WHEN day IS NOT NULL THEN ref + 0.1 * (day - ref) WHEN week IS NOT NULL THEN ref + 0.05 * (week - ref) ELSE ref END, 4) AS hour_forecast, CASE WHEN day IS NOT NULL THEN '1d' WHEN week IS NOT NULL THEN '1w' ELSE 'reference' END AS basis FROM r""",
+    SELECT user_id, ref AS reference_price, CASE WHEN day IS NOT NULL THEN ref + 0.1::DOUBLE * (day - ref) WHEN week IS NOT NULL THEN ref + 0.05::DOUBLE * (week - ref) ELSE ref END AS hour_forecast, CASE WHEN day IS NOT NULL THEN '1d' WHEN week IS NOT NULL THEN '1w' ELSE 'reference' END AS basis FROM r""",
 )
 def horizon_fallbacks(spark, sf_dir):
     """The price to measure from (a live quote before a stored one) and an hourly forecast drawn from the daily or else the weekly one."""
-    kind, v, i = F.col("event_type"), F.col("value"), F.col("event_id")
-    mean = lambda keep: F.avg(F.when(keep, v))
+    kind, v, i = F.col("event_type"), F.col("value").cast("decimal(18,2)"), F.col("event_id")
+    mean = lambda keep: F.try_divide(F.sum(F.when(keep, v)).cast("double"), F.count(F.when(keep, v)))  # noqa: E731  sums are exact
     q = table(spark, sf_dir, "events").groupBy("user_id").agg(
         mean(kind == "view").alias("live"), mean(kind == "click").alias("stored"), mean((kind == "purchase") & (i % 3 == 0)).alias("day"), mean((kind == "signup") & (i % 2 == 0)).alias("week")
     )
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     ref, day, week = F.coalesce(positive("live"), positive("stored"), F.lit(0.0)), F.col("day"), F.col("week")
-    return q.select("user_id", F.round(ref, 4).alias("reference_price"), F.round(F.coalesce(ref + 0.1 * (day - ref), ref + 0.05 * (week - ref), ref), 4).alias("hour_forecast"), F.when(day.isNotNull(), "1d").when(week.isNotNull(), "1w").otherwise("reference").alias("basis"))
+    return q.select("user_id", ref.alias("reference_price"), F.coalesce(ref + 0.1 * (day - ref), ref + 0.05 * (week - ref), ref).alias("hour_forecast"), F.when(day.isNotNull(), "1d").when(week.isNotNull(), "1w").otherwise("reference").alias("basis"))
 
 
 NOW = "2024-01-20 00:00:00"
