@@ -139,7 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     test_seeds = stored(test_seeds, "test_seeds")
     short = test_words.where(F.size("test_words").between(1, SPAN - 1)).select(F.size("test_words")).distinct().collect()
     looked_at = masks(sorted(r[0] for r in short))
-    bits = min(MAX_BITS, max(MIN_BITS, int(8 * test_seeds.count()).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, int(512 * test_seeds.count()).bit_length()))
     spots = test_seeds.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))).alias("spot"))
     spots = spots.distinct().toArrow().column(0).to_numpy()  # 2**MAX_BITS at most
     table = np.zeros(1 << (bits - 3), dtype=np.uint8)
