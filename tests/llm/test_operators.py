@@ -474,6 +474,8 @@ def brute_leaks(doc, items):
         looked_at = decontaminate.masks([len(item)])[len(decontaminate.MASKS) :] if len(item) < decontaminate.SPAN else decontaminate.masks([])
         for shift in range(1 - len(item), len(doc)):
             equal = np.array([0 <= shift + k < len(doc) and doc[shift + k] == w for k, w in enumerate(item)])
+            if equal.sum() < min(6, max(1, len(item) - 1)):  # no seed looks at fewer words
+                continue
             if not any(equal[at + np.array(mask)].all() and 0 <= shift + at and shift + at + span <= len(doc) for _, span, mask in looked_at for at in range(len(item) - span + 1)):
                 continue
             runs = [(int(equal[a:z].sum()), -a, z) for a in range(len(item)) for z in range(a + 1, len(item) + 1) if equal[a] and equal[z - 1] and equal[a:z].sum() >= decontaminate.AGREE * (z - a) - 1e-9]
