@@ -17,7 +17,7 @@ from .store import stored
 from .textmodel import _softmax, fit_sparse, sampled, sparse_logits, trigrams
 from .textops import chunks
 
-MAX_LABELLED = 4000
+MAX_LABELLED = 1500
 ITERATIONS = 40
 RIDGE = 1e-3  # damps the steps of domains that hardly occur
 CLOSE = 1e-4  # share of all tokens by which domain totals may miss

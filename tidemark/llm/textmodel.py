@@ -148,13 +148,16 @@ def sampled(docs: DataFrame, limit: int, keep: tuple[str, ...]) -> dict:
     out = {c: table.column(c).to_pylist() for c in keep}
     n, bucket, value, figures = ([np.zeros(0, t)] for t in (np.int64, np.uint16, np.float32, np.float64))
     for batch in table.to_batches():
-        lists = batch.column(len(keep))
+        lists = batch.column(len(keep))  # copied below, so that the table can go
         n.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         bucket.append(lists.flatten().to_numpy().astype(np.uint16))
-        value.append(batch.column(len(keep) + 1).flatten().to_numpy())
-        figures.append(batch.column(len(keep) + 2).flatten().to_numpy())
+        value.append(batch.column(len(keep) + 1).flatten().to_numpy().copy())
+        figures.append(batch.column(len(keep) + 2).flatten().to_numpy().copy())
+    del table
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(n))))
-    return out | {"trigrams": Sparse(offsets, np.concatenate(bucket), np.concatenate(value)), "layout": np.concatenate(figures).reshape(-1, LAYOUT)}
+    out |= {"trigrams": Sparse(offsets, np.concatenate(bucket), np.concatenate(value)), "layout": np.concatenate(figures).reshape(-1, LAYOUT)}
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 SCALE = 30.0  # makes shares of a text's trigrams about as large as standardised figures
