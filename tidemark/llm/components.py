@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .store import stored
@@ -22,6 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _counted(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """``edges`` stored, with their number and a checksum, both taken while they are written."""
+    told = Observation()
+    kept = stored(edges.observe(told, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")), name)
+    return kept, told.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``; the root is the component's smallest node.
 
@@ -29,18 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
     checksum reach the driver; each round is a table in the shared folder, so a lost executor repeats
     one round at most.
     """
-    seen = None
-    edges = stored(
+    edges, now = _counted(
         edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
         "edges",
     )
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen or not now[0]:
-            break
+    seen = None
+    while now != seen and now["n"]:
         seen = now
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        edges, now = _counted(_small_star(_large_star(edges)), "stars")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
