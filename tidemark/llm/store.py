@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_path
+from ..sources.scratch import _file_system, shared_path
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of what was written.
-
-    ``batch`` bounds the rows that Python tasks get at a time while it is written, for rows that are large.
-    """
+def stored_at(df: DataFrame, name: str, batch: int | None = None) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path of what was written, for ``dropped``."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     before = spark.conf.get(BATCH)
@@ -24,7 +21,21 @@ def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of what was written.
+
+    ``batch`` bounds the rows that Python tasks get at a time while it is written, for rows that are large.
+    """
+    return stored_at(df, name, batch)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``stored_at`` has written and nothing reads any more."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
 def partitions(rows: int, each: int, least: int = 8) -> int:
