@@ -323,21 +323,66 @@ def horizon_accuracy_rollup(spark, sf_dir):
     return rows.withColumn("horizon", F.coalesce("horizon", F.lit("overall")))
 
 
+def drift_sql(*features):
+    """Mean absolute z-score of a group's newest forecast, each clipped at eight, by features."""
+    z = [f"abs(least(8, greatest(-8, (arg_max({f}, row(issued_at, event_id)) - avg({f})) / nullif(stddev_samp({f}), 0))))" for f in features]
+    return f"coalesce(({' + '.join(f'coalesce({v}, 0)' for v in z)}) / nullif({' + '.join(f'CAST({v} IS NOT NULL AS INTEGER)' for v in z)}, 0), 0)"
+
+
+def drift_of(*features):
+    """The same as an aggregate; 0 where no feature varies."""
+    z = []
+    for f in features:
+        std = F.stddev_samp(f)
+        z.append(F.abs(S.clip((F.max_by(f, F.struct("issued_at", "event_id")) - F.avg(f)) / F.when(std > 0, std), -8.0, 8.0)))
+    n = sum((v.isNotNull().cast("int") for v in z[1:]), z[0].isNotNull().cast("int"))
+    return F.when(n > 0, sum((F.coalesce(v, F.lit(0.0)) for v in z[1:]), F.coalesce(z[0], F.lit(0.0))) / F.when(n > 0, n)).otherwise(0.0)
+
+
+NEWEST, QUANTILE, COVERAGE, GAIN = 80, 0.80, 0.80, 0.25  # errors that count, the quantile's level, the coverage wanted, how fast margins follow it
+_LEVEL_SQL = f"CASE WHEN covered > 0 THEN least(0.98, greatest(0.65, {QUANTILE} + 0.2 * ({COVERAGE} - covered))) ELSE {QUANTILE} END"
+
+
+def interpolated(values, level):
+    """The value of an ordered array at ``level`` between its first (0) and its last (1)."""
+    place = level * (F.size(values) - 1)
+    low = F.floor(place).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return a + (b - a) * (place - low)
+
+
 @query(
     "interval_calibration",
     f"""WITH {LEDGER_SQL}, e AS (SELECT horizon, abs(actual - pred) AS err, price, row_number() OVER (PARTITION BY horizon ORDER BY issued_at DESC, event_id DESC) AS k FROM led WHERE actual IS NOT NULL),
-    g AS (SELECT horizon, count(*) AS n, avg(price) AS price, avg(err) AS mae, sqrt(avg(err ** 2)) AS rmse, stddev_pop(err) AS std, quantile_cont(err, 0.8) AS q FROM e WHERE k <= 80 GROUP BY 1)
-    SELECT horizon, n, round(mae, 6) AS mae, round(q, 6) AS error_q80, round(greatest(0.05, 0.0015 * price, 1.64 * std, 1.1 * mae, 0.9 * rmse, CASE WHEN n >= 8 THEN q ELSE 0 END), 6) AS margin FROM g""",
+    w AS (SELECT horizon, count(*) AS n, avg(price) AS price, stddev_pop(err) AS std, list_sort(list(err)) AS errs FROM e WHERE k <= {NEWEST} GROUP BY 1),
+    t AS (SELECT horizon, count(*) AS total, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) ** 2)) AS rmse, avg(CASE WHEN actual BETWEEN low AND high THEN 1.0 ELSE 0.0 END) AS covered, {drift_sql('price', 'move')} AS drift_score FROM (SELECT *, pred - price AS move FROM led WHERE actual IS NOT NULL) GROUP BY 1),
+    l AS (SELECT *, {_LEVEL_SQL} AS level FROM t JOIN w USING (horizon)), p AS (SELECT *, level * (n - 1) AS place, CAST(floor(level * (n - 1)) AS BIGINT) AS lo FROM l),
+    q AS (SELECT *, errs[lo + 1] + (errs[least(lo + 2, n)] - errs[lo + 1]) * (place - lo) AS q, greatest(0.05, 0.0015 * price) AS floor_margin FROM p),
+    m AS (SELECT *, greatest(floor_margin, 1.64 * std, 1.1 * mae, 0.9 * rmse, CASE WHEN n >= 8 THEN q ELSE 0 END) AS base FROM q)
+    SELECT horizon, total, n, round(mae, 6) AS mae, round(100 * covered, 4) AS coverage_pct, round(level, 6) AS quantile_level, round(q, 6) AS error_quantile, round(drift_score, 6) AS drift_score, round(base, 6) AS base_margin,
+    round(greatest(floor_margin, base * (1 + least(0.35, 0.1 * greatest(0, drift_score - 1.5))) * CASE WHEN covered > 0 THEN 1 + least(0.35, greatest(-0.18, {GAIN} * ({COVERAGE} - covered))) ELSE 1 END), 6) AS margin FROM m""",
 )
 def interval_calibration(spark, sf_dir):
-    """Interval margin of each horizon from its 80 newest errors: the widest of floor, dispersion, error metrics and quantile."""
+    """Interval margin of each horizon: the widest of floor, dispersion, error metrics and a quantile of the newest errors, corrected by drift and coverage.
+
+    The quantile's level moves with the coverage that past intervals had, so intervals that covered too little widen twice: by the level and by a factor.
+    """
+    y, p = F.col("actual"), F.col("pred")
+    rows = ledger(spark, sf_dir).where("actual IS NOT NULL").withColumns({"err": F.abs(y - p), "move": p - F.col("price")})
     newest = Window.partitionBy("horizon").orderBy(F.desc("issued_at"), F.desc("event_id"))
-    errors = ledger(spark, sf_dir).where("actual IS NOT NULL").withColumn("k", F.row_number().over(newest)).where("k <= 80").withColumn("err", F.abs(F.col("actual") - F.col("pred")))
-    g = errors.groupBy("horizon").agg(
-        F.count("*").alias("n"), F.avg("price").alias("price"), F.avg("err").alias("mae"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"), F.stddev_pop("err").alias("std"), F.percentile("err", 0.8).alias("q")
+    late = rows.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= NEWEST).groupBy("horizon").agg(F.count("*").alias("n"), F.avg("price").alias("price"), F.stddev_pop("err").alias("std"), F.sort_array(F.collect_list("err")).alias("errs"))
+    whole = rows.groupBy("horizon").agg(
+        F.count("*").alias("total"), F.avg("err").alias("mae"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"), F.avg(y.between(F.col("low"), F.col("high")).cast("double")).alias("covered"), drift_of("price", "move").alias("drift_score")
+    )
+    gap, told = COVERAGE - F.col("covered"), F.col("covered") > 0
+    g = whole.join(late, "horizon").withColumn("level", F.when(told, S.clip(QUANTILE + 0.2 * gap, 0.65, 0.98)).otherwise(QUANTILE))
+    g = g.withColumns({"q": interpolated(F.col("errs"), F.col("level")), "floor_margin": F.greatest(F.lit(0.05), 0.0015 * F.col("price"))})
+    base = F.greatest(F.col("floor_margin"), 1.64 * F.col("std"), 1.1 * F.col("mae"), 0.9 * F.col("rmse"), F.when(F.col("n") >= 8, F.col("q")).otherwise(0.0))
+    adrift = 1 + F.least(F.lit(0.35), 0.1 * F.greatest(F.lit(0.0), F.col("drift_score") - 1.5))
+    margin = F.greatest(F.col("floor_margin"), base * adrift * F.when(told, 1 + S.clip(GAIN * gap, -0.18, 0.35)).otherwise(1.0))
+    return g.select(
+        "horizon", "total", "n", r6(F.col("mae")).alias("mae"), F.round(100 * F.col("covered"), 4).alias("coverage_pct"), r6(F.col("level")).alias("quantile_level"), r6(F.col("q")).alias("error_quantile"), r6(F.col("drift_score")).alias("drift_score"), r6(base).alias("base_margin"), r6(margin).alias("margin")
     )
-    wide = F.greatest(F.lit(0.05), 0.0015 * F.col("price"), 1.64 * F.col("std"), 1.1 * F.col("mae"), 0.9 * F.col("rmse"), F.when(F.col("n") >= 8, F.col("q")).otherwise(0.0))
-    return g.select("horizon", "n", r6(F.col("mae")).alias("mae"), r6(F.col("q")).alias("error_q80"), r6(wide).alias("margin"))
 
 
 CARRY_H, CARRY_MIN = 21, 100

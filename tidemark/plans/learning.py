@@ -61,6 +61,17 @@ def feature_drift(spark, sf_dir):
     return s.groupBy("series_id").agg(r6(F.avg(F.abs(S.clip((F.col("latest") - F.col("m")) / F.col("s"), -8.0, 8.0)))).alias("drift_score"))
 
 
+def drift_scores(spark, sf_dir):
+    """``drift_score`` of every row of the matrix: mean absolute z-score of its features among all rows so far, each clipped at eight."""
+    z = []
+    for f in FEATURES:
+        std = F.stddev_samp(f).over(past())
+        z.append(F.abs(S.clip((F.col(f) - F.avg(f).over(past())) / F.when(std > 0, std), -8.0, 8.0)))
+    rows = matrix(spark, sf_dir).withColumn("z", F.array_compact(F.array(*z)))
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + v)
+    return rows.select("series_id", "d", (total / F.when(F.size("z") > 0, F.size("z"))).alias("drift_score"))
+
+
 @query(
     "cv_folds",
     f"""WITH {MATRIX_SQL}, i AS (SELECT series_id, d, row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM mx),

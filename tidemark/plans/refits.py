@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import linear as L
 from ..functions import series as S
 from ..functions import stats as T
 from ..functions.series import clip, r2, r6
@@ -21,11 +20,6 @@ MODELS = ("return_5", "volatility_20", "zscore_20")  # each is the one regressor
 TRAININGS = ("expanding", "rolling")
 
 
-def _spans(training: str):
-    """Rows whose targets are known at a decision row: the last label ends exactly there."""
-    return S.ordered().rowsBetween(Window.unboundedPreceding if training == "expanding" else 1 - STEPS - ROLLING, -STEPS)
-
-
 def _fits_sql(training):
     reach = "UNBOUNDED" if training == "expanding" else str(ROLLING + STEPS - 1)
     own = ", ".join(f"regr_intercept(target, {m}) OVER p + regr_slope(target, {m}) OVER p * {m} AS {m}_p, greatest(0.05, coalesce(regr_r2(target, {m}) OVER p, 0)) AS {m}_w" for m in MODELS)
@@ -37,24 +31,40 @@ REFIT_SQL = f"""{MATRIX_SQL}, f0 AS ({_fits_sql('expanding')} UNION ALL {_fits_s
 rf AS (SELECT *, close * (1 + ensemble) AS forecast, close * (1 + target) AS actual FROM f WHERE ensemble IS NOT NULL)"""
 
 
+def _decisions(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("i") > MIN_TRAIN) & ((F.col("i") - 1) % EVERY == 0))
+
+
+def trained(rows: DataFrame, terms: dict) -> DataFrame:
+    """Decision rows of ``rows`` once for each training, with the sums of ``terms`` over the rows it knows by then."""
+    sums = {t: L.known_sums(rows, terms, STEPS, None if t == "expanding" else ROLLING) for t in TRAININGS}
+    rows = _decisions(rows.withColumns({f"{t}_{name}": c for t in TRAININGS for name, c in sums[t].items()}))
+    each = F.array(*(F.struct(F.lit(t).alias("training"), *(F.col(f"{t}_{name}").alias(name) for name in terms)) for t in TRAININGS))
+    own = [c for c in rows.columns if c not in {f"{t}_{name}" for t in TRAININGS for name in terms}]
+    return rows.select(*own, F.explode(each).alias("fit")).select(*own, "fit.*")
+
+
 def refits(spark, sf_dir) -> DataFrame:
     """Decision rows with the forecasts of three regressions, each fitted anew on expanding and on rolling rows known by then, and of their ensemble.
 
-    Fits are sums over a window, so no training set is gathered anywhere. A model weighs as much as its fit in training is good.
+    Fits come from running sums, both trainings from the same ones. A model weighs as much as its fit in training is good.
     """
     rows = matrix(spark, sf_dir).withColumn("i", F.row_number().over(S.ordered()))
-    y, out = F.col("target"), None
-    for training in TRAININGS:
-        w = _spans(training)
-        columns = {"training": F.lit(training), "n_train": F.count("*").over(w)}
-        for m in MODELS:
-            x = F.col(m)
-            columns |= {f"{m}_p": F.regr_intercept(y, x).over(w) + F.regr_slope(y, x).over(w) * x, f"{m}_w": F.greatest(F.lit(0.05), F.coalesce(F.regr_r2(y, x).over(w), F.lit(0.0)))}
-        own = rows.withColumns(columns).where((F.col("i") > MIN_TRAIN) & ((F.col("i") - 1) % EVERY == 0))
-        out = own if out is None else out.unionByName(own)
+    rows = rows.withColumns({f"{m}_c": L.centred(m) for m in MODELS})
+    y, terms = F.col("target"), {"n": F.lit(1.0), "sy": F.col("target"), "syy": F.col("target") * F.col("target")}
+    for m in MODELS:
+        x = F.col(f"{m}_c")
+        terms |= {f"{m}_x": x, f"{m}_xx": x * x, f"{m}_xy": x * y}
+    out, n, sy = trained(rows, terms), F.col("n"), F.col("sy")
+    for m in MODELS:
+        sx = F.col(f"{m}_x")
+        out = out.withColumns({f"{m}_vx": F.col(f"{m}_xx") - sx * sx / n, f"{m}_cov": F.col(f"{m}_xy") - sx * sy / n})
+        vx, cov, vy = F.col(f"{m}_vx"), F.col(f"{m}_cov"), F.col("syy") - sy * sy / n
+        fit = F.when((n > 1) & (vx > 0), sy / n + cov / F.when(vx > 0, vx) * (F.col(f"{m}_c") - sx / n))
+        out = out.withColumns({f"{m}_p": fit, f"{m}_w": F.greatest(F.lit(0.05), F.coalesce(F.try_divide(cov * cov, F.when(vx > 0, vx) * vy), F.lit(0.0)))})
     total = sum((F.col(w) for w in _W[1:]), F.col(_W[0]))
     out = out.withColumn("ensemble", sum((F.col(p) * F.col(w) for p, w in zip(_P, _W, strict=True)), F.lit(0.0)) / total).where("ensemble IS NOT NULL")
-    return out.withColumns({"forecast": F.col("close") * (1 + F.col("ensemble")), "actual": F.col("close") * (1 + y)})
+    return out.withColumns({"n_train": F.col("n").cast("long"), "forecast": F.col("close") * (1 + F.col("ensemble")), "actual": F.col("close") * (1 + y)})
 
 
 @query("walkforward_refit", f"WITH {REFIT_SQL} SELECT series_id, d, training, n_train, round(close, 2) AS reference, {', '.join(f'round({p}, 6) AS {m}_forecast' for m, p in zip(MODELS, _P, strict=True))}, round(ensemble, 6) AS ensemble_forecast, round(actual, 2) AS actual FROM rf")
@@ -102,40 +112,45 @@ def training_ab(spark, sf_dir):
     return wide.select("series_id", F.round(a, 4).alias("sharpe_expanding"), F.round(b, 4).alias("sharpe_rolling"), F.round(acc, 4).alias("accuracy_rolling"), verdict.alias("verdict"))
 
 
-def least_squares(x: list[Column], y: Column, usable: Column, window, ridge: float = 0.0) -> Column:
-    """The fit of ``y`` on ``x`` over the ``usable`` rows of ``window``, applied to the row's own ``x``; null with fewer rows than regressors.
+RIDGE = 1e-4  # times the number of rows, on every feature's own square
 
-    The window's sums of cross-products are all a row holds of its training set; the small systems are solved in Arrow batches.
-    """
-    k = len(x)
-    pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    sums = [F.sum(F.when(usable, x[a] * x[b])).over(window) for a, b in pairs] + [F.sum(F.when(usable, v * y)).over(window) for v in x]
-
-    @F.pandas_udf("double")
-    def solve(s: pd.Series, own: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for sums, at, number in zip(s, own, n, strict=True):
-            if number < k or any(v is None or not np.isfinite(v) for v in (*sums, *at)):
-                out.append(None)
-                continue
-            a = np.zeros((k, k))
-            for (i, j), v in zip(pairs, sums[: len(pairs)], strict=True):
-                a[i, j] = a[j, i] = v
-            a[np.arange(1, k), np.arange(1, k)] += ridge * number
-            out.append(float(np.linalg.lstsq(a, np.asarray(sums[len(pairs) :], float), rcond=None)[0] @ np.asarray(at, float)))
-        return pd.Series(out, dtype="float64")
-
-    return solve(F.array(*sums), F.array(*x), F.count(F.when(usable, y)).over(window))
-
-
-@query("walkforward_ridge")
+
+def _known_sql(terms, training, source):
+    """Sums of ``terms`` over the rows known at each decision row of ``source``."""
+    reach = "UNBOUNDED" if training == "expanding" else str(ROLLING + STEPS - 1)
+    sums = ", ".join(f"coalesce(sum({t}) OVER p, 0) AS {name}" for name, t in terms.items())
+    return f"SELECT * FROM (SELECT *, '{training}' AS training, {sums} FROM {source} WINDOW p AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN {reach} PRECEDING AND {STEPS} PRECEDING)) WHERE i > {MIN_TRAIN} AND (i - 1) % {EVERY} = 0"
+
+
+def _terms_sql(x, y, usable="true"):
+    own = lambda v: f"CASE WHEN {usable} THEN CAST({v} AS DOUBLE) END"
+    return {f"a_{i}_{j}": own(f"{x[i]} * {x[j]}") for i, j in L.pairs(len(x))} | {f"b_{i}": own(f"{v} * {y}") for i, v in enumerate(x)} | {"n": own("1")}
+
+
+def _fitted_sql(x):
+    return " + ".join(f"beta_{i} * {v}" for i, v in enumerate(x))
+
+
+def _centred_sql(features):
+    return ", ".join(f"{f} - first_value({f}) OVER (PARTITION BY series_id ORDER BY d) AS {f}_c" for f in features)
+
+
+_X = ["1.0", *(f"{f}_c" for f in FEATURES)]
+
+
+@query(
+    "walkforward_ridge",
+    f"""WITH {MATRIX_SQL}, cm AS (SELECT series_id, d, target, row_number() OVER (PARTITION BY series_id ORDER BY d) AS i, {_centred_sql(FEATURES)} FROM mx),
+    ks AS ({' UNION ALL '.join(_known_sql(_terms_sql(_X, 'target'), t, 'cm') for t in TRAININGS)}), {L.elimination_sql('ks', 'sol', len(_X), RIDGE)},
+    fv AS (SELECT *, {_fitted_sql(_X)} AS fit FROM sol) SELECT series_id, d, round(target, 6) AS actual, {', '.join(f"round(max(fit) FILTER (WHERE training = '{t}'), 6) AS {t}_forecast" for t in TRAININGS)} FROM fv GROUP BY series_id, d, target""",
+)
 def walkforward_ridge(spark, sf_dir):
     """Five-bar returns by ridge regression on all features, fitted anew at each decision row on expanding and on rolling rows known by then."""
-    rows = matrix(spark, sf_dir).withColumn("i", F.row_number().over(S.ordered()))
-    x, y = [F.lit(1.0), *(F.col(f) for f in FEATURES)], F.col("target")
-    rows = rows.withColumns({t: least_squares(x, y, F.lit(True), _spans(t), 1e-4) for t in TRAININGS})
-    rows = rows.where((F.col("i") > MIN_TRAIN) & ((F.col("i") - 1) % EVERY == 0))
-    return rows.select("series_id", "d", r6(y).alias("actual"), *(r6(F.col(t)).alias(f"{t}_forecast") for t in TRAININGS))
+    rows = matrix(spark, sf_dir).withColumn("i", F.row_number().over(S.ordered())).withColumns({f"{f}_c": L.centred(f) for f in FEATURES})
+    x, y = [F.lit(1.0), *(F.col(f"{f}_c") for f in FEATURES)], F.col("target")
+    fits = L.solved(trained(rows, L.normal_terms(x, y)), len(x), RIDGE).withColumn("fit", L.applied(x))
+    wide = fits.groupBy("series_id", "d", "target").pivot("training", list(TRAININGS)).agg(F.first("fit"))
+    return wide.select("series_id", "d", r6(y).alias("actual"), *(r6(F.col(t)).alias(f"{t}_forecast") for t in TRAININGS))
 
 
 def implied_rows(spark, sf_dir) -> DataFrame:
@@ -146,35 +161,50 @@ def implied_rows(spark, sf_dir) -> DataFrame:
     return rows.where((S.finite(F.col("implied")) > 0)).withColumn("i", F.row_number().over(S.ordered()))
 
 
-@query("har_iv_multiregressor")
-def har_iv_multiregressor(spark, sf_dir):
-    """Log-volatility on three horizons and the implied volatility by least squares, a fit for each decision row on all rows known by then."""
-    rows, known = implied_rows(spark, sf_dir), _spans("expanding")
-    ok = F.col("target").isNotNull()
-    x = [F.lit(1.0), *(F.ln(c) for c in ("rv5", "rv22", "rv66", "implied"))]
-    rows = rows.withColumn("fit", least_squares(x, F.ln("target"), ok, known))
-    rows = rows.where((F.col("i") > MIN_TRAIN) & ((F.col("i") - 1) % EVERY == 0) & ok)
-    return rows.select("series_id", "d", r6(F.exp("fit")).alias("predicted"), r6(F.col("target")).alias("actual"), r6(F.col("rv22")).alias("rv_22"), r6(F.col("implied")).alias("implied"))
+_LOGS = ("rv5", "rv22", "rv66", "implied")
 
 
+def _log_rows(spark, sf_dir) -> DataFrame:
+    rows = implied_rows(spark, sf_dir).withColumns({f"ln_{c}": F.ln(c) for c in _LOGS}).withColumn("y", F.ln("target"))
+    return rows.withColumns({f"ln_{c}_c": L.centred(f"ln_{c}") for c in _LOGS})
+
+
+_HX = ["1.0", *(f"ln_{c}_c" for c in _LOGS)]
 IMPLIED_SQL = f"""{HAR_SQL}, {PANEL_SQL[PANEL_SQL.index("p0 AS") :]},
-iv AS (SELECT h.series_id, h.d, h.rv5, h.rv22, h.rv66, h.target, CASE WHEN dayofyear(h.d) % 13 = 0 THEN NULL WHEN dayofyear(h.d) % 17 = 0 THEN -1.0 ELSE vol / 1e5 END AS implied FROM h LEFT JOIN p USING (d) WHERE rv66 IS NOT NULL)"""
+iv AS (SELECT h.series_id, h.d, h.rv5, h.rv22, h.rv66, h.target, CASE WHEN dayofyear(h.d) % 13 = 0 THEN NULL WHEN dayofyear(h.d) % 17 = 0 THEN -1.0 ELSE vol / 1e5 END AS implied FROM h LEFT JOIN p USING (d) WHERE rv66 IS NOT NULL),
+u AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d) AS i, ln(target) AS y, {', '.join(f'ln({c}) AS ln_{c}' for c in _LOGS)} FROM iv WHERE implied > 0 AND isfinite(implied)),
+lv AS (SELECT *, {_centred_sql([f'ln_{c}' for c in _LOGS])} FROM u)"""
+
+
+@query(
+    "har_iv_multiregressor",
+    f"""WITH {IMPLIED_SQL}, ks AS ({_known_sql(_terms_sql(_HX, 'y', 'target IS NOT NULL'), 'expanding', 'lv')}), {L.elimination_sql('ks', 'sol', len(_HX))}
+    SELECT series_id, d, round(exp({_fitted_sql(_HX)}), 6) AS predicted, round(target, 6) AS actual, round(rv22, 6) AS rv_22, round(implied, 8) AS implied FROM sol WHERE target IS NOT NULL""",
+)
+def har_iv_multiregressor(spark, sf_dir):
+    """Log-volatility on three horizons and the implied volatility by least squares, a fit for each decision row on all rows known by then."""
+    x, ok = [F.lit(1.0), *(F.col(f"ln_{c}_c") for c in _LOGS)], F.col("target").isNotNull()
+    rows = _log_rows(spark, sf_dir)
+    rows = _decisions(rows.withColumns(L.known_sums(rows, L.normal_terms(x, F.col("y"), ok), STEPS, None))).where(ok)
+    rows = L.solved(rows, len(x))
+    return rows.select("series_id", "d", r6(F.exp(L.applied(x))).alias("predicted"), r6(F.col("target")).alias("actual"), r6(F.col("rv22")).alias("rv_22"), F.round("implied", 8).alias("implied"))
 
 
 @query(
     "har_iv_live",
-    f"""WITH {IMPLIED_SQL}, u AS (SELECT * FROM iv WHERE implied > 0 AND isfinite(implied)), gi AS (SELECT series_id, regr_slope(ln(target), ln(implied)) AS slope, regr_intercept(ln(target), ln(implied)) AS base, count(target) AS n_train FROM u GROUP BY 1),
-    l AS (SELECT series_id, max(d) AS d, arg_max(rv5, d) AS rv5, arg_max(implied, d) AS implied FROM u GROUP BY 1)
-    SELECT series_id, d AS as_of, n_train, round(100 * rv5, 1) AS current_vol_pct, round(100 * exp(base + slope * ln(implied)), 1) AS forecast_vol_pct, CASE WHEN exp(base + slope * ln(implied)) > rv5 THEN 'RISING' ELSE 'FALLING' END AS direction, round(100 * implied, 1) AS implied_pct FROM l JOIN gi USING (series_id)""",
+    f"""WITH {IMPLIED_SQL}, ks AS (SELECT series_id, max(d) AS d, {', '.join(f'arg_max({c}, d) AS {c}' for c in ('rv5', 'implied', *_HX[1:]))}, {', '.join(f'coalesce(sum({t}), 0) AS {name}' for name, t in _terms_sql(_HX, 'y', 'target IS NOT NULL').items())} FROM lv GROUP BY 1), {L.elimination_sql('ks', 'sol', len(_HX))},
+    f AS (SELECT *, exp({_fitted_sql(_HX)}) AS forecast FROM sol)
+    SELECT series_id, d AS as_of, CAST(n AS BIGINT) AS n_train, round(100 * rv5, 1) AS current_vol_pct, round(100 * forecast, 1) AS forecast_vol_pct, CASE WHEN forecast > rv5 THEN 'RISING' ELSE 'FALLING' END AS direction, round(100 * implied, 1) AS implied_pct FROM f""",
 )
 def har_iv_live(spark, sf_dir):
-    """The forecast at the last row by a fit on all rows whose target is known, implied volatility its regressor."""
-    rows = implied_rows(spark, sf_dir)
-    x, y = F.ln("implied"), F.ln("target")
-    g = rows.groupBy("series_id").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("base"), F.count("target").alias("n_train"), F.max("d").alias("as_of"), F.max_by("rv5", "d").alias("rv5"), F.max_by("implied", "d").alias("implied"))
-    fit = F.exp(F.col("base") + F.col("slope") * F.ln("implied"))
-    pct = lambda v: F.round(100 * v, 1)
-    return g.select("series_id", "as_of", "n_train", pct(F.col("rv5")).alias("current_vol_pct"), pct(fit).alias("forecast_vol_pct"), F.when(fit > F.col("rv5"), "RISING").otherwise("FALLING").alias("direction"), pct(F.col("implied")).alias("implied_pct"))
+    """The forecast at the last row by a fit on all rows whose target is known, with realised volatility on three horizons and implied volatility."""
+    x = [F.lit(1.0), *(F.col(f"ln_{c}_c") for c in _LOGS)]
+    terms = L.normal_terms(x, F.col("y"), F.col("target").isNotNull())
+    latest = [F.max_by(c, "d").alias(c) for c in ("rv5", "implied", *_HX[1:])]
+    g = _log_rows(spark, sf_dir).groupBy("series_id").agg(F.max("d").alias("as_of"), *latest, *(F.coalesce(F.sum(t), F.lit(0.0)).alias(name) for name, t in terms.items()))
+    g = L.solved(g, len(x)).withColumn("forecast", F.exp(L.applied(x)))
+    fit, pct = F.col("forecast"), lambda v: F.round(100 * v, 1)
+    return g.select("series_id", "as_of", F.col("n").cast("long").alias("n_train"), pct(F.col("rv5")).alias("current_vol_pct"), pct(fit).alias("forecast_vol_pct"), F.when(fit > F.col("rv5"), "RISING").otherwise("FALLING").alias("direction"), pct(F.col("implied")).alias("implied_pct"))
 
 
 LEFT_OUT = 1995

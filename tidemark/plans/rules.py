@@ -7,39 +7,78 @@ from pyspark.sql.window import Window
 
 from ..functions import series as S
 from ..functions.series import clip, r6
-from ..operators.bars import table
-from .evaluation import LEDGER_SQL, METRICS_SQL, PNL_SQL, TRADES_SQL, ledger, metrics, pnl, walk
+from ..operators.bars import frames, table
+from .evaluation import EVERY, LEDGER_SQL, PNL_SQL, STEPS, TRADES_SQL, WALK_SQL, drift_of, drift_sql, ledger, pnl, walk
+from .learning import FEATURES, MATRIX_SQL, drift_scores
 from .registry import query
 
-GRADE_SQL = f"""{LEDGER_SQL}, g AS (SELECT user_id, horizon, count(*) AS samples, count(actual) AS live_total,
-  100 * avg(CASE WHEN actual IS NULL THEN NULL WHEN sign(pred - price) = sign(actual - price) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(high - low) AS width, avg(price) AS price FROM led GROUP BY 1, 2),
-c AS (SELECT *, CASE WHEN live_total >= 10 THEN 'live' WHEN samples >= 12 THEN 'backtest' WHEN live_total > 0 THEN 'live_sparse' WHEN samples > 0 THEN 'backtest_sparse' ELSE 'none' END AS evidence,
-  round(least(95, greatest(10, 60 + 0.55 * (coalesce(accuracy, 50) - 50) - least(45, 230 * width / nullif(price, 0)))), 6) AS confidence FROM g)"""
+LIVE_FROM = "2024-01-16 00:00:00"  # forecasts issued from then on are live, earlier ones are the backtest
+# Samples that make evidence, least accuracies, confidence and drift of a grade.
+LIVE_LEAST, TESTED_LEAST, LIVE_FLOOR, TESTED_FLOOR, SURE_LEAST, DRIFT_MOST = 10, 30, 50, 45, 15, 3.0
+
+_HIT_SQL = "CASE WHEN actual IS NULL THEN NULL WHEN sign(pred - price) = sign(actual - price) THEN 1.0 ELSE 0.0 END"
+
+
+GRADE_SQL = f"""{LEDGER_SQL}, g0 AS (SELECT *, pred - price AS move, issued_at >= TIMESTAMP '{LIVE_FROM}' AS live, {_HIT_SQL} AS hit, abs(actual - pred) / greatest(abs(actual), 1e-6) AS ape FROM led),
+g AS (SELECT user_id, horizon, count(*) AS samples, count(actual) FILTER (WHERE live) AS live_total, count(actual) FILTER (WHERE NOT live) AS backtest_total, 100 * avg(hit) FILTER (WHERE live) AS live_accuracy, 100 * avg(hit) FILTER (WHERE NOT live) AS backtest_accuracy,
+  avg(ape) FILTER (WHERE NOT live) AS error, avg(high - low) AS width, avg(price) AS price, {drift_sql('price', 'move')} AS drift_score FROM g0 GROUP BY 1, 2),
+c0 AS (SELECT *, CASE WHEN live_total >= {LIVE_LEAST} THEN 'live' WHEN backtest_total >= {TESTED_LEAST} THEN 'backtest' WHEN live_total > 0 THEN 'live_sparse' WHEN backtest_total > 0 THEN 'backtest_sparse' ELSE 'none' END AS evidence,
+  CASE WHEN backtest_total > 0 THEN 0.4 * greatest(0, least(1, 1 - error)) + 0.6 * backtest_accuracy / 100 ELSE 0.5 END AS base FROM g),
+c AS (SELECT *, CASE WHEN evidence LIKE 'live%' THEN live_accuracy WHEN evidence LIKE 'backtest%' THEN backtest_accuracy END AS accuracy,
+  round(least(95, greatest(10, least(95, greatest(10, 100 * base)) + 0.55 * (coalesce(nullif(backtest_accuracy, 0), 50) - 50) - least(45, 230 * greatest(0, width / greatest(1e-9, price))) - least(25, 10 * greatest(0, drift_score - 1.2)))), 6) AS confidence FROM c0)"""
+
+
+def graded(spark, sf_dir):
+    """Each user's horizon with its evidence, the accuracy observed by it, its drift and its confidence.
+
+    Confidence starts at the backtest's skill and is corrected by its directions, the width of the intervals and the drift of what is forecast from.
+    """
+    y, p, c = F.col("actual"), F.col("pred"), F.col("price")
+    rows = ledger(spark, sf_dir).withColumns({
+        "move": p - c, "live": F.col("issued_at") >= F.lit(LIVE_FROM).cast("timestamp_ntz"), "hit": F.when(y.isNotNull(), (S.sign(p - c) == S.sign(y - c)).cast("double")), "ape": F.abs(y - p) / F.greatest(F.abs(y), F.lit(1e-6)),
+    })
+    live, tested = F.col("live"), ~F.col("live")
+    g = rows.groupBy("user_id", "horizon").agg(
+        F.count("*").alias("samples"), F.count(F.when(live, y)).alias("live_total"), F.count(F.when(tested, y)).alias("backtest_total"), (100 * F.avg(F.when(live, F.col("hit")))).alias("live_accuracy"), (100 * F.avg(F.when(tested, F.col("hit")))).alias("backtest_accuracy"),
+        F.avg(F.when(tested, F.col("ape"))).alias("error"), F.avg(F.col("high") - F.col("low")).alias("width"), F.avg("price").alias("price"), drift_of("price", "move").alias("drift_score"),
+    )
+    n_live, n_tested, accuracy = F.col("live_total"), F.col("backtest_total"), F.col("backtest_accuracy")
+    evidence = F.when(n_live >= LIVE_LEAST, "live").when(n_tested >= TESTED_LEAST, "backtest").when(n_live > 0, "live_sparse").when(n_tested > 0, "backtest_sparse").otherwise("none")
+    base = F.when(n_tested > 0, 0.4 * clip(1 - F.col("error"), 0.0, 1.0) + 0.6 * accuracy / 100).otherwise(0.5)
+    told = 0.55 * (F.coalesce(F.when(accuracy != 0, accuracy), F.lit(50.0)) - 50)
+    wide = F.least(F.lit(45.0), 230 * F.greatest(F.lit(0.0), F.col("width") / F.greatest(F.lit(1e-9), c)))
+    adrift = F.least(F.lit(25.0), 10 * F.greatest(F.lit(0.0), F.col("drift_score") - 1.2))
+    g = g.withColumns({"evidence": evidence, "confidence": r6(clip(clip(100 * base, 10.0, 95.0) + told - wide - adrift, 10.0, 95.0))})
+    return g.withColumn("accuracy", F.when(F.col("evidence").startswith("live"), F.col("live_accuracy")).when(F.col("evidence").startswith("backtest"), accuracy))
+
+
+def grade_reasons(evidence, accuracy, confidence, drift):
+    """Why a horizon isn't qualified, as an array in fixed order; empty for one that is."""
+    floor = F.when(evidence.startswith("live"), LIVE_FLOOR).otherwise(TESTED_FLOOR)
+    return F.array_compact(F.array(
+        F.when(accuracy.isNull(), "no_evaluation_evidence").when(accuracy < floor, "low_direction_accuracy"), F.when(evidence.endswith("_sparse"), "limited_samples"), F.when(confidence < SURE_LEAST, "low_confidence"), F.when(drift > DRIFT_MOST, "high_feature_drift")
+    ))
+
+
+def grade_status(reasons):
+    """``watch`` where nothing but evidence is wanting."""
+    mild = F.forall(reasons, lambda r: r.isin("limited_samples", "no_evaluation_evidence"))
+    return F.when(F.size(reasons) == 0, "qualified").when(mild, "watch").otherwise("unqualified")
 
 
 @query(
     "quality_classification",
-    f"""WITH {GRADE_SQL}, w AS (SELECT *, list_filter([CASE WHEN accuracy < CASE WHEN evidence LIKE 'live%' THEN 50 ELSE 45 END THEN 'low_direction_accuracy' END, CASE WHEN evidence IN ('live_sparse', 'backtest_sparse', 'none') THEN 'limited_samples' END,
-    CASE WHEN confidence < 15 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS reasons FROM c)
-    SELECT user_id, horizon, samples, live_total, round(accuracy, 4) AS direction_accuracy, evidence, confidence, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'qualified' WHEN len(reasons) = 1 THEN 'watch' ELSE 'unqualified' END AS status FROM w""",
+    f"""WITH {GRADE_SQL}, w AS (SELECT *, list_filter([CASE WHEN accuracy IS NULL THEN 'no_evaluation_evidence' WHEN accuracy < CASE WHEN evidence LIKE 'live%' THEN {LIVE_FLOOR} ELSE {TESTED_FLOOR} END THEN 'low_direction_accuracy' END, CASE WHEN evidence LIKE '%sparse' THEN 'limited_samples' END,
+    CASE WHEN confidence < {SURE_LEAST} THEN 'low_confidence' END, CASE WHEN drift_score > {DRIFT_MOST} THEN 'high_feature_drift' END], lambda x: x IS NOT NULL) AS reasons FROM c)
+    SELECT user_id, horizon, samples, live_total, backtest_total, round(accuracy, 4) AS direction_accuracy, round(drift_score, 4) AS drift_score, evidence, confidence, array_to_string(reasons, ',') AS reasons,
+    CASE WHEN len(reasons) = 0 THEN 'qualified' WHEN len(list_filter(reasons, lambda x: x NOT IN ('limited_samples', 'no_evaluation_evidence'))) = 0 THEN 'watch' ELSE 'unqualified' END AS status FROM w""",
 )
 def quality_classification(spark, sf_dir):
     """Evidence, confidence and grade of each user's horizon by threshold rules."""
-    y, p, c = F.col("actual"), F.col("pred"), F.col("price")
-    hit = F.when(y.isNotNull(), (S.sign(p - c) == S.sign(y - c)).cast("double"))
-    g = ledger(spark, sf_dir).groupBy("user_id", "horizon").agg(
-        F.count("*").alias("samples"), F.count("actual").alias("live_total"), (100 * F.avg(hit)).alias("accuracy"), F.avg(F.col("high") - F.col("low")).alias("width"), F.avg("price").alias("price")
+    g = graded(spark, sf_dir).withColumn("why", grade_reasons(F.col("evidence"), F.col("accuracy"), F.col("confidence"), F.col("drift_score")))
+    return g.select(
+        "user_id", "horizon", "samples", "live_total", "backtest_total", F.round("accuracy", 4).alias("direction_accuracy"), F.round("drift_score", 4).alias("drift_score"), "evidence", "confidence", F.array_join("why", ",").alias("reasons"), grade_status(F.col("why")).alias("status")
     )
-    live, n = F.col("live_total"), F.col("samples")
-    evidence = F.when(live >= 10, "live").when(n >= 12, "backtest").when(live > 0, "live_sparse").when(n > 0, "backtest_sparse").otherwise("none")
-    confidence = clip(60 + 0.55 * (F.coalesce("accuracy", F.lit(50.0)) - 50) - F.least(F.lit(45.0), F.try_divide(230 * F.col("width"), F.col("price"))), 10.0, 95.0)
-    g = g.withColumns({"evidence": evidence, "confidence": r6(confidence)})
-    floor = F.when(F.col("evidence").startswith("live"), 50).otherwise(45)
-    reasons = F.array_compact(F.array(
-        F.when(F.col("accuracy") < floor, "low_direction_accuracy"), F.when(F.col("evidence").isin("live_sparse", "backtest_sparse", "none"), "limited_samples"), F.when(F.col("confidence") < 15, "low_confidence")
-    ))
-    status = F.when(F.size(reasons) == 0, "qualified").when(F.size(reasons) == 1, "watch").otherwise("unqualified")
-    return g.select("user_id", "horizon", "samples", "live_total", F.round("accuracy", 4).alias("direction_accuracy"), "evidence", "confidence", F.array_join(reasons, ",").alias("reasons"), status.alias("status"))
 
 
 @query(
@@ -48,48 +87,94 @@ def quality_classification(spark, sf_dir):
 )
 def headline_horizon(spark, sf_dir):
     """The horizon to show first: by evidence, then by resolved forecasts and accuracy."""
-    y, p, c = F.col("actual"), F.col("pred"), F.col("price")
-    hit = F.when(y.isNotNull(), (S.sign(p - c) == S.sign(y - c)).cast("double"))
-    g = ledger(spark, sf_dir).groupBy("user_id", "horizon").agg(F.count("*").alias("samples"), F.count("actual").alias("live_total"), (100 * F.avg(hit)).alias("accuracy"))
-    live = F.col("live_total") >= 10
-    rank = F.when(live, 2).when(F.col("samples") >= 12, 1).otherwise(0)
+    rank = F.when(F.col("evidence") == "live", 2).when(F.col("evidence") == "backtest", 1).otherwise(0)
     order = F.struct(rank, "live_total", r6(F.coalesce("accuracy", F.lit(0.0))), "horizon")
-    return g.groupBy("user_id").agg(F.max_by("horizon", order).alias("headline"), F.count_if(live).alias("live_horizons"))
+    return graded(spark, sf_dir).groupBy("user_id").agg(F.max_by("horizon", order).alias("headline"), F.count_if(F.col("evidence") == "live").alias("live_horizons"))
 
 
-@query(
-    "ensemble_blend",
-    f"""WITH {METRICS_SQL}, s AS (SELECT series_id, model, 100.0 * hits / n AS acc, least(1.0, greatest(0.3, 0.4 * greatest(0, least(1, 1 - mape / 100)) + 0.6 * hits / n)) AS w, CASE model WHEN 'drift' THEN 0 WHEN 'price_5d_ago' THEN 1 ELSE 2 END AS o FROM m WHERE model <> 'naive'),
-    j AS (SELECT x.series_id, x.d, close AS ref, pred, acc, w, o, x.model FROM models x JOIN s ON s.series_id = x.series_id AND s.model = x.model),
-    g AS (SELECT series_id, d, any_value(ref) AS ref, sum(w * pred) / sum(w) AS ens, abs(sum(w * sign(pred - ref))) / sum(w) AS consensus, sum(w * acc) / sum(w) AS avg_acc, arg_max(model, row(acc, -o)) AS leader, arg_max(pred, row(acc, -o)) AS lead_pred, max(acc) AS lead_acc, stddev_pop(pred) AS spread FROM j GROUP BY 1, 2),
-    a AS (SELECT *, CASE WHEN sign(ens - ref) * sign(lead_pred - ref) = -1 AND lead_acc >= 52 THEN 0.2 + 0.35 * least(1, greatest(0, (lead_acc - 50) / 25)) ELSE 0 END AS blend FROM g),
-    z AS (SELECT *, least(1, greatest(0.35, (0.35 + 0.65 * consensus) * (0.45 + 0.55 * least(1, greatest(0, avg_acc / 100))))) AS shrink FROM a)
-    SELECT series_id, d, leader, round(consensus, 6) AS consensus, round(shrink, 6) AS shrink_factor, round(((1 - blend) * ens + blend * lead_pred - ref) * shrink / nullif(ref, 0), 6) AS move, round(spread / nullif(ref, 0), 6) AS dispersion,
-    round(CASE WHEN avg_acc < 50 THEN 0.12 + 0.23 * least(1, greatest(0, (50 - avg_acc) / 15)) ELSE 0 END + CASE WHEN consensus < 0.55 THEN 0.12 ELSE 0 END, 6) AS challenger_weight FROM z""",
-)
-def ensemble_blend(spark, sf_dir):
-    """Weighted ensemble of three models, leaned to the best one when signs differ and shrunk by disagreement."""
-    ref, pred, acc, w = F.col("ref"), F.col("pred"), F.col("acc"), F.col("w")
+MEMBERS = ("drift", "price_5d_ago", "challenger")
+SETTLED = -(-STEPS // EVERY)  # decision rows back to the last forecast whose outcome is known
+RECENT = 20  # decision rows of the latest evaluation
+# A leader's least accuracy, the weakest evidence, drift and weight of the challenger's blend.
+LEADER_LEAST, AGREED_LEAST, DRIFT_LEAST, LEAN_MOST = 52, 0.55, 2.5, 0.45
+
+
+def _z_sql(f):
+    return f"abs(least(8, greatest(-8, ({f} - avg({f}) OVER e) / nullif(stddev_samp({f}) OVER e, 0))))"
+
+
+_ZS = [_z_sql(f) for f in FEATURES]
+BLEND_SQL = f"""{WALK_SQL}, {MATRIX_SQL[MATRIX_SQL.index("x AS (") :]},
+dz AS (SELECT series_id, d, ({' + '.join(f'coalesce({z}, 0)' for z in _ZS)}) / nullif({' + '.join(f'CAST({z} IS NOT NULL AS INTEGER)' for z in _ZS)}, 0) AS drift_score FROM mx {frames()}),
+s0 AS (SELECT *, CASE WHEN sign(pred - close) = sign(actual - close) THEN 1 ELSE 0 END AS hit, abs(actual - pred) / greatest(abs(actual), 1e-6) AS ape FROM models WHERE model <> 'naive'),
+s1 AS (SELECT *, count(*) OVER k AS n, sum(hit) OVER k AS hits, avg(ape) OVER k AS mape FROM s0 WINDOW k AS (PARTITION BY series_id, model ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND {SETTLED} PRECEDING)),
+j AS (SELECT series_id, d, model, close AS ref, pred, actual, CASE WHEN n > 0 THEN 100.0 * hits / n ELSE 50.0 END AS acc, CASE WHEN n > 0 THEN least(1.0, greatest(0.3, 0.4 * greatest(0, least(1, 1 - mape)) + 0.6 * hits / n)) ELSE 0.5 END AS w, CASE model WHEN 'drift' THEN 0 WHEN 'price_5d_ago' THEN 1 ELSE 2 END AS o FROM s1),
+g AS (SELECT series_id, d, any_value(ref) AS ref, any_value(actual) AS actual, max(pred) FILTER (WHERE model = 'challenger') AS steady, sum(w * pred) / sum(w) AS ens, abs(sum(w * sign(pred - ref))) / sum(w) AS consensus, sum(w * acc) / sum(w) AS avg_acc, arg_max(model, row(acc, -o)) AS leader, arg_max(pred, row(acc, -o)) AS lead_pred, max(acc) AS lead_acc, stddev_pop(pred) AS spread FROM j GROUP BY 1, 2),
+a AS (SELECT *, CASE WHEN sign(ens - ref) * sign(lead_pred - ref) = -1 AND lead_acc >= {LEADER_LEAST} THEN 0.2 + 0.35 * least(1, greatest(0, (lead_acc - 50) / 25)) ELSE 0 END AS blend, CASE WHEN sign(ens - ref) = sign(actual - ref) THEN 1.0 ELSE 0.0 END AS ens_hit FROM g),
+z AS (SELECT *, least(1, greatest(0.35, (0.35 + 0.65 * consensus) * (0.45 + 0.55 * least(1, greatest(0, avg_acc / 100))))) AS shrink, coalesce(nullif(100 * avg(ens_hit) OVER (PARTITION BY series_id ORDER BY d ROWS BETWEEN {RECENT + SETTLED - 1} PRECEDING AND {SETTLED} PRECEDING), 0), 50.0) AS recent FROM a),
+bl AS (SELECT z.*, drift_score, ref + ((1 - blend) * ens + blend * lead_pred - ref) * shrink AS stable, least({LEAN_MOST}, CASE WHEN recent < 50 THEN 0.12 + 0.23 * least(1, greatest(0, (50 - recent) / 15)) ELSE 0 END + CASE WHEN consensus < {AGREED_LEAST} THEN 0.12 ELSE 0 END + CASE WHEN coalesce(drift_score, 0) > {DRIFT_LEAST} THEN 0.08 ELSE 0 END) AS lean FROM z LEFT JOIN dz USING (series_id, d)),
+blended AS (SELECT *, (1 - lean) * stable + lean * steady AS forecast FROM bl)"""
+
+
+def blended(spark, sf_dir):
+    """Decision rows with the ensemble of three models, stabilised and leaned towards recent drift, by skill known at each row.
+
+    A model's weight and accuracy come from its forecasts that have matured by the row, those of the last ``RECENT`` decision rows tell how
+    well the ensemble itself did; before the first outcome they are even. The frames end before the row, so later prices can't reach it.
+    """
+    ref, pred, acc, w, y = F.col("ref"), F.col("pred"), F.col("acc"), F.col("w"), F.col("actual")
     order = F.when(F.col("model") == "drift", 0).when(F.col("model") == "price_5d_ago", 1).otherwise(2)
-    skill = metrics(spark, sf_dir).where("model <> 'naive'").select(
-        "series_id", "model", (100.0 * F.col("hits") / F.col("n")).alias("acc"), clip(0.4 * clip(1 - F.col("mape") / 100, 0.0, 1.0) + 0.6 * F.col("hits") / F.col("n"), 0.3, 1.0).alias("w"), order.alias("o")
-    )
-    rows = walk(spark, sf_dir).unpivot(["series_id", "d", "close"], ["drift", "price_5d_ago", "challenger"], "model", "pred").withColumnRenamed("close", "ref").join(skill, ["series_id", "model"])
+    rows = walk(spark, sf_dir).unpivot(["series_id", "d", "close", "actual"], list(MEMBERS), "model", "pred").withColumnRenamed("close", "ref")
+    rows = rows.withColumns({"hit": (S.sign(pred - ref) == S.sign(y - ref)).cast("double"), "ape": F.abs(y - pred) / F.greatest(F.abs(y), F.lit(1e-6)), "o": order})
+    known = Window.partitionBy("series_id", "model").orderBy("d").rowsBetween(Window.unboundedPreceding, -SETTLED)
+    hits, error = F.avg("hit").over(known), F.avg("ape").over(known)
+    rows = rows.withColumns({"acc": F.coalesce(100 * hits, F.lit(50.0)), "w": F.coalesce(clip(0.4 * clip(1 - error, 0.0, 1.0) + 0.6 * hits, 0.3, 1.0), F.lit(0.5))})
     best, total = F.struct(acc, -F.col("o")), F.sum(w)
     g = rows.groupBy("series_id", "d").agg(
-        F.first("ref").alias("ref"), (F.sum(w * pred) / total).alias("ens"), (F.abs(F.sum(w * S.sign(pred - ref))) / total).alias("consensus"), (F.sum(w * acc) / total).alias("avg_acc"),
+        F.first("ref").alias("ref"), F.first("actual").alias("actual"), F.max(F.when(F.col("model") == "challenger", pred)).alias("steady"), (F.sum(w * pred) / total).alias("ens"), (F.abs(F.sum(w * S.sign(pred - ref))) / total).alias("consensus"), (F.sum(w * acc) / total).alias("avg_acc"),
         F.max_by("model", best).alias("leader"), F.max_by("pred", best).alias("lead_pred"), F.max("acc").alias("lead_acc"), F.stddev_pop("pred").alias("spread"),
     )
     ens, lead = F.col("ens"), F.col("lead_pred")
-    blend = F.when((S.sign(ens - ref) * S.sign(lead - ref) == -1) & (F.col("lead_acc") >= 52), 0.2 + 0.35 * clip((F.col("lead_acc") - 50) / 25, 0.0, 1.0)).otherwise(0.0)
+    lately = S.ordered().rowsBetween(1 - RECENT - SETTLED, -SETTLED)
+    own = 100 * F.avg((S.sign(ens - ref) == S.sign(y - ref)).cast("double")).over(lately)
+    blend = F.when((S.sign(ens - ref) * S.sign(lead - ref) == -1) & (F.col("lead_acc") >= LEADER_LEAST), 0.2 + 0.35 * clip((F.col("lead_acc") - 50) / 25, 0.0, 1.0)).otherwise(0.0)
     shrink = clip((0.35 + 0.65 * F.col("consensus")) * (0.45 + 0.55 * clip(F.col("avg_acc") / 100, 0.0, 1.0)), 0.35, 1.0)
-    lean = F.when(F.col("avg_acc") < 50, 0.12 + 0.23 * clip((50 - F.col("avg_acc")) / 15, 0.0, 1.0)).otherwise(0.0) + F.when(F.col("consensus") < 0.55, 0.12).otherwise(0.0)
-    return g.select(
-        "series_id", "d", "leader", r6(F.col("consensus")).alias("consensus"), r6(shrink).alias("shrink_factor"), r6(F.try_divide(((1 - blend) * ens + blend * lead - ref) * shrink, ref)).alias("move"),
-        r6(F.try_divide(F.col("spread"), ref)).alias("dispersion"), r6(lean).alias("challenger_weight"),
+    g = g.withColumns({"recent": F.coalesce(F.when(own != 0, own), F.lit(50.0)), "shrink": shrink, "blend": blend}).join(drift_scores(spark, sf_dir), ["series_id", "d"], "left")
+    recent = F.col("recent")
+    lean = F.when(recent < 50, 0.12 + 0.23 * clip((50 - recent) / 15, 0.0, 1.0)).otherwise(0.0) + F.when(F.col("consensus") < AGREED_LEAST, 0.12).otherwise(0.0) + F.when(F.coalesce("drift_score", F.lit(0.0)) > DRIFT_LEAST, 0.08).otherwise(0.0)
+    b = F.col("blend")
+    g = g.withColumns({"stable": ref + ((1 - b) * ens + b * lead - ref) * F.col("shrink"), "lean": F.least(F.lit(LEAN_MOST), lean)})
+    return g.withColumn("forecast", (1 - F.col("lean")) * F.col("stable") + F.col("lean") * F.col("steady"))
+
+
+@query(
+    "ensemble_blend",
+    f"""WITH {BLEND_SQL} SELECT series_id, d, leader, round(consensus, 12) AS consensus, round(shrink, 6) AS shrink_factor, round((stable - ref) / nullif(ref, 0), 6) AS move, round(spread / nullif(ref, 0), 6) AS dispersion, round(drift_score, 6) AS drift_score,
+    round(lean, 6) AS challenger_weight, round((forecast - ref) / nullif(ref, 0), 6) AS blended_move FROM blended""",
+)
+def ensemble_blend(spark, sf_dir):
+    """Weighted ensemble of three models by skill so far, leaned to the best one when signs differ, shrunk by disagreement, then blended with recent drift where evidence is weak."""
+    share = lambda v: r6(F.try_divide(v, F.col("ref")))
+    return blended(spark, sf_dir).select(
+        "series_id", "d", "leader", F.round("consensus", 12).alias("consensus"), r6(F.col("shrink")).alias("shrink_factor"), share(F.col("stable") - F.col("ref")).alias("move"), share(F.col("spread")).alias("dispersion"), r6(F.col("drift_score")).alias("drift_score"),
+        r6(F.col("lean")).alias("challenger_weight"), share(F.col("forecast") - F.col("ref")).alias("blended_move"),
     )
 
 
+@query(
+    "ensemble_blend_metrics",
+    f"""WITH {BLEND_SQL}, f AS (SELECT series_id, ref, actual, unnest(['ensemble', 'stabilised', 'blended']) AS model, unnest([ens, stable, forecast]) AS p FROM blended)
+    SELECT series_id, model, count(*) AS n, round(avg(abs(actual - p)), 2) AS mae, round(sqrt(avg((actual - p) ** 2)), 2) AS rmse, round(100 * avg(CASE WHEN sign(p - ref) = sign(actual - ref) THEN 1.0 ELSE 0.0 END), 4) AS direction_accuracy FROM f GROUP BY 1, 2""",
+)
+def ensemble_blend_metrics(spark, sf_dir):
+    """Errors and directions of the ensemble as it is, stabilised, and blended, over all decision rows."""
+    rows = blended(spark, sf_dir).select("series_id", "ref", "actual", F.col("ens").alias("ensemble"), F.col("stable").alias("stabilised"), F.col("forecast").alias("blended"))
+    y, p, ref = F.col("actual"), F.col("p"), F.col("ref")
+    return rows.unpivot(["series_id", "ref", "actual"], ["ensemble", "stabilised", "blended"], "model", "p").groupBy("series_id", "model").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.abs(y - p)), 2).alias("mae"), F.round(F.sqrt(F.avg((y - p) * (y - p))), 2).alias("rmse"), F.round(100 * F.avg((S.sign(p - ref) == S.sign(y - ref)).cast("double")), 4).alias("direction_accuracy")
+    )
+
+
 @query(
     "ab_verdict",
     f"""WITH {TRADES_SQL}, ta AS (SELECT series_id, 'challenger' AS config, pnl FROM trades), tb AS (SELECT series_id, 'drift' AS config, round(sign(drift - close) * (actual - close) * 10.0 - 100.0, 2) AS pnl FROM walk WHERE sign(drift - close) <> 0),
