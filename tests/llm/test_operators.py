@@ -468,19 +468,17 @@ def test_replaced_words_are_tolerated(spark):
 
 
 def brute_leaks(doc, items):
-    """Item ids, most equal words and spans of a document's alignments that share a seed with an item."""
+    """Item ids, most equal words and spans of all alignments that the rule calls leaks, whatever finds them."""
     ids, most, spans = set(), 0, set()
     for i, item in items:
-        looked_at = decontaminate.masks([len(item)])[len(decontaminate.MASKS) :] if len(item) < decontaminate.SPAN else decontaminate.masks([])
+        need = min(decontaminate.MIN_WORDS, math.ceil(decontaminate.AGREE * len(item)))
         for shift in range(1 - len(item), len(doc)):
             equal = np.array([0 <= shift + k < len(doc) and doc[shift + k] == w for k, w in enumerate(item)])
-            if equal.sum() < min(6, max(1, len(item) - 1)):  # no seed looks at fewer words
-                continue
-            if not any(equal[at + np.array(mask)].all() and 0 <= shift + at and shift + at + span <= len(doc) for _, span, mask in looked_at for at in range(len(item) - span + 1)):
+            if equal.sum() < need:
                 continue
             runs = [(int(equal[a:z].sum()), -a, z) for a in range(len(item)) for z in range(a + 1, len(item) + 1) if equal[a] and equal[z - 1] and equal[a:z].sum() >= decontaminate.AGREE * (z - a) - 1e-9]
             n, a, z = max(runs, default=(0, 0, 0))
-            if n and n >= min(decontaminate.MIN_WORDS, math.ceil(decontaminate.AGREE * len(item))):
+            if n and n >= need:
                 ids.add(i)
                 most = max(most, n)
                 spans.add((shift - a, shift + z))
@@ -509,6 +507,25 @@ def test_leaks_match_brute_force(spark):
     assert found > 40
 
 
+def test_no_leak_of_the_rule_is_lost(spark):
+    """Items of 5 to 19 words with every choice of up to three words replaced that the rule still calls a leak, and cut off at either end of a document."""
+    docs, items = [], []
+    for n in range(5, 20):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        need = min(decontaminate.MIN_WORDS, math.ceil(decontaminate.AGREE * n))
+        for gone in range(min(3, n - need) + 1):
+            for out in itertools.combinations(range(n), gone):
+                if n > 16 and not any(sum(k not in out for k in range(a, z)) >= max(need, decontaminate.AGREE * (z - a)) for a in range(n) for z in range(a + 1, n + 1)):
+                    continue
+                words = ["other" if k in out else w for k, w in enumerate(item)]
+                docs.append((n, words if len(docs) % 2 else ["before", *words, "after"]))
+        docs += [(n, x) for x in (item[n - need :], item[:need])]
+    got = decontaminate.overlaps(spark.createDataFrame([(d, " ".join(w)) for d, (_, w) in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(docs) > 2500
+    assert not [docs[r.doc_id] for r in got if r.item_ids != [docs[r.doc_id][0]]]
+
+
 def test_leak_edges(spark):
     bench = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "too short", "x"), (None, edge_rows()[3][1][:300], "x"), (5, edge_rows()[3][1][:300], "x")], "item_id long, text string, row string")
     out = decontaminate.overlaps(edge_docs(spark), bench).collect()

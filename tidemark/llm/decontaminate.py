@@ -1,10 +1,11 @@
 """Operator 8: benchmark decontamination by spaced seeds.
 
-A seed is a run of ``SPAN`` words of which a fixed mask looks at six and ignores the others, so a replaced word spoils
-only the seeds that look at it. Test and training texts meet on equal seed hashes; each meeting proposes an alignment, whose words are
+A seed is a run of ``SPAN`` words or fewer of which a fixed mask looks at six and ignores the others, so a replaced word spoils
+only the seeds that look at it. The masks are complete: any ten words in a row with two replaced, any nine with one, and any 15 to 19 with three
+have a seed that looks at none of the replaced ones; longer runs with a fifth replaced hold ten words with two at most. Test and training texts meet on equal seed hashes; each meeting proposes an alignment, whose words are
 then compared one by one, replaced words tolerated. Words are runs of digits, letters and bytes beyond ASCII, A-Z lower-cased.
 
-Items of fewer words than a seed have seeds of their own length: of all words below five, else of all but one, since only one of five to nine words may differ.
+Items of fewer than ``SPAN`` words have seeds of their own: of all words below five, else of all but one, since only one of five to nine words may differ.
 
 The training side first asks a bit table of the test seeds (two bits a seed, ``2**MAX_BITS`` bits at most, however large the
 benchmark is) and keeps only stretches of text around seeds that may occur; the exact join follows on those.
@@ -21,7 +22,7 @@ from .store import stored
 from .textops import NO_WORD, Words, chunks, mix, signed
 
 # The positions each mask looks at.
-MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 2, 5, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 7, 9)]
+MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 2, 5, 6, 7), (0, 1, 3, 5, 8, 9), (0, 1, 3, 4, 6, 7), (0, 1, 2, 6, 8, 9)]
 SPAN = 10
 MIN_BITS, MAX_BITS = 20, 26
 RADIUS = 40
@@ -29,26 +30,30 @@ MIN_WORDS = 13
 AGREE = 0.8
 
 
-def masks(short: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
-    """``(number, span, positions)`` of the fixed masks and of those for items of ``short`` words (below ``SPAN``)."""
-    out = [(m, SPAN, mask) for m, mask in enumerate(MASKS)]
+Mask = tuple[int, tuple[int, ...], int | None]  # number, positions, words of the items that it is for (None: ``SPAN`` or more)
+
+
+def masks(short: list[int]) -> list[Mask]:
+    """The fixed masks and those for items of ``short`` words (below ``SPAN``); leaving out either end is the same mask."""
+    out: list[Mask] = [(m, mask, None) for m, mask in enumerate(MASKS)]
     for n in short:
-        left_out = [None] if n < 5 else range(n)
-        out += [(10 * n + (k or 0), n, tuple(j for j in range(n) if j != k)) for k in left_out]
+        left_out = [n] if n < 5 else range(1, n)
+        out += [(10 * n + k % n, tuple(j for j in range(n) if j < n - (k == n - 1) and j != k), n) for k in left_out]
     return out
 
 
-def seeds(words: Words, masks: list[tuple[int, int, tuple[int, ...]]], whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place (index among all words) of every seed that lies within one text; of ``whole`` texts, short masks look only at texts of their length."""
+def seeds(words: Words, masks: list[Mask], whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place (index among all words) of every seed that lies within one text; of ``whole`` texts, masks look only at those that they are for."""
     h, n = words.hashes(), np.diff(words.bounds)
     owner = np.repeat(np.arange(len(words)), n)
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for number, span, mask in masks:
+    for number, mask, length in masks:
+        span = mask[-1] + 1
         if len(h) < span:
             continue
         at = np.flatnonzero(owner[: len(h) - span + 1] == owner[span - 1 :])
-        if whole and span < SPAN:
-            at = at[n[owner[at]] == span]
+        if whole:
+            at = at[n[owner[at]] >= SPAN if length is None else n[owner[at]] == length]
         total = np.full(len(at), number + 1, dtype=np.uint64)
         for k in mask:
             total = (total + h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,7 +85,7 @@ def _test_seeds(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("test", "test_words"), each.select(F.col("s.hash").alias("hash"), "test", F.col("s.at").alias("test_at"))
 
 
-def _stretches(table: np.ndarray, looked_at: list[tuple[int, int, tuple[int, ...]]]):
+def _stretches(table: np.ndarray, looked_at: list[Mask]):
     """A function of batches ``(..., text)`` that appends the stretches of text whose seeds are in the bit table."""
 
     size = int(len(table) * 8).bit_length() - 1
