@@ -545,6 +545,36 @@ def test_quality_accuracy_and_kept_columns(spark):
     assert out[out.quality == 1].kept.mean() > 0.97
 
 
+def test_views_exchange_the_surest_rows_of_the_whole_table(spark):
+    """Pseudo-labels of each round against the margins of every unlabelled row, worked out here."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("doc_id % 3 = 0")
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality IN (0, 1)")
+    surest = quality._Surest(docs.select("doc_id", "lang", "source", "n_chars", "text"), known.select("doc_id"))
+    rows = docs.join(known, "doc_id", "left_anti").orderBy("doc_id").toPandas()
+    taken, rounds = [set(), set()], 0
+
+    def checked(model, view, share):
+        nonlocal rounds
+        got = surest(model, view, share)
+        pages = list(quality.views(pa.array(rows.text.tolist())))
+        z = np.concatenate([model.margins(b, o, f, rows.lang.tolist(), rows.source.tolist(), rows.n_chars.tolist()) for b, o, f in pages])[:, 1 - view]
+        left = sorted((math.floor(max(-32.0, min(32.0, v)) * 64), int(i)) for v, i in zip(z, rows.doc_id, strict=True) if i not in taken[view])
+        bad, good = left[math.ceil(0.05 * (1 - share) * len(left)) - 1][0], left[-math.ceil(0.05 * share * len(left))][0]
+        want = [{i for s, i in left if s <= bad and s < 0}, {i for s, i in left if s >= good and s >= 0}]
+        most = [int(quality.PSEUDO * (1 - share)) + 1, int(quality.PSEUDO * share) + 1]
+        for label in (0, 1):
+            own = [i for i, q in zip(got["doc_id"], got["quality"], strict=True) if q == label]
+            assert set(own) <= want[label] and len(own) == len(set(own)) == min(most[label], len(want[label]))
+        assert len(got["trigrams"]) == len(got["layout"]) == len(got["doc_id"])
+        taken[view].update(got["doc_id"])
+        rounds += 1
+        return got
+
+    assert len(rows) < 2000
+    quality.CoTrained(quality.sampled(docs.join(known, "doc_id").select("doc_id", "lang", "source", "n_chars", "quality", "text"), 4000, ("doc_id", "lang", "source", "n_chars", "quality")), checked)
+    assert rounds == 2 * quality.ROUNDS and all(taken)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1), (4, 1, 0), (8, 0, 0), (8, 1, 0), (9, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality.score(edge_docs(spark), quality.fit(edge_docs(spark), labels)).collect()
