@@ -102,6 +102,21 @@ def test_versions_are_claimed_once(spark, tmp_path):
     assert sinks.versions(spark, path) == [1, 2]
 
 
+def test_a_dead_claim_is_taken_over_and_null_keys_are_upserted_once(spark, tmp_path):
+    path = str(tmp_path / "published")
+    a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "x"), (None, "y")], [(None, "z"), (3, "w")]))
+    (tmp_path / "published").mkdir()
+    (tmp_path / "published" / "claim-1").write_text("dead")
+    with pytest.raises(sinks.Conflict):
+        sinks.publish(a, path, 0)
+    assert sinks.publish(a, path, 0, now=lambda: __import__("time").time() + 7200) == 1
+    for _ in range(2):
+        sinks.publish_upsert(b, path, ["k"])
+    assert sorted(map(str, map(tuple, sinks.published(spark, path).collect()))) == ["(1, 'x')", "(3, 'w')", "(None, 'z')"]
+    assert sinks.versions(spark, path) == [1, 2, 3]
+    assert sorted(map(str, map(tuple, sinks.inserted(a, b, ["k"]).collect()))) == ["(1, 'x')", "(3, 'w')", "(None, 'y')"]
+
+
 def test_package_is_shipped_and_scratch_is_cleared(spark):
     from tidemark.sources import scratch
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import display, evaluation, event_study, features, forests, joins, learning, ledgers, refits, rules, snapshots, streams, technicals  # noqa: F401
+from . import curve, display, evaluation, event_study, features, forests, joins, learning, ledgers, refits, relevance, rules, snapshots, streams, technicals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "purged_har_walkforward"

@@ -49,3 +49,56 @@ def stream_forecast_maturation(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     rows = streams.run_all(streams.sessions(streams.event_stream(spark, sf_dir)), "complete", "sessions")
     return rows.select("user_id", _naive("began"), _naive("ended"), "n")
+
+
+_MS = "CAST(floor(epoch_us(ts) / 1000) AS BIGINT)"
+
+
+def _known_sql(rows):
+    """The stream's rows and how far its watermark comes."""
+    return f"ev AS (SELECT *, {_MS} AS ms FROM events WHERE {rows}), wm AS (SELECT max(ms) - 86400000 AS w FROM ev)"
+
+
+def _milliseconds():
+    return F.floor(F.unix_micros("ts") / 1000).cast("long")
+
+
+@query(
+    "stream_call_resolution",
+    f"""WITH {_known_sql("event_type IN ('view', 'click')")}, c AS (SELECT user_id, event_id AS call_id, ms, value AS entry, (day(ts) - 1) // 10 AS contract, CASE WHEN event_id % 3 = 0 THEN 'NEUTRAL' WHEN event_id % 3 = 1 THEN 'LONG' ELSE 'SHORT' END AS stance FROM ev WHERE event_type = 'view'),
+    q AS (SELECT user_id, ms, event_id, value AS price, (day(ts) - 1) // 10 AS contract FROM ev, wm WHERE event_type = 'click' AND ms <= w),
+    f AS (SELECT c.*, q.ms AS resolution_ms, q.price, q.contract AS current, row_number() OVER (PARTITION BY call_id ORDER BY q.ms, q.event_id) AS k FROM c JOIN q ON q.user_id = c.user_id AND q.ms >= c.ms + 604800000),
+    s AS (SELECT *, contract <> current OR entry <= 0 OR price <= 0 AS skipped FROM f WHERE k = 1), p AS (SELECT *, CASE WHEN NOT skipped THEN round((price - entry) / entry * 100, 6) END AS pct FROM s)
+    SELECT user_id, call_id, stance, contract, resolution_ms, price AS resolution_price, skipped, pct AS realized_pct, CASE WHEN pct IS NOT NULL AND stance <> 'NEUTRAL' THEN (stance = 'LONG') = (pct > 0) END AS hit FROM p""",
+)
+def stream_call_resolution(spark, sf_dir):
+    """Calls of a stream of views, resolved by the first click price 168 hours on, as far as the watermark has come."""
+    events = streams.event_stream(spark, sf_dir).where("event_type IN ('view', 'click')")
+    stance = F.when(F.col("event_id") % 3 == 0, "NEUTRAL").when(F.col("event_id") % 3 == 1, "LONG").otherwise("SHORT")
+    kind, contract = F.when(F.col("event_type") == "click", "quote").otherwise("view"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("long")
+    rows = events.select("user_id", "ts", _milliseconds().alias("ms"), "event_id", kind.alias("kind"), F.col("value").alias("price"), contract.alias("contract"), stance.alias("stance"))
+    return streams.run_all(streams.resolving(rows), "append", "calls").select(
+        "user_id", "call_id", "stance", "contract", "resolution_ms", "resolution_price", "skipped", "realized_pct", "hit"
+    )
+
+
+@query(
+    "stream_staleness",
+    f"""WITH {_known_sql('value > 0')}, q AS (SELECT user_id, ms, lag(ms) OVER o AS before, lead(ms) OVER o AS next FROM ev WHERE value > 0 WINDOW o AS (PARTITION BY user_id ORDER BY ms, event_id)),
+    c AS (SELECT user_id, 'live' AS status, ms FROM q WHERE before IS NULL OR ms > before + {streams.FRESH_MS} UNION ALL SELECT user_id, 'stale', ms + {streams.FRESH_MS} FROM q WHERE next IS NULL OR next > ms + {streams.FRESH_MS}
+      UNION ALL SELECT user_id, 'expired', ms + {streams.OLDEST_MS} FROM q WHERE next IS NULL OR next > ms + {streams.OLDEST_MS}) SELECT user_id, status, ms FROM c, wm WHERE ms <= w""",
+)
+def stream_staleness(spark, sf_dir):
+    """When each user's feed went live, stale and expired, as far as the watermark has come."""
+    rows = streams.event_stream(spark, sf_dir).where("value > 0").select("user_id", "ts", _milliseconds().alias("ms"), "event_id")
+    return streams.run_all(streams.staleness(rows), "append", "feeds").select("user_id", "status", "ms")
+
+
+@query(
+    "stream_request_rate",
+    """WITH w AS (SELECT user_id, unnest(generate_series(0, 3)) AS k, ts FROM events) SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts) + to_minutes(CAST(15 * (k + 1) AS INTEGER)) AS until, count(*) AS n FROM w GROUP BY 1, 2""",
+)
+def stream_request_rate(spark, sf_dir):
+    """Requests of each user by sliding hours."""
+    rows = streams.run_all(streams.rates(streams.event_stream(spark, sf_dir)), "complete", "rates")
+    return rows.select("user_id", _naive("until"), "n")

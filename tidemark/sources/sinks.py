@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +30,21 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
     return True
 
 
+def _without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys ``other`` doesn't have; null keys are equal to each other."""
+    known = other.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys))).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    return rows.join(known, same, "left_anti")
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` and those of ``old`` whose keys it doesn't have."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """Rows of ``new`` and those of ``old`` whose keys it doesn't have; null keys are equal to each other."""
+    return _without(old, new, keys).unionByName(new)
 
 
 def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` and the rows of ``new`` whose keys it doesn't have."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+    """``old`` and the rows of ``new`` whose keys it doesn't have; null keys are equal to each other."""
+    return old.unionByName(_without(new, old, keys))
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -57,23 +68,56 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def published(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest version under ``path``, or None."""
     known = versions(spark, path)
-    return spark.read.parquet(f"{path}/version-{known[-1]}") if known else None
+    if not known:
+        return None
+    owner = spark.read.text(f"{path}/done-{known[-1]}").first()[0]
+    return spark.read.parquet(f"{path}/version-{known[-1]}-{owner}")
+
 
+CLAIM_AGE = 3600.0  # seconds after which a claim without a result is dead
 
-def publish(df: DataFrame, path: str, after: int) -> int:
-    """Write ``df`` as the version that follows ``after`` (0 for the first); ``Conflict`` if another writer has claimed it.
 
-    A claim is a file that only one writer can create; readers see a version once its second file is there.
+def _claimed(files, claim, owner: str, age: float, now) -> bool:
+    """Whether ``owner`` holds ``claim``: created by it just now, or taken over from a writer that has been silent for ``age``.
+
+    A takeover renames the dead claim away, which only one writer can do, and creates it anew.
     """
-    spark, version = df.sparkSession, after + 1
+    try:
+        out = files.create(claim, False)
+    except Exception:
+        if not files.exists(claim):
+            raise
+        if now() - files.getFileStatus(claim).getModificationTime() / 1000 < age:
+            return False
+        if not files.rename(claim, claim.suffix(f".{owner}.dead")):
+            return False
+        return _claimed(files, claim, owner, age, now)
+    out.write(bytearray(owner.encode()))
+    out.close()
+    return True
+
+
+def publish(df: DataFrame, path: str, after: int, age: float = CLAIM_AGE, now: Callable[[], float] = time.time) -> int:
+    """Write ``df`` as the version that follows ``after`` (0 for the first); ``Conflict`` if another writer has published or is writing it.
+
+    A claim is a file that only one writer can create; one older than ``age`` seconds without a result is taken over. Each writer writes to a
+    folder of its own and the version's second file, which again only one can create, says whose counts, so a writer thought dead can't harm it.
+    """
+    spark, version, owner = df.sparkSession, after + 1, uuid.uuid4().hex
     at = spark._jvm.org.apache.hadoop.fs.Path
     files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = at(f"{path}/done-{version}")
+    if files.exists(done) or not _claimed(files, at(f"{path}/claim-{version}"), owner, age, now):
+        raise Conflict(f"version {version} of {path} is taken")
+    df.write.parquet(f"{path}/version-{version}-{owner}")
     try:
-        files.create(at(f"{path}/claim-{version}"), False).close()
+        out = files.create(done, False)
     except Exception as error:
-        raise Conflict(f"version {version} of {path} is taken") from error
-    df.write.mode("overwrite").parquet(f"{path}/version-{version}")
-    files.create(at(f"{path}/done-{version}"), False).close()
+        if not files.exists(done):
+            raise
+        raise Conflict(f"version {version} of {path} was taken over") from error
+    out.write(bytearray(owner.encode()))
+    out.close()
     return version
 
 

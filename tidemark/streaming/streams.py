@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,3 +93,94 @@ def sessions(events: DataFrame) -> DataFrame:
     """Sessions of each user, ended by six quiet hours."""
     rows = events.withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", "6 hours"))
     return rows.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("began"), F.col("session_window.end").alias("ended"), "n")
+
+
+def in_order(step, schema: str, kept: str, row: tuple[str, ...]):
+    """A grouped state function that gives ``step`` the rows of a key in order of time, each once the watermark has passed it.
+
+    Rows wait in the state until then, and a timer on the earliest wakes the key even if nothing more arrives. ``step(key, past, rows, now)``
+    gets its own state ``past`` (None at first), the rows due as tuples of ``row`` (time first, in milliseconds) and the watermark; it returns
+    ``(past, out, wake)``: rows of ``schema`` and a time to be woken at, or None. ``kept`` is the names of the output's columns, comma-joined.
+    """
+    names = kept.split(",")
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, past = json.loads(state.get[0]) if state.exists else ([], None)
+        now = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += [list(r) for r in rows[list(row)].itertuples(index=False, name=None)]
+        waiting.sort()
+        due = [tuple(r) for r in waiting if r[0] <= now]
+        waiting = waiting[len(due) :]
+        past, out, wake = step(key, past, due, now)
+        state.update((json.dumps([waiting, past]),))
+        times = [t for t in (waiting[0][0] if waiting else None, wake) if t is not None]
+        if times:
+            state.setTimeoutTimestamp(max(now + 1, min(times)))
+        yield pd.DataFrame(out, columns=names)
+
+    return lambda grouped: grouped.applyInPandasWithState(fold, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+HOLD_MS = 168 * 3600 * 1000
+CALLS = "user_id long, call_id long, stance string, contract long, resolution_ms long, resolution_price double, skipped boolean, realized_pct double, hit boolean"
+
+
+def _resolve(key, past, rows, now):
+    """Calls are open until the first quote 168 hours on; another contract by then skips them, a SHORT is right at no change too."""
+    open_, out = past or [], []
+    for at, event_id, kind, price, contract, stance in rows:
+        if kind == "quote":
+            ripe, open_ = [c for c in open_ if c[0] + HOLD_MS <= at], [c for c in open_ if c[0] + HOLD_MS > at]
+            for _, call_id, entry, own, side in ripe:
+                skipped = own != contract or entry <= 0 or price <= 0
+                pct = None if skipped else round((price - entry) / entry * 100, 6)
+                out.append((key[0], call_id, side, own, at, price, skipped, pct, None if pct is None or side == "NEUTRAL" else (side == "LONG") == (pct > 0)))
+        else:
+            open_.append([at, event_id, price, contract, stance])
+    return open_, out, None
+
+
+def resolving(calls_and_quotes: DataFrame) -> DataFrame:
+    """Resolved calls of a stream ``user_id, ts, ms, event_id, kind, price, contract, stance``."""
+    grouped = calls_and_quotes.withWatermark("ts", "1 day").groupBy("user_id")
+    return in_order(_resolve, CALLS, "user_id,call_id,stance,contract,resolution_ms,resolution_price,skipped,realized_pct,hit", ("ms", "event_id", "kind", "price", "contract", "stance"))(grouped)
+
+
+FRESH_MS, OLDEST_MS = 25 * 60 * 1000, 3 * 3600 * 1000
+FEEDS = "user_id long, status string, ms long"
+
+
+def _feed(key, past, rows, now):
+    """A feed is live with a quote, stale 25 minutes after its last one and expired after three hours; changes only."""
+    last, status = past or [None, None]
+    out = []
+
+    def silent_until(at):
+        nonlocal status
+        for after, new, old in ((FRESH_MS, "stale", "live"), (OLDEST_MS, "expired", "stale")):
+            if last is not None and status == old and last + after < at:
+                status = new
+                out.append((key[0], new, last + after))
+
+    for at, *_ in rows:
+        silent_until(at)
+        if status != "live":
+            out.append((key[0], "live", at))
+        last, status = at, "live"
+    silent_until(now + 1)
+    wake = None if last is None or status == "expired" else last + (FRESH_MS if status == "live" else OLDEST_MS)
+    return [last, status], out, wake
+
+
+def staleness(quotes: DataFrame) -> DataFrame:
+    """Changes of each feed's status in a stream ``user_id, ts, ms, event_id``, those for want of quotes told by timers."""
+    grouped = quotes.withWatermark("ts", "1 day").groupBy("user_id")
+    return in_order(_feed, FEEDS, "user_id,status,ms", ("ms", "event_id"))(grouped)
+
+
+def rates(events: DataFrame) -> DataFrame:
+    """Requests of each user in the last hour, by sliding windows of a quarter of one."""
+    rows = events.withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 hour", "15 minutes"))
+    return rows.agg(F.count("*").alias("n")).select("user_id", F.col("window.end").alias("until"), "n")
