@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import linear as L
+from tidemark.functions import series as S
 from tidemark.operators import trees as T
-from tidemark.plans import catalogue, evaluation, forests, rules
+from tidemark.plans import catalogue, evaluation, forests, learning, rules
 
 BY = ["tree"]
 
@@ -69,7 +70,7 @@ def test_random_cuts_and_masks(spark):
     sets, asked = {1: examples(5, 100), 2: examples(6, 100)}, [[a, b, 2] for a in range(5) for b in range(5)]
     only = lambda node, f: (node * 3 + f * 5) % 4
     rows = frame(spark, sets, asked).withColumn("chosen", F.array(F.lit(0), F.lit(2)))
-    got = T.with_leaf_means(T.grown(rows, BY, 3, 5, (F.col("node") * 3 + F.col("feature") * 5) % 4, F.array_contains("chosen", F.col("feature"))), BY).where("w = 0").collect()
+    got = T.with_leaf_means(T.grown(rows, BY, 3, 5, (F.col("node") * 3 + F.col("feature") * 5) % 4, "chosen"), BY).where("w = 0").collect()
     for r in got:
         assert r["mean"] == mean(plain_leaf(sets[r.tree], asked[r.i - 1000], 3, 5, (0, 2), 1, only))
 
@@ -102,7 +103,7 @@ def test_bins_come_from_training_rows(spark):
     rng = random.Random(3)
     values = [rng.randrange(20) for _ in range(50)]
     rows = spark.createDataFrame([(1, k, 1, v) for k, v in enumerate(values)] + [(1, 100 + k, 0, v) for k, v in enumerate((-5, 7, 500))], "s long, i long, w long, v long")
-    got = {r.i: r.x[0] for r in T.with_bins(rows, ["s"], ["v"], 8).collect()}
+    got = {r.i: r.x[0] for r in T.with_bins(rows.withColumn("v", F.array("v")), ["s"], "v", 8).collect()}
     bounds = [sorted(values)[k * 50 // 8 - 1] for k in range(1, 8)]
     assert all(got[i] == sum(v > b for b in bounds) for i, v in [*enumerate(values), (100, -5), (101, 7), (102, 500)])
 
@@ -139,7 +140,7 @@ def test_later_prices_do_not_reach_earlier_rows(spark, sf_dir, tmp_path, name):
 
 def test_members_are_trained_on_the_window_before_each_decision(spark, sf_dir):
     got = catalogue.QUERIES["walkforward_trees"](spark, sf_dir).collect()
-    n = {r.series_id: r.n for r in forests.learning_rows(spark, sf_dir).groupBy("series_id").agg(F.max("i").alias("n")).collect()}
+    n = {r.series_id: r.n for r in learning.matrix(spark, sf_dir).withColumn("i", F.row_number().over(S.ordered())).groupBy("series_id").agg(F.max("i").alias("n")).collect()}
     assert len(got) == sum(len(range(1 + -(-evaluation.MIN_TRAIN // forests.STEP) * forests.STEP, k + 1, forests.STEP)) for k in n.values())
     assert all(r.n_train <= forests.WINDOW and len(r.chosen.split(",")) == 4 for r in got)
     for r in got:

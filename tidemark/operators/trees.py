@@ -30,9 +30,9 @@ def training_sets(rows: DataFrame, first: int, step: int, lag: int, window: int
     return trains.unionByName(decides).drop("last")
 
 
-def with_bins(rows: DataFrame, by: list[str], features: list[str], bins: int) -> DataFrame:
-    """``rows`` with ``x``, an array of each feature's bin among the training rows (``w`` above 0) of its set: bounds are their values at equal ranks."""
-    cells = rows.select(*by, "i", "w", F.posexplode(F.array(*features)).alias("feature", "v"))
+def with_bins(rows: DataFrame, by: list[str], features: str, bins: int) -> DataFrame:
+    """``rows`` with ``x``, an array of the bin of each value in the array ``features`` among the training rows (``w`` above 0) of its set: bounds are their values at equal ranks."""
+    cells = rows.select(*by, "i", "w", F.posexplode(features).alias("feature", "v"))
     own = [*by, "feature"]
     trained = cells.where("w > 0").withColumns({"rank": F.row_number().over(Window.partitionBy(*own).orderBy("v", "i")), "n": F.count("*").over(Window.partitionBy(*own))})
     bounds = trained.groupBy(*own).agg(F.array(*(F.max(F.when(F.col("rank") == F.expr(f"{k} * n div {bins}"), F.col("v"))) for k in range(1, bins))).alias("bounds"))
@@ -41,14 +41,14 @@ def with_bins(rows: DataFrame, by: list[str], features: list[str], bins: int) ->
     return rows.join(x, [*by, "i"])
 
 
-def splits(rows: DataFrame, by: list[str], least: int, only: Column | None = None, chosen: Column | None = None) -> DataFrame:
+def splits(rows: DataFrame, by: list[str], least: int, only: Column | None = None, chosen: str | None = None) -> DataFrame:
     """The best split ``(feature, bin)`` of each node that has one with ``least`` weight on either side: rows with a bin up to it go left.
 
-    ``only``, of ``by``, ``node`` and ``feature``, is the one bin that may be tried, or null for all; ``chosen`` tells of each feature whether it may be.
+    ``only``, of ``by``, ``node`` and ``feature``, is the one bin that may be tried, or null for all; ``chosen`` names an array of the features that may be.
     """
-    cells = rows.where("w > 0").select(*by, "node", "w", (F.col("w") * F.col("y")).alias("wy"), *(["chosen"] if chosen is not None else []), F.posexplode("x").alias("feature", "bin"))
-    if chosen is not None:
-        cells = cells.where(chosen)
+    may = F.col(chosen) if chosen else F.sequence(F.lit(0), F.size("x") - 1)
+    cells = rows.where("w > 0").select(*by, "node", "w", (F.col("w") * F.col("y")).alias("wy"), "x", F.explode(may).alias("feature"))
+    cells = cells.select(*by, "node", "w", "wy", "feature", F.get("x", F.col("feature")).alias("bin"))
     own = [*by, "node", "feature"]
     cells = cells.groupBy(*own, "bin").agg(F.sum("w").alias("n"), F.sum("wy").alias("t"))
     whole, order = Window.partitionBy(*own), Window.partitionBy(*own).orderBy("bin")
@@ -64,7 +64,7 @@ def splits(rows: DataFrame, by: list[str], least: int, only: Column | None = Non
     return cells.groupBy(*by, "node").agg(best.alias("split"))
 
 
-def grown(rows: DataFrame, by: list[str], depth: int, least: int, only: Column | None = None, chosen: Column | None = None) -> DataFrame:
+def grown(rows: DataFrame, by: list[str], depth: int, least: int, only: Column | None = None, chosen: str | None = None) -> DataFrame:
     """``rows`` in the leaves of their trees, told by ``node``: the root is 1, a node's children are twice it and one more."""
     rows = rows.withColumn("node", F.lit(1).cast("long"))
     for level in range(depth):
@@ -83,7 +83,7 @@ def with_leaf_means(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(leaves, [*by, "node"])
 
 
-def boosted(rows: DataFrame, by: list[str], rounds: int, rate: float, depth: int, least: int, chosen: Column | None = None) -> DataFrame:
+def boosted(rows: DataFrame, by: list[str], rounds: int, rate: float, depth: int, least: int, chosen: str | None = None) -> DataFrame:
     """``*by, i, fit`` of the rows of weight 0: the mean of the training targets and ``rounds`` trees on what is left, each taken at ``rate``.
 
     What a round explains is rounded to an integer and taken off all targets, those of the rows to forecast beginning at 0.

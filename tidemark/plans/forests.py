@@ -21,27 +21,29 @@ ROUNDS, RATE, SHALLOW = 4, 0.3, 2  # of boosting
 UNIT = 10**6  # of targets and features as integers
 MEMBERS = ("random_forest", "extra_trees", "boosted_trees", "ridge")
 
-_INTS = [f"{f}_int" for f in FEATURES]
 KEYS = ["series_id", "s"]
 
 
-def _int(c: str):
-    return F.round(F.col(c) * UNIT).cast("long")
+def learning_rows(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``series_id, d, i, y, v`` of a matrix: each row's place, its target and its features as integers."""
+    rows = rows.withColumn("i", F.row_number().over(S.ordered()).cast("long"))
+    whole = lambda c: F.round(F.col(c) * UNIT).cast("long")
+    return rows.select("series_id", "d", "i", whole("target").alias("y"), F.array(*(whole(f) for f in features)).alias("v"))
 
 
-def learning_rows(spark, sf_dir) -> DataFrame:
-    """The matrix in integers, with each row's place ``i``."""
-    rows = matrix(spark, sf_dir).withColumn("i", F.row_number().over(S.ordered()).cast("long"))
-    return rows.withColumns({f"{f}_int": _int(f) for f in FEATURES} | {"y": _int("target")})
+def kept_of(n: int) -> int:
+    """How many of ``n`` features are selected: a share of them, 24 at most, and one at least is left out."""
+    wanted = min(24, max(6, round(0.65 * n)))
+    return wanted if wanted < n else n - 1
 
 
-def relevance(rows: DataFrame) -> DataFrame:
-    """``*KEYS, chosen``: of each training set, which features are selected by their relevance in that set alone.
+def relevance(sets: DataFrame, n_features: int) -> DataFrame:
+    """``*KEYS, feature, score, place`` in each training set of ``sets(*KEYS, i, w, y, v, x)``, by its training rows alone.
 
-    Linear (F score) and binned mutual information, each by the largest of the set, averaged; ties go to the earlier feature.
+    Linear (F score) and binned mutual information with the sign of the target, each by the largest of the set, averaged; ties go to the earlier feature.
     """
-    own, k = [*KEYS, "feature"], len(FEATURES)
-    cells = rows.where("w > 0").select(*KEYS, "y", F.posexplode(F.arrays_zip("x", F.array(*_INTS).alias("v"))).alias("feature", "c")).select(*own, "y", F.col("c.x").alias("bin"), F.col("c.v").alias("v"))
+    own = [*KEYS, "feature"]
+    cells = sets.where("w > 0").select(*KEYS, "y", F.posexplode(F.arrays_zip("x", "v")).alias("feature", "c")).select(*own, "y", F.col("c.x").alias("bin"), F.col("c.v").alias("v"))
     v, y = F.col("v").cast("double") / UNIT, F.col("y").cast("double") / UNIT
     n = F.count("*")
     rho = F.try_divide(F.covar_samp(v, y), F.stddev_samp(v) * F.stddev_samp(y))
@@ -56,47 +58,51 @@ def relevance(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*KEYS)
     share = lambda x: F.coalesce(F.try_divide(F.col(x), F.max(x).over(whole)), F.lit(0.0))
     scored = linear.join(shared, own).withColumn("score", F.round((share("f_score") + share("mi")) / 2, 9))
-    kept = min(24, max(6, round(0.65 * k)))
-    kept = kept if kept < k else k - 1
-    scored = scored.withColumn("place", F.row_number().over(whole.orderBy(F.desc("score"), "feature")))
-    return scored.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.when(F.col("place") <= kept, F.col("feature")))).alias("chosen"))
+    return scored.withColumn("place", F.row_number().over(whole.orderBy(F.desc("score"), "feature")))
 
 
-def _member_trees(rows: DataFrame) -> DataFrame:
+def prepared(sets: DataFrame, n_features: int) -> DataFrame:
+    """``sets(*KEYS, i, w, y, v)`` with bins and ``chosen``, the features selected in each set, the best first."""
+    binned = written(T.with_bins(sets, KEYS, "v", BINS), "sets")
+    best = relevance(binned, n_features).where(F.col("place") <= kept_of(n_features)).groupBy(*KEYS)
+    best = best.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "feature"))), lambda p: p["feature"]).alias("chosen"))
+    return written(binned.join(best, KEYS), "sets")
+
+
+def _member_trees(sets: DataFrame) -> DataFrame:
     """A bootstrap of each training set for each tree of the forest, the whole set for each tree with random cuts; weights from the places alone."""
-    each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * TREES - 1).cast("long"))))
+    each = sets.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * TREES - 1).cast("long"))))
     i, t = F.col("i"), F.col("tree")
     u = (i * 7919 + t * 104729 + (i % 97) * t * 31337) % 1000
     drawn = F.when(u < 368, 0).when(u < 736, 1).when(u < 920, 2).when(u < 981, 3).otherwise(4)  # Poisson with mean 1
-    return each.withColumn("w", F.when((F.col("w") > 0) & (t < TREES), drawn).otherwise(F.col("w")).cast("long")).where((F.col("w") > 0) | (F.col("i") == F.col("s")))
+    sampled = (F.col("w") > 0) & (t < TREES)
+    return each.where(~(sampled & (u < 368))).withColumn("w", F.when(sampled, drawn).otherwise(F.col("w")).cast("long"))
 
 
 def _only_bin():
-    cut = (F.col("s") * 7919 + F.col("tree") * 104729 + F.col("node") * 1299709 + F.col("feature") * 15485863) % (BINS - 1)
+    cut = (F.col("s") * 7919 + F.col("tree") * 104729 + F.col("node") * 1299709 + F.col("feature").cast("long") * 15485863) % (BINS - 1)
     return F.when(F.col("tree") >= TREES, cut)
 
 
-def tree_fits(spark, sf_dir) -> DataFrame:
-    """``series_id, i`` of each decision row with the forecasts of the three kinds of trees."""
-    rows = learning_rows(spark, sf_dir).select("series_id", "i", "y", *_INTS)
-    sets = T.training_sets(rows, MIN_TRAIN, STEP, STEPS, WINDOW)
-    sets = written(T.with_bins(sets, KEYS, _INTS, BINS), "sets")
-    sets = written(sets.join(relevance(sets), KEYS).select(*KEYS, "i", "y", "w", "x", "chosen"), "sets")
-    may = F.array_contains("chosen", F.col("feature"))
-    by = [*KEYS, "tree"]
-    grown = T.with_leaf_means(written(T.grown(written(_member_trees(sets), "forest"), by, DEPTH, LEAST, _only_bin(), may), "forest"), by).where("w = 0")
-    forest = grown.groupBy("series_id", "i").agg(*(F.avg(F.when(cond, F.col("mean"))).alias(m) for m, cond in ((MEMBERS[0], F.col("tree") < TREES), (MEMBERS[1], F.col("tree") >= TREES))), F.array_join(F.first("chosen"), ",").alias("chosen"))
-    boosted = T.boosted(sets, KEYS, ROUNDS, RATE, SHALLOW, LEAST, may).select("series_id", "i", F.col("fit").alias(MEMBERS[2]))
-    found = forest.join(boosted, ["series_id", "i"])
-    return found.select("series_id", "i", "chosen", *((F.col(m) / UNIT).alias(m) for m in MEMBERS[:3]))
+def tree_fits(sets: DataFrame) -> DataFrame:
+    """``*KEYS, i`` of the rows of weight 0 of ``prepared`` sets, with the forecasts of the three kinds of trees."""
+    by, sets = [*KEYS, "tree"], sets.select(*KEYS, "i", "y", "w", "x", "chosen")
+    grown = T.with_leaf_means(written(T.grown(written(_member_trees(sets), "forest"), by, DEPTH, LEAST, _only_bin(), "chosen"), "forest"), by).where("w = 0")
+    forest = grown.groupBy(*KEYS, "i").agg(*(F.avg(F.when(cond, F.col("mean"))).alias(m) for m, cond in ((MEMBERS[0], F.col("tree") < TREES), (MEMBERS[1], F.col("tree") >= TREES))))
+    boosted = T.boosted(sets, KEYS, ROUNDS, RATE, SHALLOW, LEAST, "chosen").select(*KEYS, "i", F.col("fit").alias(MEMBERS[2]))
+    return forest.join(boosted, [*KEYS, "i"]).select(*KEYS, "i", *((F.col(m) / UNIT).alias(m) for m in MEMBERS[:3]))
 
 
 def ensemble_fits(spark, sf_dir) -> DataFrame:
     """Decision rows with the members' forecasts and the ensemble's, weighted by each member's skill in earlier decision rows, all of them matured."""
-    rows = learning_rows(spark, sf_dir).withColumns({f"{f}_c": L.centred(f) for f in FEATURES})
+    table = matrix(spark, sf_dir)
+    sets = prepared(T.training_sets(learning_rows(table, FEATURES).drop("d"), MIN_TRAIN, STEP, STEPS, WINDOW), len(FEATURES))
+    chosen = F.array_join(F.sort_array("chosen"), ",").alias("chosen")
+    trees = tree_fits(sets).join(sets.where("w = 0").select(*KEYS, "i", chosen), [*KEYS, "i"]).drop("s")
+    rows = table.withColumn("i", F.row_number().over(S.ordered()).cast("long")).withColumns({f"{f}_c": L.centred(f) for f in FEATURES})
     x, y = [F.lit(1.0), *(F.col(f"{f}_c") for f in FEATURES)], F.col("target")
     fits = rows.withColumns(L.known_sums(rows, L.normal_terms(x, y), STEPS, WINDOW)).where((F.col("i") > MIN_TRAIN) & ((F.col("i") - 1) % STEP == 0))
-    fits = L.solved(fits, len(x), RIDGE).withColumn("ridge", L.applied(x)).join(tree_fits(spark, sf_dir), ["series_id", "i"])
+    fits = L.solved(fits, len(x), RIDGE).withColumn("ridge", L.applied(x)).join(trees, ["series_id", "i"])
     seen = S.ordered().rowsBetween(Window.unboundedPreceding, -(-(-STEPS // STEP)))
     spread = F.var_pop("target").over(seen)
     for m in MEMBERS:
@@ -109,7 +115,7 @@ def ensemble_fits(spark, sf_dir) -> DataFrame:
     return fits.withColumns({"ensemble": mean, "n_train": F.col("n").cast("long")})
 
 
-def _grow_sql(name: str, source: str, depth: int, key: str, only: str | None) -> str:
+def _grow_sql(name: str, source: str, depth: int, key: str, only: str | None, n_features: int) -> str:
     """The levels of the trees of ``source``; the last is ``name``."""
     steps, rows = [], f"(SELECT *, CAST(1 AS BIGINT) AS node FROM {source})"
     for level in range(depth):
@@ -117,7 +123,7 @@ def _grow_sql(name: str, source: str, depth: int, key: str, only: str | None) ->
         tried = "true" if only is None else f"({only} IS NULL OR (bin <= {only} AND (nxt IS NULL OR nxt > {only})))"
         own = f"{key}, node, feature"
         steps += [
-            f"{c} AS (SELECT {own}, bin, sum(w) AS n, sum(w * y) AS t FROM (SELECT {key}, node, w, y, chosen, unnest(range({len(FEATURES)})) AS feature, unnest(x) AS bin FROM {rows} WHERE w > 0) WHERE list_contains(chosen, feature) GROUP BY {own}, bin)",
+            f"{c} AS (SELECT {own}, bin, sum(w) AS n, sum(w * y) AS t FROM (SELECT {key}, node, w, y, chosen, unnest(range({n_features})) AS feature, unnest(x) AS bin FROM {rows} WHERE w > 0) WHERE list_contains(chosen, feature) GROUP BY {own}, bin)",
             f"{k} AS (SELECT *, sum(n) OVER o AS nl, sum(t) OVER o AS tl, sum(n) OVER q AS an, sum(t) OVER q AS total, lead(bin) OVER q2 AS nxt FROM {c} WINDOW o AS (PARTITION BY {own} ORDER BY bin ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY {own}), q2 AS (PARTITION BY {own} ORDER BY bin))",
             f"{b} AS (SELECT {key}, node, arg_max(row(feature, bin), row(CAST(tl AS DOUBLE) * CAST(tl AS DOUBLE) / CAST(nl AS DOUBLE) + CAST(total - tl AS DOUBLE) * CAST(total - tl AS DOUBLE) / CAST(an - nl AS DOUBLE), -feature, -bin)) AS split FROM {k} WHERE nl >= {LEAST} AND an - nl >= {LEAST} AND {tried} GROUP BY {key}, node)",
             f"{out} AS MATERIALIZED (SELECT r.* REPLACE (CASE WHEN split IS NULL THEN r.node ELSE 2 * r.node + CAST(r.x[split[1] + 1] > split[2] AS BIGINT) END AS node) FROM {rows} r LEFT JOIN {b} USING ({key}, node))",
@@ -127,17 +133,19 @@ def _grow_sql(name: str, source: str, depth: int, key: str, only: str | None) ->
     return ", ".join(steps)
 
 
-def _trees_sql() -> str:
-    key, n_features = "series_id, s", len(FEATURES)
-    kept = min(24, max(6, round(0.65 * n_features)))
-    kept = kept if kept < n_features else n_features - 1
-    ints = ", ".join(f"CAST(round({f} * {UNIT}) AS BIGINT)" for f in FEATURES)
-    u = "(i * 7919 + tree * 104729 + (i % 97) * tree * 31337) % 1000"
-    only = f"(CASE WHEN tree >= {TREES} THEN (s * 7919 + tree * 104729 + node * 1299709 + feature * 15485863) % {BINS - 1} END)"
-    parts = [
+def _walk_sets_sql(features) -> list[str]:
+    ints = ", ".join(f"CAST(round({f} * {UNIT}) AS BIGINT)" for f in features)
+    return [
         f"lr0 AS MATERIALIZED (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY d) AS i, CAST(round(target * {UNIT}) AS BIGINT) AS y, [{ints}] AS v FROM mx)",
         f"ts AS (SELECT series_id, i, y, v, s, 1 AS w FROM (SELECT *, unnest(generate_series(CAST(ceil((greatest(i + {STEPS}, {MIN_TRAIN + 1}) - 1) / {STEP}) AS BIGINT) * {STEP} + 1, least(last, i + {STEPS + WINDOW - 1}), {STEP})) AS s FROM (SELECT *, max(i) OVER (PARTITION BY series_id) AS last FROM lr0)) "
         f"UNION ALL SELECT series_id, i, y, v, i, 0 FROM lr0 WHERE i > {MIN_TRAIN} AND (i - 1) % {STEP} = 0)",
+    ]
+
+
+def _prepared_sql(n_features: int) -> list[str]:
+    """From the training sets ``ts`` to ``st``, with bins and selected features."""
+    key = "series_id, s"
+    return [
         f"cl AS MATERIALIZED (SELECT {key}, i, w, y, unnest(range({n_features})) AS feature, unnest(v) AS v FROM ts)",
         f"rk AS (SELECT *, row_number() OVER (PARTITION BY {key}, feature ORDER BY v, i) AS rank, count(*) OVER (PARTITION BY {key}, feature) AS n FROM cl WHERE w > 0)",
         f"bd AS (SELECT {key}, feature, [{', '.join(f'max(v) FILTER (WHERE rank = {k} * n // {BINS})' for k in range(1, BINS))}] AS bounds FROM rk GROUP BY ALL)",
@@ -148,19 +156,33 @@ def _trees_sql() -> str:
         f"mi AS (SELECT {key}, feature, greatest(0, sum(k / n * ln(k * n / (kx * ky)))) AS mi FROM mi1 GROUP BY ALL)",
         f"sc0 AS (SELECT {key}, feature, coalesce(rho * rho / nullif(1 - rho * rho, 0) * (n - 2), 0) AS f_score, mi FROM fs JOIN mi USING ({key}, feature))",
         f"sc AS (SELECT *, round((coalesce(f_score / nullif(max(f_score) OVER q, 0), 0) + coalesce(mi / nullif(max(mi) OVER q, 0), 0)) / 2, 9) AS score FROM sc0 WINDOW q AS (PARTITION BY {key}))",
-        f"ch AS (SELECT {key}, list(feature ORDER BY feature) AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, feature) AS place FROM sc) WHERE place <= {kept} GROUP BY ALL)",
-        f"st AS MATERIALIZED (SELECT b.*, chosen FROM (SELECT {key}, i, any_value(w) AS w, any_value(y) AS y, list(bin ORDER BY feature) AS x FROM bn GROUP BY {key}, i) b JOIN ch USING ({key}))",
-        f"fo AS MATERIALIZED (SELECT * FROM (SELECT * REPLACE (CASE WHEN w > 0 AND tree < {TREES} THEN CASE WHEN {u} < 368 THEN 0 WHEN {u} < 736 THEN 1 WHEN {u} < 920 THEN 2 WHEN {u} < 981 THEN 3 ELSE 4 END ELSE w END AS w) FROM st, range({2 * TREES}) t(tree)) WHERE w > 0 OR i = s)",
-        _grow_sql("fg", "fo", DEPTH, "series_id, s, tree", only),
-        f"ff AS (SELECT series_id, i, avg(mean) FILTER (WHERE tree < {TREES}) / {UNIT} AS random_forest, avg(mean) FILTER (WHERE tree >= {TREES}) / {UNIT} AS extra_trees, array_to_string(any_value(chosen), ',') AS chosen FROM fg WHERE w = 0 GROUP BY 1, 2)",
+        f"pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, feature) AS place FROM sc)",
+        f"ch AS (SELECT {key}, list(feature ORDER BY place) AS chosen FROM pl WHERE place <= {kept_of(n_features)} GROUP BY ALL)",
+        f"st AS MATERIALIZED (SELECT b.*, chosen FROM (SELECT {key}, i, any_value(w) AS w, any_value(y) AS y, list(v ORDER BY feature) AS v, list(bin ORDER BY feature) AS x FROM bn GROUP BY {key}, i) b JOIN ch USING ({key}))",
+    ]
+
+
+def _tree_fits_sql(n_features: int) -> list[str]:
+    """From ``st`` to ``tf``, the forecasts of the rows of weight 0."""
+    key = "series_id, s"
+    u = "(i * 7919 + tree * 104729 + (i % 97) * tree * 31337) % 1000"
+    only = f"(CASE WHEN tree >= {TREES} THEN (s * 7919 + tree * 104729 + node * 1299709 + feature * 15485863) % {BINS - 1} END)"
+    parts = [
+        f"fo AS MATERIALIZED (SELECT * REPLACE (CASE WHEN w > 0 AND tree < {TREES} THEN CASE WHEN {u} < 736 THEN 1 WHEN {u} < 920 THEN 2 WHEN {u} < 981 THEN 3 ELSE 4 END ELSE w END AS w) FROM st, range({2 * TREES}) t(tree) WHERE NOT (w > 0 AND tree < {TREES} AND {u} < 368))",
+        _grow_sql("fg", "fo", DEPTH, "series_id, s, tree", only, n_features),
+        f"ff AS (SELECT {key}, i, avg(mean) FILTER (WHERE tree < {TREES}) / {UNIT} AS random_forest, avg(mean) FILTER (WHERE tree >= {TREES}) / {UNIT} AS extra_trees, array_to_string(list_sort(any_value(chosen)), ',') AS chosen FROM fg WHERE w = 0 GROUP BY ALL)",
     ]
     source = "(SELECT * REPLACE (CASE WHEN w > 0 THEN y ELSE 0 END AS y) FROM st)"
     for k in range(ROUNDS + 1):
-        parts.append(_grow_sql(f"bg{k}", source, SHALLOW if k else 0, key, None))
+        parts.append(_grow_sql(f"bg{k}", source, SHALLOW if k else 0, key, None, n_features))
         parts.append(f"bo{k} AS MATERIALIZED (SELECT {key}, i, w, x, chosen, y - CAST(round({RATE if k else 1.0} * mean) AS BIGINT) AS y FROM bg{k})")
         source = f"bo{k}"
-    parts.append(f"tf AS (SELECT ff.*, -bo{ROUNDS}.y / {UNIT} AS boosted_trees FROM ff JOIN bo{ROUNDS} USING (series_id, i) WHERE bo{ROUNDS}.w = 0)")
-    return ", ".join(parts)
+    parts.append(f"tf AS (SELECT ff.*, -bo{ROUNDS}.y / {UNIT} AS boosted_trees FROM ff JOIN bo{ROUNDS} USING ({key}, i) WHERE bo{ROUNDS}.w = 0)")
+    return parts
+
+
+def _trees_sql() -> str:
+    return ", ".join([*_walk_sets_sql(FEATURES), *_prepared_sql(len(FEATURES)), *_tree_fits_sql(len(FEATURES))])
 
 
 _X = ["1.0", *(f"{f}_c" for f in FEATURES)]
