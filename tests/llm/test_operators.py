@@ -264,14 +264,40 @@ def test_no_move_without_need():
     assert sum(g != b[0] for g, b in zip(grown, blocks, strict=True)) == 8 and collections.Counter(grown) == dict.fromkeys(range(5), 8)
 
 
-def test_reshard_edges_and_rewrite(spark, tmp_path):
-    out = stored(reshard.reshard(reshard.by_source(edge_docs(spark)), 3), "out")
+def test_no_fewer_bytes_could_move():
+    """Blocks of one size over random layouts: what moves is what old shards hold beyond their capacities, and no more."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n, olds = int(rng.integers(2, 6)), int(rng.integers(2, 7))
+        blocks = [(int(rng.integers(0, olds)), k, 10) for k in range(n * int(rng.integers(2, 12)))]
+        capacity = len(blocks) * 10 // n
+        held = collections.Counter(b[0] for b in blocks)
+        target = reshard.place_blocks(blocks, [capacity] * n)
+        assert set(collections.Counter(target).values()) == {capacity // 10}
+        assert sum(t != b[0] for t, b in zip(target, blocks, strict=True)) == sum(max(0, h - (capacity // 10 if o < n else 0)) for o, h in held.items())
+
+
+def test_one_old_shard_with_all_rows_is_dealt_evenly(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(100).alias("size"), F.lit(3).alias("old_shard"))
+    load = collections.Counter(r.shard for r in reshard.reshard(rows, 40).collect())
+    assert len(load) == 40 and max(load.values()) <= 1.02 * 1000 and min(load.values()) >= 0.97 * 1000
+
+
+def test_reshard_edges_and_rewritten_files(spark, tmp_path):
+    out = reshard.reshard(reshard.by_source(edge_docs(spark)), 3)
     assert out.count() == len(edge_rows())
     check_shards([_Row(r) for r in out.collect()], 3)
-    told = {r["shard"]: r["rows"] for r in reshard.rewrite(out, str(tmp_path / "shards")).collect()}
-    hit = {r.shard for r in out.collect() if r.shard != r.old_shard} | {r.old_shard for r in out.collect() if r.shard != r.old_shard}
-    assert set(told) <= hit and all(out.where(F.col("shard") == k).count() == n for k, n in told.items())
-    assert reshard.reshard(reshard.by_source(empty_docs(spark)), 3).count() == 0
+    path = str(tmp_path / "shards")
+    told = reshard.rewritten(reshard.by_source(edge_docs(spark)), 3, path).collect()
+    check_shards([_Row(r) for r in told], 3)
+    assert collections.Counter(r.doc_id for r in told) == collections.Counter(r[0] for r in edge_rows())
+    files = spark.read.parquet(path)
+    hit = {k for r in told if r.shard != r.old_shard for k in (r.shard, r.old_shard)}
+    assert {r.shard for r in files.collect()} <= hit and hit
+    for k in hit:
+        assert files.where(F.col("shard") == k).count() == sum(r.shard == k for r in told)
+    assert collections.Counter((r.doc_id, r.text) for r in files.collect()) <= collections.Counter((e[0], e[1]) for e in edge_rows())
+    assert reshard.rewritten(reshard.by_source(empty_docs(spark)), 3, str(tmp_path / "none")).count() == 0
 
 
 # op4

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codes, decontaminate, licences, mixture, ppm, quality, reshard, search, secrets, simhash, toxicity, turns, urlrules
+from ..sources.scratch import shared_path
 from .store import stored
 from .textmodel import some_ids
 
@@ -38,9 +39,8 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents``, now held by source, over 40 shards of near-equal bytes at the fewest bytes moved."""
-    rows = reshard.by_source(_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "old_shard")
-    rows = reshard.reshard(stored(rows, "sized"), 40)
+    """``documents``, now held by source, over 40 shards of near-equal bytes at the fewest bytes moved, as read from the shards written."""
+    rows = reshard.rewritten(reshard.by_source(_table(spark, sf_dir, "documents")), 40, shared_path(spark, "shards"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )

@@ -2,8 +2,9 @@
 
 From the sizes of the old shards and the new capacities a small transport problem says how many bytes each
 overfull shard sends to each one with room, at the least bytes moved. Its flow is then filled with blocks:
-rows of one old shard, grouped by hash so that a shard has at most ``BLOCKS`` of them, and every large
-document alone. The number of blocks depends on the number of shards and not on that of the rows.
+rows of one old shard, grouped by hash into as many as its bytes are ``BLOCKS``ths of a new shard, and every large
+document alone. The number of blocks depends on the numbers of shards and not on that of the rows. At last the files of the shards that lose or gain
+rows are written anew; those of the others stay as they are.
 """
 
 from __future__ import annotations
@@ -121,50 +122,63 @@ def sized(docs: DataFrame, old_shard) -> DataFrame:
     return docs.withColumns({"size": size, "text_crc32": crc, "old_shard": F.coalesce(old_shard.cast("int"), F.lit(0))})
 
 
-def reshard(rows: DataFrame, shards: int, weights: list[float] | None = None) -> DataFrame:
-    """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard) to ``rows(size, old_shard, ...)``.
-
-    Capacities are in proportion to ``weights``, equal by default. Shards come as near to them as blocks allow: within a
-    hundredth or so, or the largest document. Null sizes count as 0, null old shards as shard 0. The rows are
-    stored once with their blocks, so that each pass meets them alike. Repeated rows are rows of their own; an empty table gives an empty result.
-    """
+def _assigned(rows: DataFrame, shards: int, weights: list[float] | None) -> tuple[DataFrame, list[int]]:
+    """``rows`` with ``shard, _row, _chunk``, stored once with their blocks, and the shards that lose or gain rows."""
     rows = rows.drop("shard", "slot").withColumns({"size": F.coalesce("size", F.lit(0)).cast("long"), "old_shard": F.coalesce("old_shard", F.lit(0)).cast("int")})
-    number, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    olds = {r.old_shard: (r.n, r.bytes) for r in rows.groupBy("old_shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
+    number, total = (sum(x[k] for x in olds.values()) for k in range(2))
     large = max(1, total // (shards * BLOCKS))
     chunks = max(1, number // CHUNK_ROWS)
-    spread = F.xxhash64("_row")
+    blocks = rows.sparkSession.createDataFrame([(o, max(1, -(-size // large))) for o, (_, size) in olds.items()], "old_shard int, _blocks long")
     alone = F.when(F.col("size") >= large, F.col("_row")).otherwise(-1)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(rows.withColumns({"_alone": alone, "_block": F.when(alone >= 0, F.lit(-1)).otherwise(F.pmod(spread, F.lit(BLOCKS)).cast("int")), "_chunk": F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(chunks)).cast("int")}), "blocks")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(blocks), "old_shard")
+    block = F.when(alone >= 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
+    rows = stored(rows.withColumns({"_alone": alone, "_block": block, "_chunk": F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(chunks)).cast("int")}).drop("_blocks"), "blocks")
 
-    # at most shards * BLOCKS large rows and BLOCKS blocks for each old shard
+    # at most shards * BLOCKS large rows, and as many blocks and one more for each old shard
     key = ["old_shard", "_block", "_alone"]
     table = rows.groupBy(*key).agg(F.sum("size").alias("bytes")).orderBy(*key).collect()
     weights = weights or [1.0] * shards
-    capacities = [int(total * w / sum(weights)) for w in weights]
-    target = place_blocks([(r.old_shard, k, r.bytes) for k, r in enumerate(table)], capacities)
+    target = place_blocks([(r.old_shard, k, r.bytes) for k, r in enumerate(table)], [int(total * w / sum(weights)) for w in weights])
     moves = rows.sparkSession.createDataFrame([(r.old_shard, r._block, r._alone, j) for r, j in zip(table, target, strict=True)], "old_shard int, _block int, _alone long, shard int")
-    rows = rows.join(F.broadcast(moves), key)
+    touched = {i for r, j in zip(table, target, strict=True) if j != r.old_shard for i in (j, r.old_shard)}
+    return rows.join(F.broadcast(moves), key).drop("_alone", "_block"), sorted(touched)
 
-    # a row's slot: rows of the shard's chunks before its own, then its place in the chunk
+
+def _slotted(rows: DataFrame) -> DataFrame:
+    """A row's slot: rows of the shard's chunks before its own, then its place in the chunk."""
     counts = rows.groupBy("shard", "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("_row")))
     rows = rows.join(counts, ["shard", "_chunk"]).withColumn("slot", F.col("_before") + F.col("_at") - 1)
-    return rows.drop("_row", "_alone", "_block", "_chunk", "_before", "_at")
+    return rows.drop("_row", "_chunk", "_before", "_at")
+
+
+def reshard(rows: DataFrame, shards: int, weights: list[float] | None = None) -> DataFrame:
+    """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard) to ``rows(size, old_shard, ...)``.
+
+    Capacities are in proportion to ``weights``, equal by default. Shards come as near to them as blocks allow: within a
+    hundredth or so, or the largest document. Null sizes count as 0, null old shards as shard 0. The rows are
+    stored once with their blocks, so that each pass meets them alike. Repeated rows are rows of their own; an empty table gives an empty result.
+    """
+    return _slotted(_assigned(rows, shards, weights)[0])
 
 
-def rewrite(rows: DataFrame, path: str) -> DataFrame:
-    """Write the shards that lose or gain rows to ``path``, by shard, and return ``shard, rows, bytes`` of those written.
+def rewritten(rows: DataFrame, shards: int, path: str, weights: list[float] | None = None, keep: tuple[str, ...] = ("doc_id", "size", "text_crc32")) -> DataFrame:
+    """Reshard ``rows`` and write whole the shards that lose or gain rows under ``path``, a folder each; ``keep``, ``old_shard, shard, slot`` of all rows.
 
-    ``rows`` is what ``reshard`` returns. A shard whose rows all stay and which receives none keeps its files.
+    What it returns of those shards is read from the files written. A shard whose rows all stay and which receives none keeps its files and is
+    not written. Rows go from the stored blocks to the files of their shards without a shuffle; only ``keep`` is sorted for the slots. As for
+    ``reshard`` otherwise.
     """
-    moved = rows.where("shard <> old_shard")
-    hit = F.broadcast(moved.select("shard").union(moved.select("old_shard")).distinct())
-    rows.join(hit, "shard", "left_semi").write.mode("overwrite").partitionBy("shard").parquet(path)
-    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    return written.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    placed, touched = _assigned(rows, shards, weights)
+    new, hidden = F.col("shard").isin(touched), ("_row", "_chunk")
+    own = placed.where(new)
+    own.write.mode("overwrite").partitionBy("shard").parquet(path)
+    columns = [*keep, "old_shard", "shard", *hidden]
+    found = rows.sparkSession.read.schema(own.schema).parquet(path).select(*columns).unionByName(placed.where(~new).select(*columns))
+    return _slotted(found)
 
 
 def by_source(docs: DataFrame) -> DataFrame:
