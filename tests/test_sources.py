@@ -36,6 +36,14 @@ def test_json_state(spark, tmp_path):
         readers.json_state(spark, str(path), "price double", strict=True).collect()
 
 
+def test_json_documents_that_are_whole(spark, tmp_path):
+    assert readers.json_documents(spark, str(tmp_path / "none"), "a int").count() == 0
+    for name, text in {"a.json": '{\n "a": 1,\n "b": {"x": {"n": 2}}}', "b.json": '{"a": 1, "b"', "c.json": "[]", "d.json": '{"b": null}', "e.json": ""}.items():
+        (tmp_path / name).write_text(text)
+    got = {r.file: r.doc for r in readers.json_documents(spark, str(tmp_path), "a int, b map<string, struct<n: int>>").collect()}
+    assert got["a.json"].a == 1 and got["a.json"].b["x"].n == 2 and got["d.json"].a is None and "b.json" not in got and "e.json" not in got
+
+
 def test_first_available(spark):
     a = spark.createDataFrame([("x", 1)], "series_id string, v int")
     b = spark.createDataFrame([("x", 2), ("y", 3)], "series_id string, v int")

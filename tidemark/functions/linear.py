@@ -44,21 +44,20 @@ def centred(c: str) -> Column:
 def solved(rows: DataFrame, k: int, ridge: float = 0.0) -> DataFrame:
     """Columns ``beta_i`` that solve the equations ``a_i_j``, ``b_i`` by square-root-free Cholesky; null where they have no single solution.
 
-    ``ridge`` times ``n`` is added to the diagonal but for the first regressor, the constant. One projection for each step, so that no
-    expression is written out more than once.
+    ``ridge`` times ``n`` is added to the diagonal but for the first regressor, the constant. A projection for each regressor down and one up;
+    the right side is reduced along with the matrix, as one more of its rows.
     """
     a = lambda i, j: F.col(f"a_{min(i, j)}_{max(i, j)}")
     low = lambda i, m: F.col(f"l_{i}_{m}")
-    total = lambda parts: sum(parts, F.lit(0.0))
+    less = lambda v, own, j: v - sum((own(m) * low(j, m) * F.col(f"d_{m}") for m in range(j)), F.lit(0.0))
     for j in range(k):
         own = a(j, j) + (ridge * F.col("n") if j and ridge else F.lit(0.0))
-        pivot = own - total(low(j, m) * low(j, m) * F.col(f"d_{m}") for m in range(j))
-        rows = rows.withColumn(f"d_{j}", F.when((F.col("n") >= k) & (pivot > TINY * F.abs(own)), pivot))
-        rows = rows.withColumns({f"l_{i}_{j}": (a(i, j) - total(low(i, m) * low(j, m) * F.col(f"d_{m}") for m in range(j))) / F.col(f"d_{j}") for i in range(j + 1, k)}) if j + 1 < k else rows
-    for i in range(k):
-        rows = rows.withColumn(f"z_{i}", F.col(f"b_{i}") - total(low(i, m) * F.col(f"z_{m}") for m in range(i)))
+        rest = less(own, lambda m: low(j, m), j)  # noqa: B023
+        pivot = F.when((F.col("n") >= k) & (rest > TINY * F.abs(own)), rest)
+        below = {f"l_{i}_{j}": less(a(i, j), lambda m: low(i, m), j) / pivot for i in range(j + 1, k)}  # noqa: B023
+        rows = rows.withColumns({f"d_{j}": pivot, f"z_{j}": less(F.col(f"b_{j}"), lambda m: F.col(f"z_{m}"), j) / pivot} | below)
     for i in reversed(range(k)):
-        rows = rows.withColumn(f"beta_{i}", F.col(f"z_{i}") / F.col(f"d_{i}") - total(low(m, i) * F.col(f"beta_{m}") for m in range(i + 1, k)))
+        rows = rows.withColumn(f"beta_{i}", F.col(f"z_{i}") - sum((low(m, i) * F.col(f"beta_{m}") for m in range(i + 1, k)), F.lit(0.0)))
     spare = [c for c in rows.columns if c.split("_")[0] in ("l", "d", "z", "a", "b") and c.split("_")[-1].isdigit()]
     return rows.drop(*spare)
 

@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import series as S
 from ..functions.series import past, r2, r6, ratio
 from ..operators.bars import BARS_SQL, daily_bars, frames, table
+from ..sources.readers import json_documents
+from ..sources.scratch import shared_path
 from .evaluation import LEDGER_SQL, METRICS_SQL, ledger, metrics
+from .ledgers import CALLS_SQL, resolved_calls
 from .registry import query
 
 
@@ -109,21 +112,45 @@ def live_quotes(spark, sf_dir):
     return b.select("user_id", "price", "fetched_at", "source", fresh.alias("fresh"), feed.alias("feed"))
 
 
+def _published(documents, name: str) -> str:
+    """A folder of JSON documents, a file for each row of ``series_id, document``, and one that is broken off, as a writer that died leaves it."""
+    spark = documents.sparkSession
+    path = shared_path(spark, name)
+    broken = documents.limit(1).select(F.lit("broken").alias("series_id"), F.substring("document", 1, 20).alias("document"))
+    documents.unionByName(broken).write.partitionBy("series_id").text(path)
+    return path
+
+
 @query(
     "backtest_artifacts",
     f"""WITH {METRICS_SQL} SELECT series_id, model AS horizon, n AS samples, round(100.0 * hits / n, 4) AS direction_accuracy, round(mae, 4) AS mae, hits > n / 2 AS significant FROM m WHERE n >= 1 AND model <> 'naive'""",
 )
 def backtest_artifacts(spark, sf_dir):
-    """Figures by horizon from nested JSON documents of a series each, horizons without samples left out; the documents are written from the metrics here."""
+    """Figures by horizon from nested JSON artifacts, a file a series, written to the shared folder and scanned there; horizons without samples and files that aren't whole are left out."""
     m = metrics(spark, sf_dir)
     report = F.struct("n", "hits", F.col("mae").alias("mean_error"))
-    documents = m.groupBy("series_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("model", F.when(F.col("model") != "naive", report).alias("report")))).alias("horizons"))).alias("document"))
-    schema = "horizons map<string, struct<n: long, hits: long, mean_error: double>>"
-    rows = documents.select("series_id", F.explode(F.from_json("document", schema)["horizons"]).alias("horizon", "s")).where("s.n >= 1")
+    documents = m.groupBy("series_id").agg(F.to_json(F.struct(F.first("series_id").alias("series"), F.map_from_entries(F.collect_list(F.struct("model", F.when(F.col("model") != "naive", report).alias("report")))).alias("horizons"))).alias("document"))
+    found = json_documents(spark, _published(documents, "artifacts"), "series string, horizons map<string, struct<n: long, hits: long, mean_error: double>>")
+    rows = found.select(F.col("doc.series").alias("series_id"), F.explode("doc.horizons").alias("horizon", "s")).where("s.n >= 1")
     n, hits = F.col("s.n"), F.col("s.hits")
     return rows.select("series_id", "horizon", n.alias("samples"), F.round(100.0 * hits / n, 4).alias("direction_accuracy"), F.round("s.mean_error", 4).alias("mae"), (hits > n / 2).alias("significant"))
 
 
+@query(
+    "record_summaries",
+    f"""WITH {CALLS_SQL} SELECT series_id, count(*) AS n_calls, count(*) FILTER (WHERE hit IS NOT NULL AND eligible) AS n_resolved_directional, count(*) FILTER (WHERE hit AND eligible) AS n_hits FROM scored GROUP BY 1""",
+)
+def record_summaries(spark, sf_dir):
+    """The summary object of each published live record, read from its file without its calls; records that aren't whole or whose summary is no object are left out."""
+    rows = resolved_calls(spark, sf_dir)
+    scored = F.col("hit").isNotNull() & F.col("eligible")
+    summary = F.struct(F.count("*").alias("n_calls"), F.count_if(scored).alias("n_resolved_directional"), F.count_if(F.col("hit") & F.col("eligible")).alias("n_hits"))
+    whole = rows.groupBy("series_id").agg(F.to_json(F.struct(F.first("series_id").alias("series"), F.max("d").cast("string").alias("as_of"), summary.alias("summary"))).alias("document"))
+    wrong = rows.select(F.lit("wrong").alias("series_id"), F.lit('{"series": "wrong", "summary": 3}').alias("document")).limit(1)
+    found = json_documents(spark, _published(whole.unionByName(wrong), "records"), "series string, summary struct<n_calls: long, n_resolved_directional: long, n_hits: long>")
+    return found.where("doc.summary IS NOT NULL").select(F.col("doc.series").alias("series_id"), "doc.summary.*")
+
+
 #: Columns that a horizon goes without: those of a single session for a week, slow series for a day.
 DROPPED = {
     "1w": ["open_gap_pct", "intraday_return", "candle_body_to_range", "close_location_value", "upper_wick_pct", "lower_wick_pct", "signed_volume_pressure", "gap_reversal_pressure", "range_to_atr14"],

@@ -127,8 +127,15 @@ def quotes(spark, sf_dir):
     SELECT q.user_id, q.event_id, q.ts, q.price, q.volume FROM q SEMI JOIN (SELECT DISTINCT user_id, anchor AS i FROM f) k USING (user_id, i) ANTI JOIN (SELECT user_id, gone AS i FROM f WHERE gone IS NOT NULL) g USING (user_id, i)""",
 )
 def heartbeat_dedupe(spark, sf_dir):
-    """Quotes without redundant heartbeats: a fold along each user's quotes, sorted in their partition; its state is the last quote kept, however long the history."""
-    rows = quotes(spark, sf_dir).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    """Quotes without redundant heartbeats: runs of equal quotes are told by windows, and a fold goes along each run, its state the last quote kept.
+
+    Runs are dealt for themselves, so a user with most of the quotes is spread over tasks.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    same = (F.abs(F.col("price") - F.lag("price").over(order)) < 1e-9) & (F.col("volume") == F.lag("volume").over(order))
+    rows = quotes(spark, sf_dir).withColumn("new", (~F.coalesce(same, F.lit(False))).cast("long"))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    rows = rows.repartition("user_id", "run").sortWithinPartitions("user_id", "run", "ts", "event_id")
     return rows.mapInPandas(kept_heartbeats, QUOTE_SCHEMA)
 
 

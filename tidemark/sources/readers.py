@@ -55,6 +55,19 @@ def json_state(spark: SparkSession, path: str, record: str, strict: bool = False
     return rows.select(F.try_to_timestamp("ts").alias("ts"), "record")
 
 
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``file, doc`` of the JSON documents under ``path``, one a file whatever its line breaks; a missing path has none, and what isn't such a document is left out."""
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], f"file string, doc struct<{schema}>")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    found = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), parsed.alias("doc")).where("doc IS NOT NULL AND doc._broken IS NULL")
+    return found.withColumn("doc", F.col("doc").dropFields("_broken"))
+
+
 def first_available(candidates: list[DataFrame]) -> DataFrame:
     """Rows of the first candidate that has any for each series, in one pass over their union."""
     tagged = [df.withColumn("_prio", F.lit(k)) for k, df in enumerate(candidates)]
