@@ -91,8 +91,8 @@ def test_heartbeats():
     rows = pd.DataFrame({"user_id": [1] * n, "event_id": range(n), "ts": [t + pd.Timedelta(f"{h}h") for h in hours], "price": [1.0, 1.0, 1.0, 2.0, 2.0], "volume": [0] * n, "session_open": [True] * 4 + [False], "run": [1, 1, 1, 2, 2]})
     rows = pd.concat([rows, rows.assign(user_id=2), rows.assign(user_id=2, run=rows.run + 2, event_id=rows.event_id + n)])
     for size in (1, 2, 3, 10):  # the same whatever the batches
-        got = pd.concat(kept_heartbeats(rows[k : k + size] for k in range(0, 2 * n, size)))
-        assert list(zip(got.user_id, got.event_id)) == [(u, k) for u in (1, 2) for k in (0, 2, 4)]
+        got = pd.concat(kept_heartbeats(rows[k : k + size] for k in range(0, 3 * n, size)))
+        assert list(zip(got.user_id, got.event_id)) == [(u, k + more) for u, more in ((1, 0), (2, 0), (2, n)) for k in (0, 2, 4)]
 
 
 def _with_jump(spark, sf_dir, tmp_path):
