@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import neighbours as N
-from tidemark.plans import curve
+from tidemark.plans import catalogue, curve
 from tidemark.streaming import streams
 
 
@@ -87,3 +87,15 @@ def test_a_silent_feed_goes_stale_and_expires():
     _, out, _ = streams._feed((7,), state, [(9 * HOUR, 3)], 9 * HOUR)
     assert [r[1:] for r in out] == [("live", 9 * HOUR)]
     assert math.isclose(streams.FRESH_MS, 25 * minute)
+
+
+def test_joint_forecasts_do_not_see_later_quotes(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    events.withColumn("value", F.when(F.col("ts") >= cut, F.col("value") * 3 + 1).otherwise(F.col("value"))).write.parquet(str(tmp_path / "events.parquet"))
+    rows = []
+    for d in (sf_dir, str(tmp_path)):
+        got = catalogue.QUERIES["joint_horizons"](spark, d).where(F.col("h") < cut - F.expr("INTERVAL 1 HOUR")).drop("actual_1h").collect()
+        rows.append({(r.series_id, r.h): r for r in got})
+    assert len(rows[0]) > 20 and rows[0] == rows[1]
+    assert all(r.daily_as_of is None or r.daily_as_of <= r.h for r in rows[0].values())

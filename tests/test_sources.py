@@ -26,6 +26,27 @@ def test_json_series_and_paged_source(spark, tmp_path):
     assert sorted((str(r.period), r.value) for r in got.collect()) == [("2026-01-01", 3.0), ("2026-02-01", 7.0)]
 
 
+def test_the_last_good_copy_stands_in(spark, tmp_path):
+    good, path = [(1, "a")], str(tmp_path / "kept")
+    load = lambda: spark.createDataFrame(good, "k int, v string")
+
+    def failing():
+        return spark.read.format("paged_series").option("url", f"file://{tmp_path}/none{{offset}}.json").option("pages", "1").load()
+
+    spark.dataSource.register(readers.PagedSeries)
+    with pytest.raises(Exception):
+        readers.with_last_good(spark, path, failing)
+    got, fresh = readers.with_last_good(spark, path, load)
+    assert fresh and [tuple(r) for r in got.collect()] == good
+    path2 = str(tmp_path / "pages")
+    (tmp_path / "q0.json").write_text(json.dumps({"response": {"data": [{"period": "2026-02-01", "value": "7"}]}}))
+    pages = lambda: spark.read.format("paged_series").option("url", f"file://{tmp_path}/q{{offset}}.json").option("pages", "1").load()
+    assert readers.with_last_good(spark, path2, pages)[1]
+    (tmp_path / "q0.json").unlink()
+    got, fresh = readers.with_last_good(spark, path2, pages)
+    assert not fresh and [r.value for r in got.collect()] == [7.0]
+
+
 def test_json_state(spark, tmp_path):
     path = tmp_path / "state.json"
     assert readers.json_state(spark, str(path), "price double").count() == 0

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from .sinks import publish, published, versions
+
 SERIES = "series_id string, period date, value double"
 
 
@@ -99,6 +101,22 @@ def with_retry(fetch: Callable[[], bytes], waits: tuple[float, ...] = (2.0, 4.0)
     return fetch()
 
 
+def with_last_good(spark: SparkSession, path: str, load: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """What ``load()`` gives, kept as a new version under ``path``, and True; where it fails, the newest version kept before, and False.
+
+    The failure is raised if there is none. A reader of the last good copy never sees one half written.
+    """
+    try:
+        known = versions(spark, path)
+        publish(load(), path, known[-1] if known else 0)
+        return published(spark, path), True
+    except Exception:
+        last = published(spark, path)
+        if last is None:
+            raise
+        return last, False
+
+
 def with_failover(hosts: list[str], fetch: Callable[[str], float], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[str, float]:
     """The first positive finite price that ``fetch(host)`` gives and its host: all hosts in turn, ``attempts`` times; the last error if there is none."""
     failure: Exception = ValueError("no host")

@@ -109,7 +109,13 @@ def publish(df: DataFrame, path: str, after: int, age: float = CLAIM_AGE, now: C
     done = at(f"{path}/done-{version}")
     if files.exists(done) or not _claimed(files, at(f"{path}/claim-{version}"), owner, age, now):
         raise Conflict(f"version {version} of {path} is taken")
-    df.write.parquet(f"{path}/version-{version}-{owner}")
+    claim = f"{path}/claim-{version}"
+    try:
+        df.write.parquet(f"{path}/version-{version}-{owner}")
+    except Exception:
+        if [r[0] for r in spark.read.text(claim).collect()] == [owner]:  # not taken over: given up
+            files.delete(at(claim), False)
+        raise
     try:
         out = files.create(done, False)
     except Exception as error:
