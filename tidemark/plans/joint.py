@@ -1,4 +1,4 @@
-"""Forecasts of several horizons met at one decision time: an hourly model and two daily ones, each seen as of the hour."""
+"""Forecasts of several horizons met at one decision time: an hourly model and two daily ones of log returns, each seen as of the hour."""
 
 from __future__ import annotations
 
@@ -35,19 +35,19 @@ def _sums_sql(x, target, first, last):
 
 
 JOINT_SQL = f"""{HOURLY_SQL},
-jh0 AS (SELECT series_id, h AS d, close, coalesce(close / lag(close) OVER o - 1, 0) AS r1, coalesce(close / lag(close, 24) OVER o - 1, 0) AS r24, {_tail_z_sql(FAST)}, lead(close) OVER o / close - 1 AS target, row_number() OVER o AS i FROM hours {_window_sql(FAST)}),
+jh0 AS (SELECT series_id, h AS d, close, coalesce(ln(close) - ln(lag(close) OVER o), 0) AS r1, coalesce(ln(close) - ln(lag(close, 24) OVER o), 0) AS r24, {_tail_z_sql(FAST)}, ln(lead(close) OVER o) - ln(close) AS target, row_number() OVER o AS i FROM hours {_window_sql(FAST)}),
 jh1 AS (SELECT *, coalesce(stddev_samp(r1) OVER w{FAST}, 0) AS vol FROM jh0 {_window_sql(FAST)}), jh2 AS ({_sums_sql(_HX, 'target', FAST, 1).format('jh1')}), jh3 AS (SELECT * FROM jh2 WHERE i > {FAST}), {L.elimination_sql('jh3', 'jhs', len(_HX), RIDGE)},
 jd0 AS (SELECT series_id, CAST(h AS DATE) AS d, arg_max(close, h) AS close FROM hours GROUP BY 1, 2),
-jd1 AS (SELECT *, coalesce(close / lag(close) OVER o - 1, 0) AS r1, {_tail_z_sql(SLOW)}, {', '.join(f'lead(close, {n}) OVER o / close - 1 AS target_{h}' for h, n in DAILY.items())}, row_number() OVER o AS i FROM jd0 {_window_sql(SLOW)}),
-{', '.join(f"js_{h} AS ({_sums_sql(_DX, f'target_{h}', 'UNBOUNDED', n).format('jd1')}), jk_{h} AS (SELECT * FROM js_{h} WHERE i > {LEAST_DAYS} AND n >= {len(_DX)}), {L.elimination_sql(f'jk_{h}', f'jl_{h}', len(_DX), RIDGE)}, jf_{h} AS (SELECT series_id, d + INTERVAL 1 DAY AS available, close * (1 + {_fitted_sql(_DX)}) AS forecast_{h} FROM jl_{h})" for h, n in DAILY.items())},
-j1 AS (SELECT series_id, d AS h, close, close * (1 + {_fitted_sql(_HX)}) AS forecast_1h, close * (1 + target) AS actual_1h FROM jhs),
+jd1 AS (SELECT *, coalesce(ln(close) - ln(lag(close) OVER o), 0) AS r1, {_tail_z_sql(SLOW)}, {', '.join(f'ln(lead(close, {n}) OVER o) - ln(close) AS target_{h}' for h, n in DAILY.items())}, row_number() OVER o AS i FROM jd0 {_window_sql(SLOW)}),
+{', '.join(f"js_{h} AS ({_sums_sql(_DX, f'target_{h}', 'UNBOUNDED', n).format('jd1')}), jk_{h} AS (SELECT * FROM js_{h} WHERE i > {LEAST_DAYS} AND n >= {len(_DX)}), {L.elimination_sql(f'jk_{h}', f'jl_{h}', len(_DX), RIDGE)}, jf_{h} AS (SELECT series_id, d + INTERVAL 1 DAY AS available, close * exp({_fitted_sql(_DX)}) AS forecast_{h} FROM jl_{h})" for h, n in DAILY.items())},
+j1 AS (SELECT series_id, d AS h, close, close * exp({_fitted_sql(_HX)}) AS forecast_1h, close * exp(target) AS actual_1h FROM jhs),
 j2 AS (SELECT j1.*, f.available AS daily_as_of, forecast_1d FROM j1 ASOF LEFT JOIN jf_1d f ON j1.series_id = f.series_id AND j1.h >= f.available),
 j3 AS (SELECT j2.*, forecast_1w FROM j2 ASOF LEFT JOIN jf_1w f ON j2.series_id = f.series_id AND j2.h >= f.available)"""
 
 
 def _features(bars: DataFrame, n: int) -> DataFrame:
     c = F.col("close")
-    return bars.withColumns({"r1": S.pct_change(c, 1, 0.0), "z": S.tail_zscore(c, n), "i": F.row_number().over(S.ordered())})
+    return bars.withColumns({"r1": F.coalesce(S.log_return(c), F.lit(0.0)), "z": S.tail_zscore(c, n), "i": F.row_number().over(S.ordered())})
 
 
 def _fits(rows: DataFrame, x: list[str], target: str, lag: int, window: int | None, first: int) -> DataFrame:
@@ -62,15 +62,15 @@ def joint(spark, sf_dir) -> DataFrame:
     """Each hour with the forecasts of an hour, a day and a week ahead; a daily forecast counts from the end of its day on."""
     hours = hourly_bars(spark, sf_dir).select("series_id", F.col("h").alias("d"), "close")
     c = F.col("close")
-    fast = _features(hours, FAST).withColumns({"r24": S.pct_change(c, 24, 0.0), "target": F.lead(c, 1).over(S.ordered()) / c - 1})
+    fast = _features(hours, FAST).withColumns({"r24": F.coalesce(F.ln(c) - F.ln(S.lagged(c, 24)), F.lit(0.0)), "target": F.ln(F.lead(c, 1).over(S.ordered())) - F.ln(c)})
     fast = fast.withColumn("vol", F.coalesce(F.stddev_samp("r1").over(past(FAST)), F.lit(0.0)))
     rows = _fits(fast, ["r1", "r24", "z", "vol"], "target", 1, FAST, FAST)
-    rows = rows.select("series_id", F.col("d").alias("h"), "close", (c * (1 + F.col("p"))).alias("forecast_1h"), (c * (1 + F.col("target"))).alias("actual_1h"))
+    rows = rows.select("series_id", F.col("d").alias("h"), "close", (c * F.exp("p")).alias("forecast_1h"), (c * F.exp("target")).alias("actual_1h"))
     days = hours.groupBy("series_id", F.col("d").cast("date").alias("day")).agg(F.max_by("close", "d").alias("close")).withColumnRenamed("day", "d")
-    days = _features(days, SLOW).withColumns({f"target_{h}": F.lead(c, n).over(S.ordered()) / c - 1 for h, n in DAILY.items()})
+    days = _features(days, SLOW).withColumns({f"target_{h}": F.ln(F.lead(c, n).over(S.ordered())) - F.ln(c) for h, n in DAILY.items()})
     for h, n in DAILY.items():
         seen = _fits(days, ["r1", "z"], f"target_{h}", n, None, LEAST_DAYS)
-        seen = seen.select("series_id", (F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias(f"available_{h}"), (c * (1 + F.col("p"))).alias(f"forecast_{h}"))
+        seen = seen.select("series_id", (F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias(f"available_{h}"), (c * F.exp("p")).alias(f"forecast_{h}"))
         rows = asof_join(rows, seen, ["series_id"], "h", f"available_{h}", [f"forecast_{h}"])
     return rows.withColumnRenamed("available_1d", "daily_as_of")
 
