@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -19,6 +20,7 @@ from tests.llm.edge import edge_docs, edge_rows, empty_docs
 from tests.oracle import oracle_rows, spark_rows
 from tidemark.llm import alike, decontaminate, licences, mixture, ppm, quality, queries, reshard, search, simhash, toxicity, urlrules
 from tidemark.llm.store import stored
+from tidemark.sources.scratch import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -651,6 +653,23 @@ def test_search_in_blocks_of_queries(spark):
     assert key(one) == key(many) and len(one)
 
 
+def test_search_raises_floors(spark):
+    """Packed blocks take the floors known, keep the others, and lose nothing else; a search leaves no tables of its own but the index, the blocks and the result."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    index = stored(search.build_index(df.repartition(20), 16), "index")
+    asked = search.query_terms(df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), search.document_frequencies(index), df.count()).withColumn("floor", F.lit(0.5))
+    packed = stored(search.query_blocks(asked, 3), "query_blocks")
+    least = asked.where("query_id % 40 = 0").select("query_id", (F.col("query_id") + 1.0).alias("floor")).distinct()
+    before, after = (x.toPandas().set_index("block").sort_index() for x in (packed, search.raised_floors(packed, least, 3)))
+    assert len(before) == 3 and before.drop(columns="q_floor").map(bytes).equals(after.drop(columns="q_floor").map(bytes))
+    floors = {i: f for ids, b in zip(after.q_ids, after.q_floor, strict=True) for i, f in zip(ids, np.frombuffer(b), strict=True)}
+    assert len(floors) == asked.select("query_id").distinct().count() and all(f == (0.5 if i % 40 else i + 1.0) for i, f in floors.items())
+    kept = Path(shared_dir(spark).removeprefix("file:"))
+    there = set(kept.iterdir())
+    found = search.search(index, df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+    assert sorted(p.name.split("-")[0] for p in set(kept.iterdir()) - there) == ["found", "query_blocks"] and found.count()
+
+
 def test_search_edges(spark):
     index = stored(search.build_index(edge_docs(spark)), "index")
     asked = edge_docs(spark).select(F.col("doc_id").alias("query_id"), "text")
