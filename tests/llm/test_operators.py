@@ -670,6 +670,61 @@ def test_search_raises_floors(spark):
     assert sorted(p.name.split("-")[0] for p in set(kept.iterdir()) - there) == ["found", "query_blocks"] and found.count()
 
 
+@pytest.mark.parametrize("rows", [4096, 64])
+def test_search_leaves_out_blocks_of_other_kinds(monkeypatch, rows):
+    """A block has rows of one language, and once floors are known a query is scored against its own language alone."""
+    rng, k, n = np.random.default_rng(3), 5, 400
+    words = 2000  # two languages of 1,000 words each, and some words that both use
+    chance = 1 / np.arange(2, 1002)
+    own = rng.integers(0, 2, n)
+    monkeypatch.setattr(search, "KIND_ROWS", rows)
+    tf = np.stack([np.bincount(1000 * side + rng.choice(1000, 120, p=chance / chance.sum()), minlength=words) for side in own])
+    tf[:, 900:910] += rng.integers(0, 2, (n, 10))
+    doc, term = np.nonzero(tf)
+    keys, lengths = np.arange(words) * 7 - 300, tf.sum(axis=1)
+    packed = search.packed_shard(pa.array(np.arange(n)), lengths, doc, keys[term].view(np.uint64), tf[doc, term], 64)
+    shard = search.Shard(packed)
+    ids = np.array(packed["ids"].to_pylist())
+    kind = own[ids]
+    assert shard.groups[-1] == n and len(shard.begin) > 4 and all(len(set(kind[a:z])) == 1 for a, z in itertools.pairwise(shard.begin))
+    idf = np.log(1 + (n - (tf > 0).sum(axis=0) + 0.5) / ((tf > 0).sum(axis=0) + 0.5))
+    asked = np.arange(60)
+    weights = idf * 3 * tf[asked] / (2 + tf[asked])
+    scores = (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths / lengths.mean())[:, None])) @ weights.T
+    query, at = np.nonzero(weights)
+    parts = {"q_vocabulary": keys, "q_at": np.searchsorted(query, np.arange(len(asked) + 1)), "q_term": at.astype(np.int32), "q_weight": weights[query, at], "q_floor": np.sort(scores, axis=0)[-k]}
+    seen, real = [], search.Search._matrix
+    monkeypatch.setattr(search.Search, "_matrix", lambda self, b, live: seen.extend((own[asked[self.names[q]]], kind[self.shard.begin[b]]) for q in live) or real(self, b, live))
+    q, place, score = search.Search(shard, {c: x.tobytes() for c, x in parts.items()}, lengths.mean(), k).top()
+    assert seen and all(a == b for a, b in seen)
+    for i in range(len(asked)):
+        want = sorted((-round(x, 9), d) for d, x in enumerate(scores[:, i]) if x > 0)[:k]
+        assert sorted(zip(-np.round(score[q == i], 9), ids[place[q == i]], strict=True))[:k] == want
+
+
+def test_search_of_long_texts(monkeypatch):
+    """Frequent terms keep their counts, and single precision loses no row where thousands of terms add up to nearly equal scores."""
+    rng, n, words, k = np.random.default_rng(4), 40, 9000, 3
+    tf = rng.integers(1, 4, (n, words))
+    tf[1:] = tf[0]
+    tf[np.arange(n), np.arange(n)] += 1
+    tf[5, 100] = 50_000
+    doc, term = np.nonzero(tf)
+    lengths = np.full(n, 20_000)
+    packed = search.packed_shard(pa.array(np.arange(n)), lengths, doc, np.arange(words)[term].astype(np.uint64), tf[doc, term])
+    shard = search.Shard(packed)
+    assert shard.tfs.max() == 50_000 and shard.tfs.sum() == tf.sum()
+    weights = rng.random(words) + 0.5
+    scores = (tf * 2.2 / (tf + 1.2)) @ weights
+    for known in (0.0, np.sort(scores)[-k]):
+        parts = {"q_vocabulary": np.arange(words), "q_at": np.array([0, words]), "q_term": np.arange(words, dtype=np.int32), "q_weight": weights, "q_floor": np.array([known])}
+        monkeypatch.setattr(search, "MATRIX_TERMS", 2048 if known else 1)
+        one = search.Search(shard, {c: x.tobytes() for c, x in parts.items()}, 20_000.0, k)
+        q, place, score = one.top()
+        assert one.small > words * 2.0**-24
+        assert [packed["ids"][int(p)].as_py() for p in place[:k]] == np.argsort(-scores)[:k].tolist() and score[:k] == pytest.approx(np.sort(scores)[::-1][:k], rel=1e-12)
+
+
 def test_search_edges(spark):
     index = stored(search.build_index(edge_docs(spark)), "index")
     asked = edge_docs(spark).select(F.col("doc_id").alias("query_id"), "text")
